@@ -12,6 +12,15 @@ from flightloom.functions.geo import is_finite
 GRAVITY = 9.81
 
 
+def let(value: Column, body) -> Column:
+    """Bind a value once so that a formula which uses it many times stays small."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _let2(a: Column, b: Column, body) -> Column:
+    return let(F.struct(a.alias("a"), b.alias("b")), lambda both: body(both["a"], both["b"]))
+
+
 def q_is_finite(q: Column) -> Column:
     return is_finite(q[0]) & is_finite(q[1]) & is_finite(q[2]) & is_finite(q[3])
 
@@ -21,8 +30,11 @@ def q_norm(q: Column) -> Column:
 
 
 def q_normalize(q: Column) -> Column:
-    n = q_norm(q)
-    return F.when(q_is_finite(q) & (n >= 1e-12), F.transform(q, lambda v: v / n))
+
+    def scaled(v):
+        return let(q_norm(v), lambda n: F.when(q_is_finite(v) & (n >= 1e-12), F.transform(v, lambda part: part / n)))
+
+    return let(q, scaled)
 
 
 def q_conjugate(q: Column) -> Column:
@@ -31,12 +43,15 @@ def q_conjugate(q: Column) -> Column:
 
 def q_multiply(a: Column, b: Column) -> Column:
     """Hamilton product: (s, u)(t, v) = (st - u.v, sv + tu + u x v)."""
-    u, v = F.slice(a, 2, 3), F.slice(b, 2, 3)
-    cross = v_cross(u, v)
-    return F.array(
-        a[0] * b[0] - v_dot(u, v),
-        *[a[0] * b[i + 1] + b[0] * a[i + 1] + cross[i] for i in range(3)],
-    )
+
+    def product(p, q):
+        scalar = p[0] * q[0] - p[1] * q[1] - p[2] * q[2] - p[3] * q[3]
+        vector = []
+        for i, j, k in ((1, 2, 3), (2, 3, 1), (3, 1, 2)):
+            vector.append(p[0] * q[i] + q[0] * p[i] + (p[j] * q[k] - p[k] * q[j]))
+        return F.array(scalar, *vector)
+
+    return _let2(a, b, product)
 
 
 def q_from_euler(roll: Column, pitch: Column, yaw: Column) -> Column:
@@ -53,7 +68,10 @@ def q_from_euler(roll: Column, pitch: Column, yaw: Column) -> Column:
 
 def q_to_euler(q: Column) -> Column:
     """struct(roll, pitch, yaw) in degrees, yaw in 0..360."""
-    n = q_normalize(q)
+    return let(q_normalize(q), _euler_of_unit)
+
+
+def _euler_of_unit(n: Column) -> Column:
     w, x, y, z = (n[i] for i in range(4))
     sin_pitch = (w * y - z * x) * 2.0
     pitch = F.when(F.abs(sin_pitch) >= 1.0, F.signum(sin_pitch) * (math.pi / 2.0)).otherwise(F.asin(sin_pitch))
@@ -66,18 +84,28 @@ def q_to_euler(q: Column) -> Column:
 
 def q_rotate(q: Column, v: Column) -> Column:
     """v turned by q: v + 2w(u x v) + 2u x (u x v), with u the vector part of the unit quaternion."""
-    n = q_normalize(q)
-    u = F.slice(n, 2, 3)
-    once = v_cross(u, v)
-    twice = v_cross(u, once)
-    return F.array(*[v[i] + (n[0] * once[i] + twice[i]) * 2.0 for i in range(3)])
+
+    def turned(n, x):
+        u = F.slice(n, 2, 3)
+        return let(
+            v_cross(u, x),
+            lambda once: let(
+                v_cross(u, once),
+                lambda twice: F.array(*[x[i] + (n[0] * once[i] + twice[i]) * 2.0 for i in range(3)]),
+            ),
+        )
+
+    return _let2(q_normalize(q), v, turned)
 
 
 def q_angle_between(a: Column, b: Column) -> Column:
     """Radians between two orientations; infinite when either is invalid."""
-    na, nb = q_normalize(a), q_normalize(b)
-    dot = na[0] * nb[0] + na[1] * nb[1] + na[2] * nb[2] + na[3] * nb[3]
-    return F.coalesce(F.acos(F.least(F.lit(1.0), F.abs(dot))) * 2.0, F.lit(float("inf")))
+    angle = _let2(q_normalize(a), q_normalize(b), lambda p, q: F.acos(F.least(F.lit(1.0), F.abs(_dot4(p, q)))) * 2.0)
+    return F.coalesce(angle, F.lit(float("inf")))
+
+
+def _dot4(p: Column, q: Column) -> Column:
+    return p[0] * q[0] + p[1] * q[1] + p[2] * q[2] + p[3] * q[3]
 
 
 def q_xyzw_to_wxyz(q: Column) -> Column:
@@ -85,22 +113,35 @@ def q_xyzw_to_wxyz(q: Column) -> Column:
 
 
 def q_slerp(a: Column, b: Column, t: Column) -> Column:
-    na, raw = q_normalize(a), q_normalize(b)
-    signed = na[0] * raw[0] + na[1] * raw[1] + na[2] * raw[2] + na[3] * raw[3]
-    nb = F.transform(raw, lambda v: v * F.when(signed < 0, -1.0).otherwise(1.0))
-    dot = F.abs(signed)
-    angle = F.acos(F.least(F.lit(1.0), dot))
-    near = dot > 0.9995
-    sin_angle = F.nullif(F.sin(angle), F.lit(0.0))
-    keep = F.when(near, 1.0 - t).otherwise(F.sin(angle * (1.0 - t)) / sin_angle)
-    take = F.when(near, t).otherwise(F.sin(angle * t) / sin_angle)
-    return q_normalize(F.array(*[keep * na[i] + take * nb[i] for i in range(4)]))
+
+    def blended(p, q):
+        def by_angle(parts):
+            sign, dot, angle = parts["sign"], parts["dot"], parts["angle"]
+            near, sin_angle = dot > 0.9995, F.nullif(F.sin(angle), F.lit(0.0))
+            keep = F.when(near, 1.0 - t).otherwise(F.sin(angle * (1.0 - t)) / sin_angle)
+            take = F.when(near, t).otherwise(F.sin(angle * t) / sin_angle)
+            return F.zip_with(p, q, lambda x, y: keep * x + take * sign * y)
+
+        signed = _dot4(p, q)
+        parts = F.struct(
+            F.when(signed < 0, -1.0).otherwise(1.0).alias("sign"),
+            F.abs(signed).alias("dot"),
+            F.acos(F.least(F.lit(1.0), F.abs(signed))).alias("angle"),
+        )
+        return let(parts, by_angle)
+
+    return q_normalize(_let2(q_normalize(a), q_normalize(b), blended))
 
 
 def rotation_matrix(roll: Column, pitch: Column, yaw: Column) -> Column:
-    cr, sr = F.cos(F.radians(roll)), F.sin(F.radians(roll))
-    cp, sp = F.cos(F.radians(pitch)), F.sin(F.radians(pitch))
-    cy, sy = F.cos(F.radians(yaw)), F.sin(F.radians(yaw))
+    angles = {"r": roll, "p": pitch, "y": yaw}
+    parts = [F.cos(F.radians(v)).alias("c" + k) for k, v in angles.items()]
+    parts += [F.sin(F.radians(v)).alias("s" + k) for k, v in angles.items()]
+    return let(F.struct(*parts), _matrix_of_angles)
+
+
+def _matrix_of_angles(v: Column) -> Column:
+    cr, sr, cp, sp, cy, sy = (v[k] for k in ("cr", "sr", "cp", "sp", "cy", "sy"))
     return F.array(
         cy * cp, cy * sp * sr - sy * cr, cy * sp * cr + sy * sr,
         sy * cp, sy * sp * sr + cy * cr, sy * sp * cr - cy * sr,
@@ -109,24 +150,31 @@ def rotation_matrix(roll: Column, pitch: Column, yaw: Column) -> Column:
 
 
 def mat3_mul(a: Column, b: Column) -> Column:
-    return F.array(
-        *[sum((a[3 * r + k] * b[3 * k + c] for k in range(1, 3)), a[3 * r] * b[c]) for r in range(3) for c in range(3)]
-    )
+
+    def product(p, q):
+        cells = [(r, c) for r in range(3) for c in range(3)]
+        return F.array(*[p[3 * r] * q[c] + p[3 * r + 1] * q[3 + c] + p[3 * r + 2] * q[6 + c] for r, c in cells])
+
+    return _let2(a, b, product)
 
 
 def mat3_transpose(m: Column) -> Column:
-    return F.array(*[m[3 * c + r] for r in range(3) for c in range(3)])
+    return let(m, lambda v: F.array(*[v[3 * c + r] for r in range(3) for c in range(3)]))
 
 
 def mat3_inv(m: Column) -> Column:
     """Inverse by cofactors; null when singular."""
+    return let(m, _inverse)
 
+
+def _inverse(m: Column) -> Column:
     def cofactor(r, c):
         r1, r2, c1, c2 = (r + 1) % 3, (r + 2) % 3, (c + 1) % 3, (c + 2) % 3
         return m[3 * r1 + c1] * m[3 * r2 + c2] - m[3 * r1 + c2] * m[3 * r2 + c1]
 
-    det = m[0] * cofactor(0, 0) + m[1] * cofactor(0, 1) + m[2] * cofactor(0, 2)
-    return F.when(det != 0.0, F.array(*[cofactor(c, r) / det for r in range(3) for c in range(3)]))
+    determinant = m[0] * cofactor(0, 0) + m[1] * cofactor(0, 1) + m[2] * cofactor(0, 2)
+    adjugate = F.array(*[cofactor(c, r) for r in range(3) for c in range(3)])
+    return let(determinant, lambda det: F.when(det != 0.0, F.transform(adjugate, lambda v: v / det)))
 
 
 def _through_camera(rotation: Column, focal: Column, cx: Column, cy: Column) -> Column:
@@ -134,8 +182,7 @@ def _through_camera(rotation: Column, focal: Column, cx: Column, cy: Column) ->
     zero, one = F.lit(0.0), F.lit(1.0)
     k = F.array(focal, zero, cx, zero, focal, cy, zero, zero, one)
     k_inv = F.array(one / focal, zero, -cx / focal, zero, one / focal, -cy / focal, zero, zero, one)
-    h = mat3_mul(mat3_mul(k, rotation), k_inv)
-    return F.transform(h, lambda v: v / h[8])
+    return let(mat3_mul(mat3_mul(k, rotation), k_inv), lambda h: F.transform(h, lambda v: v / h[8]))
 
 
 def normalization_homography(
@@ -185,6 +232,10 @@ def bank_to_turn_rate(bank: Column, airspeed: Column) -> Column:
 
 
 def q_to_matrix(q: Column) -> Column:
+    return let(q, _matrix_of_unit)
+
+
+def _matrix_of_unit(q: Column) -> Column:
     w, x, y, z = (q[i] for i in range(4))
     return F.array(
         1.0 - (y * y + z * z) * 2.0, (x * y - w * z) * 2.0, (x * z + w * y) * 2.0,
@@ -195,6 +246,10 @@ def q_to_matrix(q: Column) -> Column:
 
 def matrix_to_euler(m: Column) -> Column:
     """struct(roll, pitch, yaw) in degrees; at pitch +-90 yaw is 0 and roll takes the rest."""
+    return let(m, _euler_of_matrix)
+
+
+def _euler_of_matrix(m: Column) -> Column:
     sin_pitch = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), -m[6]))
     locked = 1.0 - F.abs(m[6]) < 1e-9
     return F.struct(

@@ -48,9 +48,11 @@ def canonical(columns, rows):
 
 def compare(spark, con, name, query, sql, folder):
     df = query(spark, folder)
+    start = time.time()
     columns, rows = canonical(df.columns, [tuple(r) for r in df.collect()])
+    spent = f"spark {time.time() - start:.1f}s"
     if sql is None:
-        return f"rows-only {len(rows)}", True
+        return f"rows-only {len(rows)} {spent}", True
     cur = con.execute(sql)
     other_columns, others = canonical([d[0] for d in cur.description], cur.fetchall())
     if columns != other_columns:
@@ -60,7 +62,7 @@ def compare(spark, con, name, query, sql, folder):
     different = [(a, b) for a, b in zip(rows, others) if a != b]
     if different:
         return f"{len(different)} of {len(rows)} rows differ, e.g.\n   {different[0][0]}\n   {different[0][1]}", False
-    return f"ok {len(rows)}", True
+    return f"ok {len(rows)} {spent}", True
 
 
 def main() -> None:
