@@ -72,11 +72,13 @@ def _chain(ends: DataFrame, by: list[str], decay: float, block: int, fan: int =
     reach = 1
     while decay ** (block * reach) > 0.0 and reach < fan:
         reach += 1
-    before = Window.partitionBy(*by).orderBy("_block").rowsBetween(-reach, -1)
-    recent = F.collect_list(F.col("_end")).over(before)
+    placed = ends.select(*by, F.col("_block").alias("_at"), (F.col("_block") + 1).alias("_pos"), "_end")
+    spread, here, own = with_preceding_rows(placed, by, "_pos", reach)
+    recent = F.collect_list(F.col("_end")).over(here.rowsBetween(-reach, -1))
     weight = decay**block
     entering = F.aggregate(recent, F.lit(0.0), lambda acc, end: acc * weight + end)
-    return ends.select(*by, "_block", F.coalesce(entering, F.lit(0.0)).alias("_in"))
+    chained = spread.select("*", F.coalesce(entering, F.lit(0.0)).alias("_in")).filter(own)
+    return chained.select(*by, F.col("_at").alias("_block"), "_in")
 
 
 def smoothed_rate(df: DataFrame, alpha: float = P.RATE_ALPHA, width: float = SLICE_S) -> DataFrame:

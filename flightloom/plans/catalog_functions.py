@@ -348,7 +348,7 @@ def text_functions(d):
       cast(null as double) as exif_bad,
       round(epoch_us(ts) / 1000000.0, 6) as epoch, epoch_us(ts) as back_us,
       round((5000000 * seq - 1500000) / 1000000.0, 6) as age,
-      round((epoch_us(ts) - min(epoch_us(ts)) over (partition by mission_id)) / 1000000.0, 3) as mission_time
+      (epoch_us(ts) - min(epoch_us(ts)) over (partition by mission_id)) / 1000000.0::double as mission_time
     from fx_base""",
 )
 def time_functions(d):
@@ -357,7 +357,7 @@ def time_functions(d):
     seconds = values.epoch_seconds(c("ts"))
     df = scan(
         d.fx_base.withColumn("seconds", seconds), ["mission_id"], ["seconds", "event_id"],
-        [FirstOf("start", c("seconds"))], 86400.0,
+        [FirstOf("start", F.unix_micros(c("ts").cast("timestamp")))], 86400.0,
     )
     colon, dash = F.date_format("ts", "yyyy:MM:dd HH:mm:ss"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
     return df.select(
@@ -366,7 +366,7 @@ def time_functions(d):
         values.exif_time(F.concat(F.lit("x"), dash)).alias("exif_bad"),
         F.round("seconds", 6).alias("epoch"), F.unix_micros(values.to_timestamp(c("seconds"))).alias("back_us"),
         F.round(values.age_ms(c("seq") * 5000000, F.lit(1500000)), 6).alias("age"),
-        F.round(c("seconds") - c("start"), 3).alias("mission_time"),
+        ((F.unix_micros(c("ts").cast("timestamp")) - c("start")) / 1e6).alias("mission_time"),
     )
 
 
