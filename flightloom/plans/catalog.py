@@ -3,5 +3,7 @@
 from flightloom.plans import (  # noqa: F401
     catalog_functions,
     catalog_coverage,
+    catalog_windows,
+    catalog_joins,
 )
 from flightloom.plans.registry import ORACLES, QUERIES  # noqa: F401

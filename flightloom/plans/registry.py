@@ -10,6 +10,7 @@ from flightloom.plans import derived
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+ORIGIN: dict[str, str] = {}
 
 
 class Tables:
@@ -31,6 +32,7 @@ def query(name: str, uses: tuple[str, ...] | list[str] = (), sql: str | None = N
 
     def add(fn):
         QUERIES[name] = lambda spark, folder: fn(Tables(spark, folder))
+        ORIGIN[name] = fn.__module__.rsplit("_", 1)[-1]
         if sql is not None:
             ORACLES[name] = derived.with_views(uses, sql)
         return fn

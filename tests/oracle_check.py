@@ -72,9 +72,11 @@ def main() -> None:
     args = sys.argv[1:]
     folder = args.pop(0) if args and args[0].startswith("/") else "/root/testdata/sf0.01"
     spark, con = local_session(), connect(folder)
+    from flightloom.plans.registry import ORIGIN as origin
+
     queries, sqls, bad = entry.queries(), entry.oracle_sql(), []
     for name, query in queries.items():
-        if args and not any(part in name for part in args):
+        if args and not any(part in name or part == origin.get(name) for part in args):
             continue
         start = time.time()
         try:
