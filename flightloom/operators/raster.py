@@ -49,8 +49,9 @@ def dsm(
     """
     c = F.col
     trimmed = trim_heights(points, slice_z=slice_z)
-    shape = grid_shape(trimmed, resolution).filter(
-        (c("points") >= min_points) & (c("width") > 1) & (c("height") > 1)
+    size = points.agg(F.count(F.lit(1)).alias("all_points"))
+    shape = grid_shape(trimmed, resolution).crossJoin(F.broadcast(size)).filter(
+        (c("all_points") >= min_points) & (c("width") > 1) & (c("height") > 1)
         & (c("width") * c("height") <= max_cells)
     )
     placed = trimmed.crossJoin(F.broadcast(shape)).select(
@@ -79,7 +80,7 @@ def raster_extent(cells: DataFrame, by: list[str], max_dim: int, image_pixels: f
     )
     w, h = c("col1") - c("col0") + 1, c("row1") - c("row0") + 1
     scale = F.least(F.lit(1.0), F.lit(float(max_dim)) / F.greatest(w, h))
-    out_w, out_h = F.greatest(F.lit(1), F.floor(w * scale)), F.greatest(F.lit(1), F.floor(h * scale))
+    out_w, out_h = F.greatest(F.lit(1), F.ceil(w * scale)), F.greatest(F.lit(1), F.ceil(h * scale))
     return box.select(
         "*", scale.alias("scale"), out_w.cast("bigint").alias("width"), out_h.cast("bigint").alias("height"),
         (out_w * out_h / 1e6).alias("megapixels"), (out_w * out_h / float(image_pixels)).alias("image_ratio"),

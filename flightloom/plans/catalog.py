@@ -5,5 +5,6 @@ from flightloom.plans import (  # noqa: F401
     catalog_coverage,
     catalog_windows,
     catalog_joins,
+    catalog_pairs,
 )
 from flightloom.plans.registry import ORACLES, QUERIES  # noqa: F401

