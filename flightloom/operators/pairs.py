@@ -9,6 +9,7 @@ from flightloom import params as P
 from flightloom.functions import attitude, geo
 from flightloom.functions import footprint as fp
 from flightloom.operators.coverage import local_shapes
+from flightloom.session import cut_lineage
 from flightloom.operators.timeline import FirstOf, RowNumber, Whole, scan
 
 
@@ -151,7 +152,8 @@ def candidate_graph(
     ``prior`` adds the expected image transform from the attitudes (nine values).
     """
     c = F.col
-    nodes = image_nodes(captures, quality, width)
+    # read four times below, so written once
+    nodes = cut_lineage(image_nodes(captures, quality, width))
     by_place = spatial_pairs(nodes).withColumn("temporal", F.lit(False))
     by_time = temporal_pairs(nodes, k).withColumn("temporal", F.lit(True))
     # a pair found both ways counts as found by place

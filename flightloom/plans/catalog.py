@@ -6,5 +6,6 @@ from flightloom.plans import (  # noqa: F401
     catalog_windows,
     catalog_joins,
     catalog_pairs,
+    catalog_reports,
 )
 from flightloom.plans.registry import ORACLES, QUERIES  # noqa: F401

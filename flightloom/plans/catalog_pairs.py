@@ -36,13 +36,15 @@ GRAPH = f"""{NODES}, {MET},
   picked as (select distinct mission_id, ia, ib from (select *, row_number() over (partition by mission_id, en order by round(score, 9) desc, ia, ib) as k from ends) where k <= 8),
   graph as (select scored.* from scored join picked using (mission_id, ia, ib))"""
 CAP = "cap as (select *, 1.0 as q from fx_capture)"
-MEASURE_SQL = ", ".join(f"{r(m)} as {m}" for m in METRICS)
+# metres between an image with a position and one without are in the thousands of kilometres, hence 3 digits
+DIGITS = {m: 3 if m == "distance_m" else 6 for m in METRICS}
+MEASURE_SQL = ", ".join(f"{r(m, k)} as {m}" for m, k in DIGITS.items())
 
 
 def measured(df):
     return df.select(
         "mission_id", c("a.image_name").alias("source"), c("b.image_name").alias("target"),
-        *[F.round(m, 6).alias(m) for m in METRICS],
+        *[F.round(m, k).alias(m) for m, k in DIGITS.items()],
     )
 
 
@@ -106,10 +108,10 @@ _LAP = """px as (select image_id, r, c, g from fx_pixel),
     join px dn on dn.image_id = p.image_id and dn.c = p.c and dn.r = case when p.r = 7 then 6 else p.r + 1 end
     join px l on l.image_id = p.image_id and l.r = p.r and l.c = case when p.c = 0 then 1 else p.c - 1 end
     join px ri on ri.image_id = p.image_id and ri.r = p.r and ri.c = case when p.c = 7 then 6 else p.c + 1 end),
-  met as (select image_id, var_pop(v) as blur_variance from lap group by 1),
+  blurs as (select image_id, var_pop(v) as blur_variance from lap group by 1),
   plain as (select image_id, avg(g) as brightness, avg(case when g <= 3 then 1.0 else 0 end) as shadow_share, avg(case when g >= 252 then 1.0 else 0 end) as highlight_share,
     avg(case when g < 20 then 1.0 else 0 end) as dark_share, avg(case when g > 245 then 1.0 else 0 end) as bright_share from px group by 1),
-  metrics as (select * from plain join met using (image_id))"""
+  metrics as (select * from plain join blurs using (image_id))"""
 
 
 def metrics(d):
