@@ -18,7 +18,6 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from flightloom.operators.timeline import SLICE, slice_of
 from flightloom.session import cut_lineage
@@ -34,13 +33,17 @@ class Step(Protocol):
     def step(self, state: list, row: tuple) -> tuple[list, tuple]: ...
 
 
-def _pass(fold: Step, keys: list[str], inputs: list[str], keep: list[str], out: pa.Schema, rows: bool):
+_ARROW = {"string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "bigint": pa.int64()}
+
+
+def _pass(fold: Step, keys: list[str], inputs: list[str], keep: list[str], made: list[tuple[str, str]], rows: bool):
     """The task side: walk sorted rows, restarting at every new key. Yields rows or final states."""
     width = len(keys)
 
     def run(batches):
-        key, state, ends = None, None, []
+        key, state, ends, key_types = None, None, [], None
         for batch in batches:
+            key_types = [batch.schema.field(name).type for name in keys]
             columns = [batch.column(name).to_pylist() for name in [*keys, *inputs, "_entry"]]
             results = []
             for row in zip(*columns):
@@ -52,15 +55,13 @@ def _pass(fold: Step, keys: list[str], inputs: list[str], keep: list[str], out:
                 state, result = fold.step(state, row[width:-1])
                 results.append(result)
             if rows and results:
-                made = [pa.array(v, type=field.type) for v, field in zip(zip(*results), list(out)[len(keep):])]
-                arrays = [batch.column(name).cast(out.field(name).type) for name in keep] + made
-                yield pa.RecordBatch.from_arrays(arrays, schema=out)
-        if not rows:
-            if key is not None:
-                ends.append((*key, json.dumps(state)))
-            arrays = [pa.array(v, type=f.type) for v, f in zip(zip(*ends), out)] if ends else []
-            if ends:
-                yield pa.RecordBatch.from_arrays(arrays, schema=out)
+                arrays = [batch.column(name) for name in keep]
+                arrays += [pa.array(v, type=_ARROW[kind]) for v, (_, kind) in zip(zip(*results), made)]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *[name for name, _ in made]])
+        if key is not None and not rows:
+            ends.append((*key, json.dumps(state)))
+            arrays = [pa.array(v, type=t) for v, t in zip(zip(*ends), [*key_types, pa.string()])]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*keys, "_exit"])
 
     return run
 
@@ -69,11 +70,11 @@ def _execute(df: DataFrame, fold: Step, by: list[str], order: list[str], inputs:
     keys = [*by, SLICE]
     needed = list(dict.fromkeys([*keys, *order, *inputs, *(keep if rows else []), "_entry"]))
     sorted_rows = df.select(*needed).repartition(*keys).sortWithinPartitions(*keys, *order)
-    source = T.StructType([f for name in (keep if rows else keys) for f in df.select(name).schema])
-    extra = T.StructType.fromDDL(fold.outputs) if rows else T.StructType([T.StructField("_exit", T.StringType())])
-    schema = T.StructType([*source.fields, *extra.fields])
-    arrow = to_arrow_schema(schema, timezone="UTC")
-    return sorted_rows.mapInArrow(_pass(fold, keys, inputs, keep if rows else [], arrow, rows), schema)
+    fields = {field.name: field for field in df.schema}
+    extra = T.StructType.fromDDL(fold.outputs if rows else "_exit string")
+    schema = T.StructType([*[fields[name] for name in (keep if rows else keys)], *extra.fields])
+    made = [(field.name, field.dataType.simpleString()) for field in extra.fields]
+    return sorted_rows.mapInArrow(_pass(fold, keys, inputs, keep if rows else [], made, rows), schema)
 
 
 def ordered_fold(

@@ -102,13 +102,13 @@ def reach(edges: DataFrame, anchors: DataFrame, transforms: bool = False, max_ho
     at the same distance the smallest name wins. One join per hop, over the frontier only; with
     ``transforms`` each image carries parent * inverse(h) back to the anchor.
     """
-    cols = ["mission_id", "source", "target"]
-    h = [F.col("h")] if transforms else []
-    back = [attitude.mat3_inv(F.col("h")).alias("h")] if transforms else []
+    c = F.col
+    there = [c("source"), c("target"), *([c("h")] if transforms else [])]
+    back = [c("target").alias("source"), c("source").alias("target")]
+    if transforms:
+        back.append(attitude.mat3_inv(c("h")).alias("h"))
     both = cut_lineage(
-        edges.select(*cols, *h).unionByName(
-            edges.select("mission_id", F.col("target").alias("source"), F.col("source").alias("target"), *back)
-        )
+        edges.select("mission_id", F.explode(F.array(F.struct(*there), F.struct(*back))).alias("_e")).select("mission_id", "_e.*")
     )
     one = F.array(*[F.lit(float(v)) for v in (1, 0, 0, 0, 1, 0, 0, 0, 1)])
     found = anchors.select(

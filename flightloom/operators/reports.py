@@ -426,7 +426,7 @@ def rate_windows(samples: DataFrame, seconds: float, expected_hz: float, by: lis
     """Samples per window of event time against the expected rate. Needs a timestamp column ts."""
     width = f"{int(seconds * 1000)} milliseconds"
     span = F.window("ts", width, f"{int(slide * 1000)} milliseconds") if slide else F.window("ts", width)
-    out = samples.groupBy(*by, span.alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    out = samples.withColumn("ts", F.col("ts").cast("timestamp")).groupBy(*by, span.alias("w")).agg(F.count(F.lit(1)).alias("n"))
     return out.select(
         *by, F.col("w.start").alias("window_start"), "n", (F.col("n") / F.lit(seconds)).alias("actual_hz"),
         (F.col("n") < F.lit(expected_hz * seconds)).alias("below_expected"),

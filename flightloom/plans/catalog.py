@@ -7,5 +7,7 @@ from flightloom.plans import (  # noqa: F401
     catalog_joins,
     catalog_pairs,
     catalog_reports,
+    catalog_stateful,
+    catalog_graph,
 )
 from flightloom.plans.registry import ORACLES, QUERIES  # noqa: F401
