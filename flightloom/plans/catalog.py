@@ -9,5 +9,6 @@ from flightloom.plans import (  # noqa: F401
     catalog_reports,
     catalog_stateful,
     catalog_graph,
+    catalog_sources,
 )
 from flightloom.plans.registry import ORACLES, QUERIES  # noqa: F401
