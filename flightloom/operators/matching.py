@@ -64,6 +64,15 @@ def _two_nearest(hamming: bool, keys: list[str]):
     return run
 
 
+DESCRIPTORS = "image_name string, feature_id bigint, x double, y double, scale double, vec array<double>"
+
+
+def extract_features(images: DataFrame, backend) -> DataFrame:
+    """Descriptors from a backend of the caller's: a function from batches of image rows (pandas) to
+    batches of the DESCRIPTORS layout. None is shipped here."""
+    return images.mapInPandas(backend, DESCRIPTORS)
+
+
 def ratio_matches(
     edges: DataFrame, descriptors: DataFrame, ratio: float = P.MATCH_RATIO, hamming: bool = False, block: int = 2048,
     by: list[str] | None = None,

@@ -15,13 +15,14 @@ def finite_points(points: DataFrame) -> DataFrame:
     return points.filter(is_finite(F.col("x")) & is_finite(F.col("y")) & is_finite(F.col("z")))
 
 
-def trim_heights(points: DataFrame, low: float = 0.01, high: float = 0.99, slice_z: float = 1.0) -> DataFrame:
-    """Points between two exact height percentiles of the whole cloud."""
+def trim_heights(points: DataFrame, low: float = 0.01, high: float = 0.99, slice_z: float = 0.01) -> DataFrame:
+    """Points between two exact height percentiles of the whole cloud (a scalar subquery, no join)."""
     fine = finite_points(points)
-    limits = exact_quantiles(fine, [], "z", {"low": low, "high": high}, slice_z).select("low", "high")
-    # one row, so the broadcast is bounded whatever the cloud
-    joined = fine.join(F.broadcast(limits), F.col("z").between(F.col("low"), F.col("high")), "left_semi")
-    return joined
+    limits = exact_quantiles(fine, [], "z", {"low": low, "high": high}, slice_z).select(
+        F.struct("low", "high").alias("range")
+    )
+    span = limits.scalar()
+    return fine.filter(F.col("z").between(span["low"], span["high"]))
 
 
 def grid_shape(points: DataFrame, resolution: float) -> DataFrame:
@@ -40,7 +41,7 @@ def grid_shape(points: DataFrame, resolution: float) -> DataFrame:
 
 def dsm(
     points: DataFrame, resolution: float = 0.25, share: float = 0.9, min_points: int = 100,
-    max_cells: int = 50_000_000, slice_z: float = 1.0,
+    max_cells: int = 50_000_000, slice_z: float = 0.25,
 ) -> DataFrame:
     """Surface height per cell (row, col, z): exact 90th percentile of the trimmed points in it.
 
@@ -48,16 +49,19 @@ def dsm(
     points has no row.
     """
     c = F.col
-    trimmed = trim_heights(points, slice_z=slice_z)
-    size = points.agg(F.count(F.lit(1)).alias("all_points"))
-    shape = grid_shape(trimmed, resolution).crossJoin(F.broadcast(size)).filter(
-        (c("all_points") >= min_points) & (c("width") > 1) & (c("height") > 1)
-        & (c("width") * c("height") <= max_cells)
-    )
-    placed = trimmed.crossJoin(F.broadcast(shape)).select(
-        F.least(F.greatest(F.floor((c("y1") - c("y")) / resolution), F.lit(0)), c("height") - 1).cast("bigint").alias("row"),
-        F.least(F.greatest(F.floor((c("x") - c("x0")) / resolution), F.lit(0)), c("width") - 1).cast("bigint").alias("col"),
-        "z",
+    trimmed = trim_heights(points)
+    shape = grid_shape(trimmed, resolution).filter(
+        (c("width") > 1) & (c("height") > 1) & (c("width") * c("height") <= max_cells)
+    )
+    grid = shape.select(F.struct("x0", "y1", "width", "height").alias("grid")).scalar()
+    enough = points.agg(F.count(F.lit(1)).alias("n")).scalar() >= min_points
+    on_grid = trimmed.filter(enough).withColumn("g", grid).filter(c("g").isNotNull())
+
+    def cell(distance, size):
+        return F.least(F.greatest(F.floor(distance / resolution), F.lit(0)), size - 1).cast("bigint")
+
+    placed = on_grid.select(
+        cell(c("g.y1") - c("y"), c("g.height")).alias("row"), cell(c("x") - c("g.x0"), c("g.width")).alias("col"), "z"
     )
     return exact_quantiles(placed, ["row", "col"], "z", {"height": share}, slice_z).select(
         "row", "col", c("n").alias("points"), c("height").alias("z")

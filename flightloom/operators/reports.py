@@ -132,10 +132,11 @@ def verification(
     ``health``: mission_id, worker, status, reason. ``enabled``: worker, enabled (a handful of rows).
     ``extra``: mission_id, category, reason, optionally status; findings beside the workers' own.
     """
-    spark = health.sparkSession
-    listed = spark.createDataFrame([(i, c, w) for i, (c, w) in enumerate(categories)], "ord int, category string, worker string")
+    listed = F.array(
+        *[F.struct(F.lit(i).alias("ord"), F.lit(c).alias("category"), F.lit(w).alias("worker")) for i, (c, w) in enumerate(categories)]
+    )
     everyone = (missions if missions is not None else health).select("mission_id").distinct()
-    expected = everyone.crossJoin(F.broadcast(listed)).join(F.broadcast(enabled), "worker", "left")
+    expected = everyone.select("mission_id", F.explode(listed).alias("_c")).select("mission_id", "_c.*").join(enabled, "worker", "left")
     seen = expected.join(health.select("mission_id", "worker", "status", "reason"), ["mission_id", "worker"], "left")
     on, status = F.coalesce(F.col("enabled"), F.lit(True)), F.col("status")
     verdict = (

@@ -389,3 +389,24 @@ def nested_functions(d):
         values.lookup(info, "seq", "none").alias("looked_up"), values.lookup(info, "zz", "none").alias("missing"),
         F.size(ring).alias("ring_size"), F.round(F.element_at(ring, -1), 6).alias("ring_last"),
     )
+
+
+@query(
+    "sql_functions",
+    ["fx_capture"],
+    f"""select mission_id, seq, {r(haversine('18.5204::double', '73.8567::double', 'latitude', 'longitude'), 4)} as far,
+      {r(wrap('yaw - 90'))} as turned, {r('abs(' + wrap('roll * 10 - yaw + 180') + ' - 180)')} as delta, {r('2 * greatest(gps_altitude, 2) * tan(radians(62.2) / 2)')} as width,
+      {r('44330.0 * (1 - pow((gps_altitude + 900) / 1000.0, 1 / 5.255))')} as height, cast(seq as bigint) as number, {r('sqrt(roll * roll + pitch * pitch + 1) / 9.80665')} as g
+    from fx_capture""",
+)
+def sql_functions(d):
+    from flightloom.functions.sql import register_sql_functions
+
+    register_sql_functions(d.spark)
+    return d.spark.sql(
+        """select mission_id, seq, round(haversine_m(18.5204D, 73.8567D, latitude, longitude), 4) as far, round(wrap_360(yaw - 90D), 6) as turned,
+          round(angle_delta(yaw, roll * 10D), 6) as delta, round(footprint_width_m(gps_altitude), 6) as width,
+          round(altitude_from_pressure(gps_altitude + 900D, 1000D), 6) as height, trailing_number(image_name) as number, round(accel_g(roll, pitch, 1D), 6) as g
+        from {caps}""",
+        caps=d.fx_capture,
+    )

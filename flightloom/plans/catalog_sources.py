@@ -115,16 +115,16 @@ def fix_summary(d):
     "select mission_id, seq, seq % 10 <> 0 as found, case when seq % 10 <> 0 then case seq % 3 when 0 then 'GNGGA' when 1 then 'GPRMC' else 'GPGSV' end end as kind from fx_gps",
 )
 def sentence_search(d):
-    noisy = F.concat(F.lit("#!$xx*00\n$ab"), c("value"), F.lit("\r\n$tail"))
+    noisy = F.concat(F.lit("#!$xy*00\n$ab"), c("value"), F.lit("\r\n$tail"))
     out = messages.first_valid_sentence(nmea_lines(d).withColumn("value", noisy))
     return out.select("mission_id", "seq", c("sentence").isNotNull().alias("found"), F.substring("sentence", 2, 5).alias("kind"))
 
 
 @query(
     "exif_captures", ["fx_base"],
-    f"""with x as (select *, case when event_id % 4 <> 0 then cast(epoch(date_trunc('second', ts)) as double) end as at from fx_base),
-    b as (select mission_id, first(at order by seq) filter (where at is not null) as base from x group by 1)
-    select mission_id, seq, coalesce(at - base, cast(seq - 1 as double)) as t, {r('case when event_id % 6 <> 0 then -(18 + (event_id % 60) / 60.0 + (event_id % 50) / 3600.0) else 0 end')} as latitude,
+    f"""with x as (select *, case when event_id % 4 <> 0 then cast(epoch(date_trunc('second', ts)) as double) end as taken from fx_base),
+    b as (select mission_id, first(taken order by seq) filter (where taken is not null) as base from x group by 1)
+    select mission_id, seq, coalesce(taken - base, cast(seq - 1 as double)) as t, {r('case when event_id % 6 <> 0 then -(18 + (event_id % 60) / 60.0 + (event_id % 50) / 3600.0) else 0 end')} as latitude,
       case when event_id % 5 = 0 then -120.5 else 120.5 end as gps_altitude, 3120.0::double as focal_px from x join b using (mission_id)""",
 )
 def exif_captures(d):

@@ -34,15 +34,20 @@ def read_mission_log(spark: SparkSession, path: str, columns: list[str] | None =
     comma in a text and goes to the rejects as a raw line.
     """
     names = columns or list(LOG_COLUMNS)
-    schema = T.StructType([*[T.StructField(n, T.StringType()) for n in names], T.StructField("_line", T.StringType())])
+    # one column more than the layout has, so that a row with too many tokens shows; empty texts stay texts
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "_extra"]])
     raw = (
-        spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_line").csv(path)
-        .select("*", values.mission_id(F.col("_metadata.file_path")).alias("mission_id"))
+        spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("nullValue", "\u0000")
+        .csv(path)
     )
-    too_long = F.coalesce(F.size(F.split("_line", ",")) > len(names), F.lit(False))
-    kept = raw.filter(~too_long).select("mission_id", *[_typed(n, LOG_COLUMNS[n]) for n in names])
-    return kept, raw.filter(too_long).select("mission_id", F.col("_line").alias("line"))
+    if "mission_id" not in raw.columns:  # otherwise the folder names it
+        raw = raw.select("*", values.mission_id(F.col("_metadata.file_path")).alias("mission_id"))
+    kept = raw.filter(F.col("_extra").isNull()).select("mission_id", *[_typed(n, LOG_COLUMNS[n]) for n in names])
+    unquoted = F.regexp_replace("value", r'"[^"]*"', "")
+    long = spark.read.text(path).filter(F.size(F.split(unquoted, ",")) > len(names))
+    if "mission_id" not in long.columns:
+        long = long.select("value", values.mission_id(F.col("_metadata.file_path")).alias("mission_id"))
+    return kept, long.select("mission_id", F.col("value").alias("line"))
 
 
 def read_dataset_log(spark: SparkSession, path: str) -> DataFrame:

@@ -45,7 +45,8 @@ def _stepper(fold, by: list[str], order: list[str], inputs: list[str], keep: lis
         pdf = pd.concat(list(frames)).sort_values(order, kind="stable")
         results = []
         for row in pdf[inputs].astype(object).where(pdf[inputs].notna(), None).itertuples(index=False, name=None):
-            now, result = fold.step(now, row)
+            # plain Python numbers, as in the batch form, so that both round alike
+            now, result = fold.step(now, tuple(v.tolist() if hasattr(v, "tolist") else v for v in row))
             results.append(result)
         state.update((json.dumps(now),))
         made = pd.DataFrame(results, columns=out, index=pdf.index)
