@@ -72,14 +72,14 @@ def overlap_ratio(a: Column, b: Column, area_a: Column, area_b: Column) -> Colum
     return F.least(F.lit(1.0), w * h / F.greatest(F.lit(1.0), F.least(area_a, area_b)))
 
 
-def edge_crossing(y: Column, a: Column, b: Column) -> Column:
-    """East value where the edge a-b crosses the line north = y, null when it does not (even-odd rule)."""
-    run = F.nullif(b["north"] - a["north"], F.lit(0.0))
-    at = (b["east"] - a["east"]) * (y - a["north"]) / run + a["east"]
-    return F.when((a["north"] > y) != (b["north"] > y), at)
+def edge_crossing(y: Column, a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
+    """East value where the edge between two (east, north) corners crosses the line north = y, null when
+    it does not (even-odd rule; an edge that crosses is never level, so the division is safe)."""
+    (ae, an), (be, bn) = a, b
+    return F.when((an > y) != (bn > y), (be - ae) * (y - an) / (bn - an) + ae)
 
 
-def scanline(y: Column, corners: list[Column]) -> Column:
+def scanline(y: Column, corners: list[tuple[Column, Column]]) -> Column:
     """struct(enter, leave): the stretch of the line north = y inside a convex quad, nulls outside it.
 
     A point is inside by the even-odd rule when enter <= east < leave.
@@ -90,7 +90,7 @@ def scanline(y: Column, corners: list[Column]) -> Column:
 
 def point_in_quad(x: Column, y: Column, corners: Column) -> Column:
     """Even-odd test against four local corners."""
-    cut = scanline(y, [corners[i] for i in range(4)])
+    cut = scanline(y, [(corners[i]["east"], corners[i]["north"]) for i in range(4)])
     return F.coalesce((cut["enter"] <= x) & (x < cut["leave"]), F.lit(False))
 
 

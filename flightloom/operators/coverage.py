@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flightloom import params as P
@@ -38,11 +38,12 @@ def footprints(df: DataFrame) -> DataFrame:
     )
 
 
-def covered_cells(shapes: DataFrame, grid: float = P.COVERAGE_GRID_M, slice_s: float = 3600.0) -> DataFrame:
-    """(mission, image, cell) for every grid cell whose centre lies inside a footprint.
+def cell_runs(shapes: DataFrame, grid: float = P.COVERAGE_GRID_M, slice_s: float = 3600.0) -> DataFrame:
+    """(mission, seq, image, cy, first, last): the stretch of grid cells of one row whose centres lie
+    inside a footprint. Cells are counted from the mission's first footprint.
 
-    Cells are counted from the mission's first footprint. A footprint lists only the cells of its
-    own bounding box, so rows grow with covered ground and never with pairs of anything.
+    A footprint is convex, so each grid row it spans is one stretch; rows grow with the number of
+    images and the height of a footprint only.
     """
     c = F.col
     anchored = scan(
@@ -50,33 +51,52 @@ def covered_cells(shapes: DataFrame, grid: float = P.COVERAGE_GRID_M, slice_s: f
         [FirstOf("ref_lat", c("latitude")), FirstOf("ref_lon", c("longitude"))], slice_s,
     )
     local = [geo.to_local_ref(c("corners")[i]["lat"], c("corners")[i]["lon"], c("ref_lat"), c("ref_lon")) for i in range(4)]
-    quads = anchored.select("mission_id", "seq", "image_name", *[q.alias(f"q{i}") for i, q in enumerate(local)])
-    norths = [c(f"q{i}.north") for i in range(4)]
-
-    def span(low, high):
-        """Cells whose centre may lie between two coordinates."""
-        first, last = F.floor(low / grid).cast("bigint"), F.ceil(high / grid).cast("bigint") - 1
-        return F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
-
-    rows = quads.withColumn("cy", F.explode(span(F.least(*norths), F.greatest(*norths))))
-    cut = fp.scanline((c("cy") + 0.5) * grid, [c(f"q{i}") for i in range(4)])
-    runs = rows.select("mission_id", "seq", "image_name", "cy", cut.alias("cut")).filter(c("cut.enter").isNotNull())
-    cells = runs.select(
-        "mission_id", "seq", "image_name", "cy", c("cut.enter").alias("enter"), c("cut.leave").alias("leave"),
-        F.explode(span(c("cut.enter"), c("cut.leave"))).alias("cx"),
-    )
-    centre = (c("cx") + 0.5) * grid
-    return cells.filter((c("enter") <= centre) & (centre < c("leave"))).select(
-        "mission_id", "seq", "image_name", "cx", "cy"
+    # eight plain numbers are cheaper to carry through the explode than nested corners
+    flat = [q[part].alias(f"{part[0]}{i}") for i, q in enumerate(local) for part in ("east", "north")]
+    quads = anchored.select("mission_id", "seq", "image_name", *flat)
+    norths = [c(f"n{i}") for i in range(4)]
+    low, high = F.floor(F.least(*norths) / grid).cast("bigint"), F.ceil(F.greatest(*norths) / grid).cast("bigint") - 1
+    rows = quads.filter(high >= low).withColumn("cy", F.explode(F.sequence(low, high)))
+    cut = fp.scanline((c("cy") + 0.5) * grid, [(c(f"e{i}"), c(f"n{i}")) for i in range(4)])
+    # inline keeps the two cuts as columns; as plain expressions they would be worked out anew at every use
+    cuts = rows.select("mission_id", "seq", "image_name", "cy", F.inline(F.array(cut))).filter(c("enter").isNotNull())
+    # nearest cells, moved by one where their centre is not in [enter, leave)
+    near = F.floor(c("enter") / grid).cast("bigint")
+    far = F.ceil(c("leave") / grid).cast("bigint") - 1
+    first = near + F.when((near + 0.5) * grid < c("enter"), 1).otherwise(0)
+    last = far - F.when((far + 0.5) * grid >= c("leave"), 1).otherwise(0)
+    return cuts.select(
+        "mission_id", "seq", "image_name", "cy", first.alias("first"), last.alias("last")
+    ).filter(c("last") >= c("first"))
+
+
+def covered_cells(shapes: DataFrame, grid: float = P.COVERAGE_GRID_M, slice_s: float = 3600.0) -> DataFrame:
+    """(mission, image, cell) for every grid cell whose centre lies inside a footprint."""
+    return cell_runs(shapes, grid, slice_s).select(
+        "mission_id", "seq", "image_name", F.explode(F.sequence("first", "last")).alias("cx"), "cy"
     )
 
 
+def unique_cells(runs: DataFrame) -> DataFrame:
+    """Distinct cells per mission from stretches, without listing them.
+
+    Stretches that begin at the same cell are merged before the shuffle, so a mission that hovers
+    over one place is as small as the place. What meets in one window is one grid row of one
+    mission, at most one stretch per cell of it.
+    """
+    c = F.col
+    merged = runs.groupBy("mission_id", "cy", "first").agg(F.max("last").alias("last"))
+    before = Window.partitionBy("mission_id", "cy").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
+    reached = F.greatest(c("first") - 1, F.coalesce(F.max("last").over(before), c("first") - 1))
+    fresh = merged.select("mission_id", F.greatest(F.lit(0), c("last") - reached).alias("fresh"))
+    return fresh.groupBy("mission_id").agg(F.sum("fresh").alias("cells"))
+
+
 def coverage(
     shapes: DataFrame, grid: float = P.COVERAGE_GRID_M, missions: DataFrame | None = None, slice_s: float = 3600.0
 ) -> DataFrame:
     """Images, raw area, unique area and overlap per mission; zeros for a mission without footprints."""
-    distinct_cells = covered_cells(shapes, grid, slice_s).select("mission_id", "cx", "cy").distinct()
-    unique = distinct_cells.groupBy("mission_id").agg(F.count(F.lit(1)).alias("cells"))
+    unique = unique_cells(cell_runs(shapes, grid, slice_s))
     raw = shapes.groupBy("mission_id").agg(F.count(F.lit(1)).alias("images"), F.sum("area_m2").alias("raw_area_m2"))
     both = raw.join(unique, "mission_id", "left")
     if missions is not None:

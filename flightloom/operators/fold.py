@@ -91,7 +91,9 @@ def ordered_fold(
 
     keys = [*by, SLICE]
     at = slice_on if slice_on is not None else F.col(order[0])
-    sliced = df.withColumn(SLICE, slice_of(at, width))
+    needed = list(dict.fromkeys([*by, *order, *inputs, *keep]))
+    # read once to see how it is sliced and once or more to run, so written once
+    sliced = cut_lineage(df.withColumn(SLICE, slice_of(at, width)).select(*needed, SLICE))
     none = F.lit(None).cast("string")
     split = sliced.groupBy(*by).agg(F.min(SLICE).alias("a"), F.max(SLICE).alias("b")).filter("a < b")
     if split.isEmpty():

@@ -30,6 +30,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             )
         return linked.filter("u <> v").distinct()
 
+    edges = cut_lineage(edges.select("u", "v"))
     nodes = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     current = cut_lineage(
         edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()

@@ -94,7 +94,8 @@ def spatial_pairs(nodes: DataFrame, max_time_s: float = P.MAX_TIME_S) -> DataFra
     located = nodes.filter("has_gps").withColumn("_tb", bucket)
 
     def square(cell):
-        return F.floor(cell / half).cast("bigint")
+        # moved by half a square, so that the start of a mission is not on a border
+        return F.floor((cell + half // 2) / half).cast("bigint")
 
     right = located.select(
         "mission_id", "_tb", square(c("cell.cx")).alias("_sx"), square(c("cell.cy")).alias("_sy"), _boxed(nodes, "b")

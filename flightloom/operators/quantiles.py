@@ -22,9 +22,25 @@ def _counted(df: DataFrame, by: list[str], value: str, width: float) -> DataFram
     )
 
 
-def exact_quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float], width: float) -> DataFrame:
-    """Linear-interpolated quantiles, one column per name in ``shares``; null values must be filtered out."""
+def _largest_group(df: DataFrame, by: list[str]) -> int:
+    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    return counts.agg(F.max("n").alias("n")).first()["n"] or 0
+
+
+def exact_quantiles(
+    df: DataFrame, by: list[str], value: str, shares: dict[str, float], width: float, in_memory: int = 200_000
+) -> DataFrame:
+    """Linear-interpolated quantiles, one column per name in ``shares``; null values must be filtered out.
+
+    When the largest group is known to be small (one count first), the built-in percentile holds it
+    in memory; otherwise ranks are counted over slices of the value, of ``width`` each.
+    """
     keys = by or ["_all"]
+    if by and _largest_group(df, by) <= in_memory:
+        names = list(shares)
+        found = F.percentile(F.col(value), F.array(*[F.lit(shares[x]) for x in names]))
+        out = df.groupBy(*by).agg(F.count(value).alias("n"), found.alias("_q"))
+        return out.select(*by, "n", *[F.col("_q")[i].alias(x) for i, x in enumerate(names)])
     ranked = _counted(df, by, value, width)
     columns = []
     for name, share in shares.items():

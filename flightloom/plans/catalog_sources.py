@@ -125,7 +125,7 @@ def sentence_search(d):
     f"""with x as (select *, case when event_id % 4 <> 0 then cast(epoch(date_trunc('second', ts)) as double) end as taken from fx_base),
     b as (select mission_id, first(taken order by seq) filter (where taken is not null) as base from x group by 1)
     select mission_id, seq, coalesce(taken - base, cast(seq - 1 as double)) as t, {r('case when event_id % 6 <> 0 then -(18 + (event_id % 60) / 60.0 + (event_id % 50) / 3600.0) else 0 end')} as latitude,
-      case when event_id % 5 = 0 then -120.5 else 120.5 end as gps_altitude, 3120.0::double as focal_px from x join b using (mission_id)""",
+      case when event_id % 5 = 0 then -120.5::double else 120.5::double end as gps_altitude, 3120.0::double as focal_px from x join b using (mission_id)""",
 )
 def exif_captures(d):
     e = c("event_id")

@@ -59,9 +59,7 @@ def test_every_step_agrees_with_brute_force_at_any_width(spark):
 def test_preceding_rows_across_blocks(spark):
     df = spark.range(1, 101).select(F.lit(1).alias("m"), F.col("id").alias("n"))
     spread, window, own = with_preceding_rows(df, ["m"], "n", 9, block=7 * 2)
-    got = spread.select("n", F.sum("n").over(window.rowsBetween(-9, 0)).alias("s")).filter(own) if False else (
-        spread.withColumn("s", F.sum("n").over(window.rowsBetween(-9, 0))).filter(own).select("n", "s")
-    )
+    got = spread.withColumn("s", F.sum("n").over(window.rowsBetween(-9, 0))).filter(own).select("n", "s")
     assert {r.n: r.s for r in got.collect()} == {n: sum(range(max(1, n - 9), n + 1)) for n in range(1, 101)}
 
 
@@ -91,8 +89,10 @@ def test_quantiles_are_exact_with_any_slicing(spark):
     values = [float((i * 7919) % 1013) / 7 for i in range(900)] + [3.0] * 300
     df = spark.createDataFrame([(v,) for v in values], "z double")
     for width in (0.5, 1000.0):
-        row = exact_quantiles(df, [], "z", {"a": 0.01, "b": 0.5, "c": 0.99}, width).first()
         want = np.percentile(values, [1, 50, 99])
-        assert abs(row.a - want[0]) < 1e-9 and abs(row.b - want[1]) < 1e-9 and abs(row.c - want[2]) < 1e-9
+        keyed = df.withColumn("k", F.lit(1))
+        for by, memory in (([], 0), (["k"], 0), (["k"], 10_000)):  # counted, counted per key, held in memory
+            row = exact_quantiles(keyed, by, "z", {"a": 0.01, "b": 0.5, "c": 0.99}, width, memory).first()
+            assert abs(row.a - want[0]) < 1e-9 and abs(row.b - want[1]) < 1e-9 and abs(row.c - want[2]) < 1e-9
         at = values_at(df, [], "z", {"p": 0.95}, width).first()
         assert at.p == sorted(values)[int(len(values) * 0.95)]
