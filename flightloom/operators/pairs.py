@@ -48,21 +48,27 @@ def image_nodes(captures: DataFrame, quality: DataFrame | None = None, width: fl
     cell = geo.grid_cell(c("centre.east"), c("centre.north"), P.SPATIAL_GRID_M)
     return shaped.select(
         "mission_id", (c("_n") - 1).alias("idx"), "image_name", "t", "latitude", "longitude", "yaw", "roll", "pitch",
-        "altitude_m", "box", "area_m2", cell.alias("cell"), "quality_score", (c("_gps") == 1).alias("has_gps"),
+        "altitude_m", "box.*", "area_m2", cell["cx"].alias("cx"), cell["cy"].alias("cy"), "quality_score",
+        (c("_gps") == 1).alias("has_gps"),
     )
 
 
 def _measured(pairs: DataFrame) -> DataFrame:
-    """Pair measures from the two boxed images a (earlier) and b."""
-    a, b = (lambda n: F.col(f"a.{n}")), (lambda n: F.col(f"b.{n}"))
+    """Pair measures from the columns a_* of the earlier image and b_* of the later one."""
+    a, b = (lambda n: F.col(f"a_{n}")), (lambda n: F.col(f"b_{n}"))
+    carried = [f"{side}_{n}" for side in "ab" for n in ("idx", "image_name", "roll", "pitch", "yaw", "quality_score")]
+
+    def box(side):
+        return F.struct(*[side(n).alias(n) for n in ("min_e", "min_n", "max_e", "max_n")])
+
     return pairs.select(
-        "mission_id", "a", "b",
+        "mission_id", *carried,
         geo.haversine_m(a("latitude"), a("longitude"), b("latitude"), b("longitude")).alias("distance_m"),
         F.abs(b("t") - a("t")).alias("time_delta_s"),
         geo.angle_delta(a("yaw"), b("yaw")).alias("yaw_delta_deg"),
         fp.altitude_ratio(a("altitude_m"), b("altitude_m")).alias("altitude_ratio"),
         fp.tilt_delta(a("roll"), a("pitch"), b("roll"), b("pitch")).alias("roll_pitch_delta_deg"),
-        fp.overlap_ratio(a("box"), b("box"), a("area_m2"), b("area_m2")).alias("predicted_overlap"),
+        fp.overlap_ratio(box(a), box(b), a("area_m2"), b("area_m2")).alias("predicted_overlap"),
     )
 
 
@@ -75,8 +81,8 @@ def _plausible() -> Column:
     )
 
 
-def _boxed(nodes: DataFrame, name: str) -> Column:
-    return F.struct(*[x for x in nodes.columns if x not in ("mission_id", "has_gps")]).alias(name)
+def _sided(nodes: DataFrame, side: str) -> list[Column]:
+    return [F.col(x).alias(f"{side}_{x}") for x in nodes.columns if x not in ("mission_id", "has_gps")]
 
 
 def spatial_pairs(nodes: DataFrame, max_time_s: float = P.MAX_TIME_S) -> DataFrame:
@@ -98,17 +104,18 @@ def spatial_pairs(nodes: DataFrame, max_time_s: float = P.MAX_TIME_S) -> DataFra
         return F.floor((cell + half // 2) / half).cast("bigint")
 
     right = located.select(
-        "mission_id", "_tb", square(c("cell.cx")).alias("_sx"), square(c("cell.cy")).alias("_sy"), _boxed(nodes, "b")
+        "mission_id", "_tb", square(c("cx")).alias("_sx"), square(c("cy")).alias("_sy"), *_sided(nodes, "b")
     )
     left = located.select(
-        "mission_id", _boxed(nodes, "a"), F.explode(F.array("_tb", c("_tb") + 1)).alias("_tb"),
+        "mission_id", *_sided(nodes, "a"), F.explode(F.array("_tb", c("_tb") + 1)).alias("_tb"),
     )
     for axis in ("x", "y"):
-        around = F.array_distinct(F.array(square(c(f"a.cell.c{axis}") - 1), square(c(f"a.cell.c{axis}") + 1)))
+        around = F.array_distinct(F.array(square(c(f"a_c{axis}") - 1), square(c(f"a_c{axis}") + 1)))
         left = left.withColumn(f"_s{axis}", F.explode(around))
     met = left.join(right, ["mission_id", "_tb", "_sx", "_sy"]).filter(
-        (c("a.idx") < c("b.idx"))
-        & (F.abs(c("a.cell.cx") - c("b.cell.cx")) <= 1) & (F.abs(c("a.cell.cy") - c("b.cell.cy")) <= 1)
+        (c("a_idx") < c("b_idx"))
+        & (F.abs(c("a_cx") - c("b_cx")) <= 1) & (F.abs(c("a_cy") - c("b_cy")) <= 1)
+        & (c("b_t") - c("a_t") <= max_time_s)
     )
     return _measured(met).filter(_plausible())
 
@@ -118,9 +125,9 @@ def temporal_pairs(nodes: DataFrame, k: int = P.MAX_NEIGHBORS) -> DataFrame:
     c = F.col
     steps = F.when(c("has_gps"), F.lit(P.TEMPORAL_NEIGHBORS)).otherwise(F.lit(max(P.TEMPORAL_NEIGHBORS, k)))
     left = nodes.select(
-        "mission_id", _boxed(nodes, "a"), F.explode(F.sequence(F.lit(1), steps)).alias("_o")
-    ).select("mission_id", "a", (c("a.idx") + c("_o")).alias("_j"))
-    right = nodes.select("mission_id", c("idx").alias("_j"), _boxed(nodes, "b"))
+        "mission_id", *_sided(nodes, "a"), F.explode(F.sequence(F.lit(1), steps)).alias("_o")
+    ).withColumn("_j", c("a_idx") + c("_o")).drop("_o")
+    right = nodes.select("mission_id", c("idx").alias("_j"), *_sided(nodes, "b"))
     return _measured(left.join(right, ["mission_id", "_j"])).filter(c("time_delta_s") <= P.MAX_TIME_S)
 
 
@@ -158,15 +165,15 @@ def candidate_graph(
     by_place = spatial_pairs(nodes).withColumn("temporal", F.lit(False))
     by_time = temporal_pairs(nodes, k).withColumn("temporal", F.lit(True))
     # a pair found both ways counts as found by place
-    both = by_place.unionByName(by_time).withColumn("idx_a", c("a.idx")).withColumn("idx_b", c("b.idx"))
+    both = by_place.unionByName(by_time).withColumnsRenamed({"a_idx": "idx_a", "b_idx": "idx_b"})
     ranked = Window.partitionBy("mission_id", "idx_a", "idx_b").orderBy("temporal")
     once = both.withColumn("_r", F.row_number().over(ranked)).filter(c("_r") == 1).drop("_r")
     scored = once.select(
-        "mission_id", "idx_a", "idx_b", c("a.image_name").alias("source"), c("b.image_name").alias("target"),
+        "mission_id", "idx_a", "idx_b", c("a_image_name").alias("source"), c("b_image_name").alias("target"),
         "distance_m", "yaw_delta_deg", "time_delta_s", "altitude_ratio", "roll_pitch_delta_deg", "predicted_overlap",
         fp.edge_score(
             c("predicted_overlap"), c("distance_m"), c("time_delta_s"), c("yaw_delta_deg"), c("altitude_ratio"),
-            c("roll_pitch_delta_deg"), F.least("a.quality_score", "b.quality_score"), c("temporal"),
+            c("roll_pitch_delta_deg"), F.least("a_quality_score", "b_quality_score"), c("temporal"),
         ).alias("score"),
         F.when(c("temporal"), "temporal").otherwise("spatial").alias("reason"),
         *([_prior().alias("prior_homography")] if prior else []),
@@ -175,7 +182,7 @@ def candidate_graph(
 
 
 def _prior() -> Column:
-    a, b = (attitude.rotation_matrix(F.col(f"{s}.roll"), F.col(f"{s}.pitch"), F.col(f"{s}.yaw")) for s in "ab")
+    a, b = (attitude.rotation_matrix(F.col(f"{s}_roll"), F.col(f"{s}_pitch"), F.col(f"{s}_yaw")) for s in "ab")
     return attitude.relative_homography(
         a, b, F.lit(P.FOCAL_PX), F.lit(P.SENSOR_WIDTH_PX / 2.0), F.lit(P.SENSOR_HEIGHT_PX / 2.0)
     )

@@ -43,7 +43,7 @@ MEASURE_SQL = ", ".join(f"{r(m, k)} as {m}" for m, k in DIGITS.items())
 
 def measured(df):
     return df.select(
-        "mission_id", c("a.image_name").alias("source"), c("b.image_name").alias("target"),
+        "mission_id", c("a_image_name").alias("source"), c("b_image_name").alias("target"),
         *[F.round(m, k).alias(m) for m, k in DIGITS.items()],
     )
 

@@ -52,14 +52,11 @@ def test_pairs_of_a_crowded_moment_equal_brute_force(spark):
     data = [capture_row(i, 18.5204 + (i * 37 % 40) * 2.5e-4, f"i{i:02d}", 300.0, 73.8567 + (i * 11 % 40) * 2.5e-4) for i in range(40)]
     df = spark.createDataFrame([(*r[:2], 15.0 + r[1] * 0.4, *r[3:]) for r in data], CAPTURE)
     nodes = pairs.image_nodes(df)
-    got = {(r.a.image_name, r.b.image_name) for r in pairs.spatial_pairs(nodes).collect()}
-    boxed = [x for x in nodes.columns if x not in ("mission_id", "has_gps")]
-    a = nodes.select("mission_id", F.struct(*boxed).alias("a"))
-    b = nodes.select("mission_id", F.struct(*boxed).alias("b"))
-    everything = a.join(b, "mission_id").filter(
-        "a.idx < b.idx and abs(a.cell.cx - b.cell.cx) <= 1 and abs(a.cell.cy - b.cell.cy) <= 1"
-    )
-    want = {(r.a.image_name, r.b.image_name) for r in pairs._measured(everything).filter(pairs._plausible()).collect()}
+    got = {(r.a_image_name, r.b_image_name) for r in pairs.spatial_pairs(nodes).collect()}
+    a = nodes.select("mission_id", *pairs._sided(nodes, "a"))
+    b = nodes.select("mission_id", *pairs._sided(nodes, "b"))
+    everything = a.join(b, "mission_id").filter("a_idx < b_idx and abs(a_cx - b_cx) <= 1 and abs(a_cy - b_cy) <= 1")
+    want = {(r.a_image_name, r.b_image_name) for r in pairs._measured(everything).filter(pairs._plausible()).collect()}
     assert got == want and len(want) > 20
 
 
