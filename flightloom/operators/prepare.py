@@ -143,14 +143,14 @@ def detector_conditions(df: DataFrame) -> DataFrame:
 
 _WARNINGS = (
     # event, source, columns it needs, test
-    ("UNDERVOLTAGE", "Power", ("bus_voltage_v",), lambda c: (c("bus_voltage_v") > 0) & (c("bus_voltage_v") < P.UNDERVOLTAGE_V)),
-    ("OVERCURRENT", "Power", ("current_a",), lambda c: c("current_a") > P.OVERCURRENT_A),
-    ("CPU_OVERHEAT", "System", ("cpu_temp_c",), lambda c: c("cpu_temp_c") >= P.CPU_HOT_C),
+    ("POWER_UNDERVOLTAGE", "Power", ("bus_voltage_v",), lambda c: c("bus_voltage_v") < P.UNDERVOLTAGE_V),
+    ("POWER_OVERCURRENT", "Power", ("current_a",), lambda c: c("current_a") > P.OVERCURRENT_A),
+    ("SYSTEM_TEMP_HIGH", "System", ("cpu_temp_c",), lambda c: c("cpu_temp_c") >= P.CPU_HOT_C),
     ("DISK_SPACE_LOW", "System", ("disk_free_bytes",), lambda c: c("disk_free_bytes") < P.DISK_LOW_BYTES),
-    ("GPS_HDOP_HIGH", "GPS", ("hdop",), lambda c: c("hdop") > P.HDOP_WARN),
+    ("GPS_HDOP_DEGRADED", "GPS", ("hdop",), lambda c: c("hdop") > P.HDOP_WARN),
     ("GPS_FIX_LOST", "GPS", ("fix_type",), lambda c: c("fix_type") == "NO FIX"),
     ("IMAGE_SYNC_WARNING", "Camera", ("sync_delta_ms",), lambda c: c("sync_delta_ms") > P.SYNC_WARN_MS),
-    ("GIMBAL_SATURATED", "Gimbal", ("gimbal_saturated",), lambda c: c("gimbal_saturated")),
+    ("GIMBAL_SATURATION", "Gimbal", ("gimbal_saturated",), lambda c: c("gimbal_saturated")),
 )
 
 
@@ -173,15 +173,20 @@ def degraded_subsystems(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def live_image_verdict(df: DataFrame) -> DataFrame:
+    """Status of the latest image and why. Needs sharpness, brightness, dark_share and bright_share."""
+    c = F.col
     reasons = _messages(
-        (F.col("sharpness") < P.LIVE_BLUR_VARIANCE, F.lit("blur warning")),
-        (F.col("brightness") < P.LIVE_BRIGHT_LOW, F.lit("underexposed")),
-        (F.col("brightness") > P.LIVE_BRIGHT_HIGH, F.lit("overexposed")),
-        (F.col("dark_share") > P.LIVE_CLIPPED_SHARE, F.lit("clipped shadows")),
-        (F.col("bright_share") > P.LIVE_CLIPPED_SHARE, F.lit("clipped highlights")),
+        (c("sharpness") < P.LIVE_BLUR_VARIANCE, F.format_string("sharpness %.1f below threshold", "sharpness")),
+        (
+            (c("brightness") < P.LIVE_BRIGHT_LOW) | (c("brightness") > P.LIVE_BRIGHT_HIGH),
+            F.format_string("brightness %.1f outside threshold", "brightness"),
+        ),
+        (c("dark_share") > P.LIVE_CLIPPED_SHARE, F.format_string("underexposed %.1f%%", c("dark_share") * 100.0)),
+        (c("bright_share") > P.LIVE_CLIPPED_SHARE, F.format_string("overexposed %.1f%%", c("bright_share") * 100.0)),
     )
-    return df.withColumn("image_status", F.when(F.size(reasons) > 0, "DEGRADED").otherwise("HEALTHY")).withColumn(
-        "image_reason", F.concat_ws(", ", reasons)
+    fine = F.size(reasons) == 0
+    return df.withColumn("image_status", F.when(fine, "HEALTHY").otherwise("DEGRADED")).withColumn(
+        "image_reason", F.when(fine, "Latest image quality acceptable.").otherwise(F.array_join(reasons, "; "))
     )
 
 

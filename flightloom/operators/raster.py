@@ -144,8 +144,13 @@ _FLAGS = (
 )
 
 
-def image_quality(captures: DataFrame, metrics: DataFrame, keys: list[str]) -> DataFrame:
-    """Scores, flags, status and usability per image; an image without metrics counts as unreadable."""
+def image_quality(captures: DataFrame, metrics: DataFrame, keys: list[str], missing_file: bool = False) -> DataFrame:
+    """Scores, flags, status and usability per image.
+
+    An image without metrics counts as unreadable, or as missing or corrupt when ``missing_file`` says
+    that no file is the reason.
+    """
+    absent, absent_share = ("missing_or_corrupt", 0.0) if missing_file else ("unreadable", 1.0)
     c = F.col
     base = captures.join(metrics, keys, "left").withColumn("_read", c("blur_variance").isNotNull())
     base = base.withColumn("tilt_deg", F.hypot("roll", "pitch")).withColumn(
@@ -166,7 +171,7 @@ def image_quality(captures: DataFrame, metrics: DataFrame, keys: list[str]) -> D
     )
     found = F.array_compact(F.array(*[F.when(test(F.col), F.lit(name)) for name, test in _FLAGS]))
     flagged = scored.withColumn("total_score", total).withColumn(
-        "flags", F.when(c("_read"), found).otherwise(F.array(F.lit("unreadable")))
+        "flags", F.when(c("_read"), found).otherwise(F.array(F.lit(absent)))
     )
     status = (
         F.when(~c("_read"), "REJECTED")
@@ -189,6 +194,6 @@ def image_quality(captures: DataFrame, metrics: DataFrame, keys: list[str]) -> D
         *dict.fromkeys(["mission_id", "image_name", *keys]),
         "sharpness_score", "exposure_score", "motion_score", "pose_score", "total_score",
         (c("status") != "REJECTED").alias("usable"), reason.alias("rejection_reason"), "status",
-        blank("blur_variance", 0.0), blank("brightness", 0.0), blank("shadow_share", 1.0), blank("highlight_share", 1.0),
+        blank("blur_variance", 0.0), blank("brightness", 0.0), blank("shadow_share", absent_share), blank("highlight_share", absent_share),
         blank("tilt_deg", 0.0), blank("angular_rate_dps", 0.0), "flags",
     )

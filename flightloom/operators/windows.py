@@ -193,7 +193,8 @@ def numbered(df: DataFrame, success: Column, width: float = SLICE_S) -> DataFram
 
 
 def latest_snapshot(
-    slots: DataFrame, as_of: Column, magic: str = "7USAT", schema: int = 1, max_age_s: float = 300.0
+    slots: DataFrame, as_of: Column, magic: int = P.SNAPSHOT_MAGIC, schema: int = P.SNAPSHOT_SCHEMA,
+    max_age_s: float = 300.0,
 ) -> DataFrame:
     """The newest valid, fresh version per mission; slot A wins a tie.
 

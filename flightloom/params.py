@@ -91,6 +91,10 @@ MAX_GPS_AGE_MS = 1500.0
 MAX_SPEED_MPS = 120.0
 MAX_JUMP_M = 250.0
 
+# saved snapshots
+SNAPSHOT_MAGIC = 0xDEAD1234
+SNAPSHOT_SCHEMA = 2
+
 # monitoring
 STALE_S = 3.0
 DEBOUNCE_S = 2.0

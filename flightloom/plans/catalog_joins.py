@@ -181,14 +181,14 @@ def detector_conditions(d):
     ["fx_power", "fx_gps"],
     """with j as (select p.mission_id, p.seq, bus_voltage_v, current_a, hdop, fix_type, cast(event_id % 90 as double) as cpu, event_id * 100000 as disk, cast(event_id % 400 as double) as sync, event_id % 8 = 0 as sat
       from fx_power p join fx_gps g using (mission_id, seq) join fx_base b using (mission_id, seq))
-    select mission_id, seq, 'UNDERVOLTAGE' as event_type, 'Power' as source from j where bus_voltage_v > 0 and bus_voltage_v < 4.8
-    union all select mission_id, seq, 'OVERCURRENT', 'Power' from j where current_a > 2
-    union all select mission_id, seq, 'CPU_OVERHEAT', 'System' from j where cpu >= 75
+    select mission_id, seq, 'POWER_UNDERVOLTAGE' as event_type, 'Power' as source from j where bus_voltage_v < 4.8
+    union all select mission_id, seq, 'POWER_OVERCURRENT', 'Power' from j where current_a > 2
+    union all select mission_id, seq, 'SYSTEM_TEMP_HIGH', 'System' from j where cpu >= 75
     union all select mission_id, seq, 'DISK_SPACE_LOW', 'System' from j where disk < 524288000
-    union all select mission_id, seq, 'GPS_HDOP_HIGH', 'GPS' from j where hdop > 3
+    union all select mission_id, seq, 'GPS_HDOP_DEGRADED', 'GPS' from j where hdop > 3
     union all select mission_id, seq, 'GPS_FIX_LOST', 'GPS' from j where fix_type = 'NO FIX'
     union all select mission_id, seq, 'IMAGE_SYNC_WARNING', 'Camera' from j where sync > 250
-    union all select mission_id, seq, 'GIMBAL_SATURATED', 'Gimbal' from j where sat""",
+    union all select mission_id, seq, 'GIMBAL_SATURATION', 'Gimbal' from j where sat""",
 )
 def threshold_events(d):
     system = d.fx_base.select(

@@ -122,14 +122,16 @@ def metrics(d):
     "tile_metrics", ["fx_pixel"],
     f"""with {_LAP} select image_id, {r('blur_variance')} as blur_variance, {r('brightness')} as brightness, {r('shadow_share')} as shadow_share, {r('highlight_share')} as highlight_share,
       {r('dark_share')} as dark_share, {r('bright_share')} as bright_share,
-      case when blur_variance < 80 or brightness < 45 or brightness > 210 or dark_share > 0.12 or bright_share > 0.12 then 'DEGRADED' else 'HEALTHY' end as image_status from metrics""",
+      case when blur_variance < 80 or brightness < 45 or brightness > 210 or dark_share > 0.12 or bright_share > 0.12 then 'DEGRADED' else 'HEALTHY' end as image_status,
+      coalesce(nullif(concat_ws('; ', case when blur_variance < 80 then printf('sharpness %.1f below threshold', blur_variance) end, case when brightness < 45 or brightness > 210 then printf('brightness %.1f outside threshold', brightness) end,
+        case when dark_share > 0.12 then printf('underexposed %.1f%%', dark_share * 100) end, case when bright_share > 0.12 then printf('overexposed %.1f%%', bright_share * 100) end), ''), 'Latest image quality acceptable.') as image_reason from metrics""",
 )
 def tile_metrics(d):
     from flightloom.operators.prepare import live_image_verdict
 
     out = live_image_verdict(metrics(d).withColumn("sharpness", c("blur_variance")))
     names = ("blur_variance", "brightness", "shadow_share", "highlight_share", "dark_share", "bright_share")
-    return out.select("image_id", *[F.round(n, 6).alias(n) for n in names], "image_status")
+    return out.select("image_id", *[F.round(n, 6).alias(n) for n in names], "image_status", "image_reason")
 
 
 QUALITY = f"""{_LAP},

@@ -170,16 +170,16 @@ def sequence_numbers(d):
 @query(
     "latest_snapshot",
     ["fx_base"],
-    """with s as (select mission_id, seq, case when seq % 2 = 0 then 'A' else 'B' end as slot, case when event_id % 7 = 0 then 'XX' else '7USAT' end as magic,
-        case when event_id % 11 = 0 then 2 else 1 end as sv, cast(floor((seq + 1) / 2) as bigint) as version, cast(seq as double) * 10 as saved_at from fx_base),
-    p as (select * from s where magic = '7USAT' and sv = 1 qualify row_number() over (partition by mission_id order by version desc, (slot = 'A') desc) = 1)
+    """with s as (select mission_id, seq, case when seq % 2 = 0 then 'A' else 'B' end as slot, case when event_id % 7 = 0 then 1 else 3735884340 end as magic,
+        case when event_id % 11 = 0 then 1 else 2 end as sv, cast(floor((seq + 1) / 2) as bigint) as version, cast(seq as double) * 10 as saved_at from fx_base),
+    p as (select * from s where magic = 3735884340 and sv = 2 qualify row_number() over (partition by mission_id order by version desc, (slot = 'A') desc) = 1)
     select mission_id, slot, version, 800 - saved_at as age_s from p where 800 - saved_at <= 300""",
 )
 def latest_snapshot(d):
     slots = d.fx_base.select(
         "mission_id", F.when(c("seq") % 2 == 0, "A").otherwise("B").alias("slot"),
-        F.when(c("event_id") % 7 == 0, "XX").otherwise("7USAT").alias("magic"),
-        F.when(c("event_id") % 11 == 0, 2).otherwise(1).alias("schema_version"),
+        F.when(c("event_id") % 7 == 0, 1).otherwise(0xDEAD1234).alias("magic"),
+        F.when(c("event_id") % 11 == 0, 1).otherwise(2).alias("schema_version"),
         F.floor((c("seq") + 1) / 2).alias("version"), (c("seq") * 10.0).alias("saved_at"),
     )
     return w.latest_snapshot(slots, F.lit(800.0)).select("mission_id", "slot", "version", "age_s")
