@@ -148,8 +148,6 @@ def largest_component(components: DataFrame) -> DataFrame:
 
 def contributors(reached: DataFrame, captures: DataFrame, n: int = 20) -> DataFrame:
     """The first n reachable images in capture order; Spark keeps n per mission before the shuffle."""
-    from flightloom.operators.timeline import RANK  # noqa: F401
-
     joined = captures.select("mission_id", "image_name", "t", "seq").join(reached, ["mission_id", "image_name"])
     first = Window.partitionBy("mission_id").orderBy("t", "seq")
     return joined.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= n).drop("_r")
