@@ -16,6 +16,10 @@ SETTINGS = {
 }
 
 
+#: The folder of a local master whose session names none.
+_LOCAL: list[str] = []
+
+
 def local_session(cores: str = "8", shuffle_partitions: int = 8, name: str = "flightloom") -> SparkSession:
     """A single-machine session for tests and benchmarks; clusters bring their own session."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(name)
@@ -42,9 +46,9 @@ def shared_folder(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="flightloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="flightloom-"))
+    return _LOCAL[0]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
