@@ -32,8 +32,8 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def weighted_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    key = ["__id", "__source", "__hash"]
-    own = (F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.xxhash64("text").alias("__hash"))
+    key = ["__id", "__source", "__text_hash"]
+    own = (F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.xxhash64("text").alias("__text_hash"))
     mixed = mixing.mix(docs.select("doc_id", "source", "text", *own))
     taken = mixed.groupBy(*key).agg(F.sum("copies").alias("__total"), F.count("*").alias("__rows")).where("__total > 0").select(*(F.col(k).alias(f"{k}_r") for k in key), "__total", "__rows")
     same = [F.col(k).eqNullSafe(F.col(f"{k}_r")) for k in key]
