@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from flightloom.session import shared_folder
 
 #: Tokens or keys a task gathers before it passes them on.
-FLUSH = 1 << 22
+FLUSH = 3 << 20
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
