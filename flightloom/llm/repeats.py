@@ -258,8 +258,13 @@ def passages(docs: DataFrame, least: int = LEAST, k: int = K, window: int = WIND
         raise ValueError("a passage of `least` words must hold a kept suffix, and matches must reach the next one")
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     found = shared.stored(neighbours(shared.stored(suffixes(keyed, k, window, reach), "repeats-suffixes"), least), "repeats-runs")
-    runs = found.groupBy("run").agg(F.min(F.struct("doc", "place")).alias("first"), F.min("r").alias("low_r"), F.min("l").alias("low_l"))
-    at = found.join(runs, "run")
+    runs = shared.stored(
+        found.groupBy("run").agg(F.min(F.struct("doc", "place")).alias("first"), F.min("r").alias("low_r"), F.min("l").alias("low_l"), F.count("*").alias("n")), "repeats-firsts"
+    )
+    # runs of over a thousandth of all suffixes, a thousand at most, are broadcast, so no task gets a hot run whole
+    total = runs.agg(F.sum("n").alias("n")).first()["n"] or 0
+    hot, rest = runs.where(F.col("n") > total / 1000), runs.where(F.col("n") <= total / 1000)
+    at = found.join(F.broadcast(hot), "run").unionByName(found.join(rest, "run")).drop("n")
     later = (F.col("doc") != F.col("first.doc")) | (F.col("place") > F.col("first.place"))
     span = lambda start, stop, repeated: F.struct(start.alias("start"), stop.alias("stop"), F.lit(repeated).alias("repeated"))
     spans = F.array(
