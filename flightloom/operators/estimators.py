@@ -1,4 +1,4 @@
-"""Stateful operators on DataFrames: fix checks, phases, filters, attitude, navigation."""
+"""Stateful operators on DataFrames: fix checks, phases, filters."""
 
 from __future__ import annotations
 
@@ -132,62 +132,3 @@ def complementary(imu: DataFrame, dt: float, alpha: float = 0.98, width: float =
     )
 
 
-def estimate_wind(df: DataFrame, width: float = SLICE_S) -> DataFrame:
-    """Needs ts_ns, vn, ve and heading_rad."""
-    return ordered_fold(df, BY, ["ts_ns", "seq"], ["vn", "ve", "heading_rad"], steps.WindRls(), df.columns, width * NS)
-
-
-def estimate_attitude(imu: DataFrame, mode: str, params: dict | None = None, width: float = SLICE_S) -> DataFrame:
-    """Orientation after every sample by MADGWICK, MAHONY, BNO085 (the sensor's own) or AUTO.
-
-    Needs ts_ns, seq, gyro, accel, mag (arrays or null), quaternion (xyzw or null), accuracy_rad and age_ms.
-    """
-    mode = mode.upper()
-    if mode not in ("BNO085", "AUTO", *steps.ESTIMATORS):
-        raise ValueError(f"unknown estimator {mode}")
-    machine = steps.Attitude(mode, {**ATTITUDE_PARAMS, **(params or {})})
-    inputs = ["ts_ns", "gyro", "accel", "mag", "quaternion", "accuracy_rad", "age_ms"]
-    out = ordered_fold(imu, BY, ["ts_ns", "seq"], inputs, machine, imu.columns, width * NS)
-    euler = attitude.q_to_euler(F.array("q_w", "q_x", "q_y", "q_z"))
-    return out.withColumn("_e", euler).select("*", F.col("_e.roll").alias("roll_deg"), F.col("_e.pitch").alias("pitch_deg"), F.col("_e.yaw").alias("yaw_deg")).drop("_e")
-
-
-def compare_attitudes(named: dict[str, DataFrame]) -> DataFrame:
-    """Angle in degrees between every two estimators at the same instant."""
-    names = list(named)
-    quat = F.array("q_w", "q_x", "q_y", "q_z")
-    joined = None
-    for name in names:
-        part = named[name].select("mission_id", "ts_ns", "seq", quat.alias(f"q_{name}"))
-        joined = part if joined is None else joined.join(part, ["mission_id", "ts_ns", "seq"])
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-    return joined.select(
-        "mission_id", "ts_ns", "seq",
-        *[F.degrees(attitude.q_angle_between(F.col(f"q_{a}"), F.col(f"q_{b}"))).alias(f"{a}_{b}_deg".lower()) for a, b in pairs],
-    )
-
-
-def estimator_diagnostics(estimated: DataFrame, width: float = SLICE_S) -> DataFrame:
-    """Samples received, rejected, stale, with a bad step, and changes of source."""
-    prev = scan(estimated, BY, ["ts_ns", "seq"], [Previous("_ps", F.col("att_source"))], width * NS)
-    changed = F.col("_ps").isNotNull() & (F.col("_ps") != F.col("att_source"))
-    return prev.groupBy("mission_id").agg(
-        F.count(F.lit(1)).alias("received"), F.count_if("rejected").alias("rejected"), F.count_if("stale").alias("stale"),
-        F.count_if("bad_dt").alias("bad_dt"), F.count_if(changed).alias("source_changes"),
-        F.count_if(changed).alias("resets"),
-    )
-
-
-def navigate(telemetry: DataFrame, params: dict | None = None, width: float = SLICE_S) -> DataFrame:
-    """Position, velocity, mode and quality after every sample.
-
-    Needs now_ns, the fix columns of validate_gps, gps_altitude, baro_altitude, baro_ts_ns, baro_ok,
-    yaw, ahrs_ts_ns and ahrs_ok.
-    """
-    c = F.col
-    age = (c("now_ns") - c("ts_ns")) / F.lit(1e6)
-    ready = telemetry.withColumn("verdict", gps_stateless(age)).withColumn("speed", c("ground_speed_mps")).withColumn(
-        "course", c("course_deg")
-    )
-    machine = steps.Navigation({**NAV_PARAMS, **(params or {})})
-    return ordered_fold(ready, BY, ["now_ns", "seq"], list(machine.NAMES), machine, telemetry.columns, width * NS)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flightloom.operators.timeline import SLICE, slice_of
+from flightloom.operators.timeline import SLICE, join_on, slice_of
 from flightloom.session import cut_lineage
 
 
@@ -107,7 +107,8 @@ def ordered_fold(
         wrong = cut_lineage(due.filter(~F.col("_due").eqNullSafe(F.col("_entry"))).select(*keys, F.col("_due").alias("_entry")))
         if wrong.isEmpty():
             break
-        again = _execute(sliced.join(wrong, keys), fold, by, order, inputs, keep, False).join(wrong, keys)
-        kept = ends.join(wrong.select(*keys), keys, "left_anti")
+        again = _execute(join_on(sliced, wrong, keys), fold, by, order, inputs, keep, False)
+        again = join_on(again, wrong, keys)
+        kept = ends.join(wrong.select(*[F.col(k).alias(f"_r_{k}") for k in keys]), [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys], "left_anti")
         ends = cut_lineage(kept.unionByName(again.select(*kept.columns)))
-    return _execute(sliced.join(ends.select(*keys, "_entry"), keys), fold, by, order, inputs, keep, True)
+    return _execute(join_on(sliced, ends.select(*keys, "_entry"), keys), fold, by, order, inputs, keep, True)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from flightloom.functions import attitude
 from flightloom.session import cut_lineage
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of an undirected edge list (u, v); a component is named by its smallest node.
 
     Alternates two rewirings until nothing changes: every node links its larger neighbours to its
@@ -36,7 +38,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     )
     seen = None
-    for _ in range(max_rounds):
+    while True:
         both = current.select(F.col("u").alias("n"), F.col("v").alias("m")).unionByName(
             current.select(F.col("v").alias("n"), F.col("u").alias("m"))
         )
@@ -49,8 +51,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if state == seen:
             break
         seen = state
-    else:
-        raise RuntimeError("components did not settle")
     return nodes.join(current.select(F.col("u").alias("node"), "v"), "node", "left").select(
         "node", F.coalesce("v", "node").alias("component")
     )
@@ -96,7 +96,7 @@ def track_stats(tracks: DataFrame, by: list[str]) -> DataFrame:
     return counts.join(middle.drop("n"), by, "left").fillna(0.0, ["mean_length", "median_length"]).fillna(0, ["max_length"])
 
 
-def reach(edges: DataFrame, anchors: DataFrame, transforms: bool = False, max_hops: int = 10_000) -> DataFrame:
+def reach(edges: DataFrame, anchors: DataFrame, transforms: bool = False) -> DataFrame:
     """Images connected to their mission's anchor, with the fewest hops and the image reached from.
 
     Edges: mission_id, source, target (and h, nine values, when ``transforms``). Of several parents
@@ -117,7 +117,7 @@ def reach(edges: DataFrame, anchors: DataFrame, transforms: bool = False, max_ho
         *([one.alias("transform")] if transforms else []),
     )
     frontier = found = cut_lineage(found)
-    for hop in range(1, max_hops + 1):
+    for hop in itertools.count(1):
         step = frontier.withColumnRenamed("image_name", "source").join(both, ["mission_id", "source"])
         carried = [attitude.mat3_mul(F.col("transform"), attitude.mat3_inv(F.col("h"))).alias("transform")] if transforms else []
         reached = step.select(
@@ -130,7 +130,6 @@ def reach(edges: DataFrame, anchors: DataFrame, transforms: bool = False, max_ho
         if frontier.isEmpty():
             return found
         found = cut_lineage(found.unionByName(frontier)) if hop % 10 == 0 else found.unionByName(frontier)
-    raise RuntimeError("graph is deeper than max_hops")
 
 
 def reach_summary(reached: DataFrame, min_images: int = 3) -> DataFrame:

@@ -41,18 +41,16 @@ def grid_shape(points: DataFrame, resolution: float) -> DataFrame:
 
 def dsm(
     points: DataFrame, resolution: float = 0.25, share: float = 0.9, min_points: int = 100,
-    max_cells: int = 50_000_000, slice_z: float = 0.25,
+    slice_z: float = 0.25,
 ) -> DataFrame:
     """Surface height per cell (row, col, z): exact 90th percentile of the trimmed points in it.
 
-    Empty when there are too few points or the grid is degenerate or too large; a cell without
+    Empty when there are too few points or the grid is degenerate; a cell without
     points has no row.
     """
     c = F.col
     trimmed = trim_heights(points)
-    shape = grid_shape(trimmed, resolution).filter(
-        (c("width") > 1) & (c("height") > 1) & (c("width") * c("height") <= max_cells)
-    )
+    shape = grid_shape(trimmed, resolution).filter((c("width") > 1) & (c("height") > 1))
     grid = shape.select(F.struct("x0", "y1", "width", "height").alias("grid")).scalar()
     enough = points.agg(F.count(F.lit(1)).alias("n")).scalar() >= min_points
     on_grid = trimmed.filter(enough).withColumn("g", grid).filter(c("g").isNotNull())

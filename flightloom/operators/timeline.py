@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 SLICE = "_slice"
 RANK = "_rank"
+KEY = "_by"
 _FIRST_SLICE = -(2**62)
 
 
@@ -240,7 +241,16 @@ class FirstOf(Step):
 
 
 def slice_of(column: Column, width: float) -> Column:
-    return F.coalesce(F.floor(column / F.lit(width)).cast("bigint"), F.lit(_FIRST_SLICE))
+    """Slices grow with the column: null sorts first and has the first slice, NaN sorts last and has the last."""
+    last = F.when(F.isnan(column.cast("double")), F.lit(-_FIRST_SLICE - 1))
+    return F.coalesce(last, F.floor(column / F.lit(width)).cast("bigint"), F.lit(_FIRST_SLICE))
+
+
+def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """As a join using the keys, but a null key part meets a null."""
+    named = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    met = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    return left.join(named, met, how).drop(*[f"_r_{k}" for k in keys])
 
 
 def scan(
@@ -257,7 +267,9 @@ def scan(
     first order column), which has to grow with it. ``width`` is in its units.
     """
     at = slice_on if slice_on is not None else F.col(order[0])
-    sliced = df.withColumn(SLICE, slice_of(at, width))
+    # one struct as key: it is never null itself, and structs with null parts are equal
+    sliced = df.withColumn(SLICE, slice_of(at, width)).withColumn(KEY, F.struct(*by))
+    by = [KEY]
     here = Window.partitionBy(*by, SLICE).orderBy(*order)
     ranked = any(step.needs_rank for step in steps)
     rank = F.row_number().over(here).cast("bigint")
@@ -291,14 +303,12 @@ def with_preceding_rows(
     rows: int,
     block: int = 65536,
 ) -> tuple[DataFrame, Window, Column]:
-    """Blocks of ``block`` rows, each with copies of the ``rows`` rows before it.
+    """Blocks of ``block`` rows, each with copies of the ``rows`` rows before it, however many blocks those span.
 
     Returns the blocked rows, the window spec to use over them, and the test that keeps the rows a
     block owns. ``position`` is a 1-based row number within the key (see RowNumber).
     """
     own = F.floor((F.col(position) - 1) / block).cast("bigint")
-    reaches_next = (F.col(position) - 1) % block >= F.lit(max(block - rows, 0))
-    spread = df.withColumn("_own", own).withColumn(
-        "_block", F.explode(F.when(reaches_next, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own")))
-    )
+    reached = F.floor((F.col(position) - 1 + rows) / block).cast("bigint")
+    spread = df.withColumn("_own", own).withColumn("_block", F.explode(F.sequence(F.col("_own"), reached)))
     return spread, Window.partitionBy(*by, "_block").orderBy(position), F.col("_own") == F.col("_block")

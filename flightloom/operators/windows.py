@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flightloom import params as P
 from flightloom.functions import attitude
 from flightloom.operators.timeline import (
+    join_on,
     FirstOf, Following, LastWhere, Previous, RowNumber, RunningMax, RunningSum, Streak, scan, with_preceding_rows,
 )
 
@@ -45,40 +48,33 @@ def smoothed(
     summed apart, the incoming values are chained over one row per block, and the rows are filled
     in from there. ``first`` is the value on a key's first row.
     """
-    decay = 1.0 - alpha
-    numbered = scan(df, by, order, [RowNumber("_n")], width)
-    placed = (
-        numbered.withColumn("_block", F.floor((F.col("_n") - 1) / block).cast("bigint"))
-        .withColumn("_k", ((F.col("_n") - 1) % block).cast("int"))
-        .withColumn("_x", F.when(F.col("_n") == 1, first).otherwise(value * alpha))
-    )
-    # s_k = decay^(k + 1) * s_in + decay^k * sum_j x_j / decay^j, j = 0..k
-    scaled = F.col("_x") / F.pow(F.lit(decay), F.col("_k"))
-    here = Window.partitionBy(*by, "_block").orderBy("_n")
-    own = F.sum(scaled).over(here.rowsBetween(Window.unboundedPreceding, 0)) * F.pow(F.lit(decay), F.col("_k"))
-    ends = placed.groupBy(*by, "_block").agg(
-        (F.sum(scaled) * F.pow(F.lit(decay), F.max("_k"))).alias("_end"), (F.max("_k") + 1).alias("_rows")
-    )
-    chained = _chain(ends, by, decay, block)
-    joined = placed.join(chained, [*by, "_block"])
-    result = own + F.pow(F.lit(decay), F.col("_k") + 1) * F.col("_in")
-    return joined.withColumn(out, result).select(*df.columns, out)
-
-
-def _chain(ends: DataFrame, by: list[str], decay: float, block: int, fan: int = 1024) -> DataFrame:
-    """The value entering each block. Full blocks shrink what enters by decay^block, so a block only
-    feels the few before it; the weights of older ones are exactly zero in double arithmetic once
-    decay^(block * distance) underflows, and the sum over that many blocks is whole."""
-    reach = 1
-    while decay ** (block * reach) > 0.0 and reach < fan:
-        reach += 1
-    placed = ends.select(*by, F.col("_block").alias("_at"), (F.col("_block") + 1).alias("_pos"), "_end")
-    spread, here, own = with_preceding_rows(placed, by, "_pos", reach)
-    recent = F.collect_list(F.col("_end")).over(here.rowsBetween(-reach, -1))
-    weight = decay**block
-    entering = F.aggregate(recent, F.lit(0.0), lambda acc, end: acc * weight + end)
-    chained = spread.select("*", F.coalesce(entering, F.lit(0.0)).alias("_in")).filter(own)
-    return chained.select(*by, F.col("_at").alias("_block"), "_in")
+    numbered = scan(df, by, order, [RowNumber("_n")], width).withColumn("_pos", F.col("_n") - 1)
+    placed = numbered.withColumn("_x", F.when(F.col("_n") == 1, first).otherwise(value * alpha))
+    return _faded_sum(placed, by, 1.0 - alpha, block, out).select(*df.columns, out)
+
+
+def _faded_sum(df: DataFrame, by: list[str], decay: float, block: int, out: str) -> DataFrame:
+    """Adds the sum over all rows j up to this one of _x[j] * decay^(_pos - j).
+
+    A block of rows is summed apart, and what enters it is decay times this same sum over the ends of the blocks
+    before it, with decay^block in place of decay: one level for every factor of ``block`` rows, until what
+    enters a block has faded to exactly zero one block later. Weights inside a block stay within double range.
+    """
+    if decay == 0.0:
+        return df.withColumn(out, F.col("_x"))
+    size = max(1, min(block, int(-230.0 / math.log(decay))))
+    k = F.col("_pos") % size
+    placed = df.withColumn("_block", F.floor(F.col("_pos") / size).cast("bigint"))
+    scaled = F.col("_x") / F.pow(F.lit(decay), k)
+    here = Window.partitionBy(*by, "_block").orderBy("_pos")
+    own = F.sum(scaled).over(here.rowsBetween(Window.unboundedPreceding, 0)) * F.pow(F.lit(decay), k)
+    ends = placed.groupBy(*by, "_block").agg((F.sum(scaled) * F.lit(decay ** (size - 1))).alias("_x")).withColumnRenamed("_block", "_pos")
+    after = decay**size
+    faded = _faded_sum(ends, by, after, block, "_end") if size > 1 else ends.withColumn("_end", F.col("_x"))
+    entering = faded.select(*by, (F.col("_pos") + 1).alias("_block"), F.col("_end").alias("_in"))
+    joined = join_on(placed, entering, [*by, "_block"], "left")
+    result = own + F.pow(F.lit(decay), k + 1) * F.coalesce("_in", F.lit(0.0))
+    return joined.withColumn(out, result).drop("_block", "_in")
 
 
 def smoothed_rate(df: DataFrame, alpha: float = P.RATE_ALPHA, width: float = SLICE_S) -> DataFrame:

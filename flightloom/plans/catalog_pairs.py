@@ -25,11 +25,11 @@ MEASURED = f"""a.mission_id, a.idx as ia, b.idx as ib, a.image_name as source, b
   abs((((b.yaw - a.yaw + 180) % 360) + 360) % 360 - 180) as yaw_delta_deg, greatest(a.alt, b.alt) / greatest(1e-6, least(a.alt, b.alt)) as altitude_ratio,
   sqrt(pow(a.roll - b.roll, 2) + pow(a.pitch - b.pitch, 2)) as roll_pitch_delta_deg,
   least(1.0, greatest(0.0, least(a.e + a.ex, b.e + b.ex) - greatest(a.e - a.ex, b.e - b.ex)) * greatest(0.0, least(a.n + a.ny, b.n + b.ny) - greatest(a.n - a.ny, b.n - b.ny)) / greatest(1.0, least(a.w * a.h, b.w * b.h))) as predicted_overlap"""
-MET = f"""met as (select {MEASURED} from nodes a join nodes b on a.mission_id = b.mission_id and b.idx > a.idx and b.t - a.t <= 20),
-  spatial as (select * from met where gps and abs(acx - bcx) <= 1 and abs(acy - bcy) <= 1 and distance_m <= 250 and time_delta_s <= 20 and yaw_delta_deg <= 80 and altitude_ratio <= 2.5 and roll_pitch_delta_deg <= 45 and predicted_overlap >= 0.03),
+MET = f"""met as materialized (select {MEASURED} from nodes a join nodes b on a.mission_id = b.mission_id and b.idx > a.idx and b.t - a.t <= 20),
+  spatial as materialized (select * from met where gps and abs(acx - bcx) <= 1 and abs(acy - bcy) <= 1 and distance_m <= 250 and time_delta_s <= 20 and yaw_delta_deg <= 80 and altitude_ratio <= 2.5 and roll_pitch_delta_deg <= 45 and predicted_overlap >= 0.03),
   temporal as (select * from met where ib - ia <= case when gps then 2 else 8 end)"""
 GRAPH = f"""{NODES}, {MET},
-  both_ as (select *, 'spatial' as reason from spatial union all select *, 'temporal' from temporal where (mission_id, ia, ib) not in (select mission_id, ia, ib from spatial)),
+  both_ as (select *, 'spatial' as reason from spatial union all select *, 'temporal' from temporal t where not exists (select 1 from spatial s where s.mission_id = t.mission_id and s.ia = t.ia and s.ib = t.ib)),
   scored as (select *, 0.24 * predicted_overlap + 0.18 * greatest(0, 1 - distance_m / 250) + 0.15 * greatest(0, 1 - time_delta_s / 20) + 0.13 * greatest(0, 1 - yaw_delta_deg / 80)
      + 0.10 * greatest(0, 1 - (altitude_ratio - 1) / 1.5) + 0.10 * greatest(0, 1 - roll_pitch_delta_deg / 45) + 0.10 * least(qa, qb) + case when reason = 'temporal' then 0.08 else 0 end as score from both_),
   ends as (select mission_id, ia, ib, ia as en, score from scored union all select mission_id, ia, ib, ib, score from scored),

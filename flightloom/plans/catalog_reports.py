@@ -29,10 +29,10 @@ def geotag_summary(d):
 @query(
     "map_endpoints", ["fx_capture"],
     f"""select mission_id, {r('avg(latitude)')} as centre_lat, {r('avg(longitude)')} as centre_lon, first(latitude order by t, seq) as start_lat, first(longitude order by t, seq) as start_lon,
-      last(latitude order by t, seq) as end_lat, last(longitude order by t, seq) as end_lon from fx_capture where latitude <> 0 group by 1""",
+      last(latitude order by t, seq) as end_lat, last(longitude order by t, seq) as end_lon from fx_capture group by 1""",
 )
 def map_endpoints(d):
-    df = d.fx_capture.filter(c("latitude") != 0)
+    df = d.fx_capture
     centre = rounded(reports.map_centre(df), ["mission_id"], "centre_lat", "centre_lon")
     return centre.join(reports.endpoints(df), "mission_id")
 
@@ -277,14 +277,14 @@ def capture_stats(d):
 
 @query(
     "report_comparison", ["fx_capture"],
-    """with b as (select mission_id, count(*) as images, min(yaw) as yaw from fx_capture where seq <= 30 group by 1), a as (select mission_id, count(*) as images, min(yaw) as yaw from fx_capture where seq <= 50 group by 1)
+    """with b as (select mission_id, count(*) as images, min(yaw) as yaw from fx_capture group by 1), a as (select mission_id, count(*) filter (where latitude <> 0) as images, max(yaw) as yaw from fx_capture group by 1)
     select mission_id, b.images as images_before, b.yaw as yaw_before, a.images as images_after, a.yaw as yaw_after, a.images - b.images as images_change, a.yaw - b.yaw as yaw_change from b full join a using (mission_id)""",
 )
 def report_comparison(d):
-    def part(n):
-        return d.fx_capture.filter(c("seq") <= n).groupBy("mission_id").agg(F.count(F.lit(1)).alias("images"), F.min("yaw").alias("yaw"))
-
-    return reports.compare_reports(part(30), part(50), ["images", "yaw"])
+    # all images before, those with a position after
+    before = d.fx_capture.groupBy("mission_id").agg(F.count(F.lit(1)).alias("images"), F.min("yaw").alias("yaw"))
+    after = d.fx_capture.groupBy("mission_id").agg(F.count_if(c("latitude") != 0).alias("images"), F.max("yaw").alias("yaw"))
+    return reports.compare_reports(before, after, ["images", "yaw"])
 
 
 @query(

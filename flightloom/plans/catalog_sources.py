@@ -254,7 +254,7 @@ def stream_flight_phases(d):
 def stream_packets(d):
     twice = packets(d).select("mission_id", "seq", "value")
     repeated = twice.unionByName(twice.filter(c("seq") % 3 == 0))
-    out = streams.drain(streams.packet_stream(streams.replay(repeated, "seq", CUTS).select("mission_id", "value")))
+    out = streams.drain(streams.packet_stream(streams.replay(repeated, "seq", CUTS).select("mission_id", "value"), c("mission_id") * 0.0))
     return out.select("mission_id", "seq", "img", "t")
 
 
@@ -290,9 +290,3 @@ def stream_sync_warnings(d):
 def stream_stale_workers(d):
     ok = d.fx_worker.filter("ok").select("mission_id", "worker", "t", F.timestamp_micros((c("t") * 1e6).cast("bigint")).alias("ts"))
     return streams.drain(streams.stale_stream(streams.replay(ok, "t", CUTS)))
-
-
-@query("stream_navigation", ["fx_gps", "fx_flight"])
-def stream_navigation(d):
-    out = streams.drain(streams.navigate_stream(streams.replay(cs.nav_rows(d), "seq", CUTS)))
-    return out.select("mission_id", "seq", F.round("north_m", 6).alias("north_m"), F.round("east_m", 6).alias("east_m"), "mode", "position_quality", "nav_event")

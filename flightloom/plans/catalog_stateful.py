@@ -126,71 +126,3 @@ def altitude_filter(d):
     return rounded(out, ["mission_id", "seq"], "altitude_est", "velocity_est")
 
 
-@query("wind_estimate", ["fx_gps"])
-def wind_estimate(d):
-    from flightloom.functions.geo import velocity_from_course
-
-    v = velocity_from_course(c("ground_speed_mps"), c("course_deg"))
-    df = d.fx_gps.select("mission_id", "seq", "ts_ns", v["vn"].alias("vn"), v["ve"].alias("ve"), F.radians("course_deg").alias("heading_rad"))
-    return rounded(est.estimate_wind(df), ["mission_id", "seq"], "wind_north", "wind_east", "airspeed")
-
-
-def imu_samples(d):
-    i = d.fx_imu
-    tilt = F.degrees(F.atan2(c("ay"), c("az")))
-    from flightloom.functions.attitude import q_from_euler
-
-    q = q_from_euler(tilt, F.lit(0.0), (c("seq") * 3.0) % 360)
-    return i.select(
-        "mission_id", "seq", "ts_ns", F.array("gx", "gy", "gz").alias("gyro"), F.array("ax", "ay", "az").alias("accel"), F.array("mx", "my", "mz").alias("mag"),
-        F.when(c("seq") % 17 < 10, F.array(q[1], q[2], q[3], q[0])).alias("quaternion"),
-        F.when(c("seq") % 5 == 0, F.lit(0.9)).otherwise(F.lit(0.1)).alias("accuracy_rad"),
-        F.when(c("seq") % 23 == 0, F.lit(400.0)).otherwise(F.lit(5.0)).alias("age_ms"),
-    )
-
-
-def _attitude(mode):
-    def run(d):
-        out = est.estimate_attitude(imu_samples(d), mode)
-        return out.select(
-            "mission_id", "seq", *[F.round(x, 6).alias(x) for x in ("q_w", "q_x", "q_y", "q_z", "roll_deg", "pitch_deg", "yaw_deg")],
-            "att_source", "att_healthy", "confidence", "accel_used", "mag_used",
-        )
-
-    return run
-
-
-for _mode in ("madgwick", "mahony", "bno085", "auto"):
-    query(f"attitude_{_mode}", ["fx_imu"])(_attitude(_mode))
-
-
-@query("attitude_comparison", ["fx_imu"])
-def attitude_comparison(d):
-    imu = imu_samples(d)
-    out = est.compare_attitudes({m: est.estimate_attitude(imu, m) for m in ("MADGWICK", "MAHONY", "BNO085")})
-    names = [x for x in out.columns if x.endswith("_deg")]
-    return rounded(out, ["mission_id", "seq"], *names)
-
-
-@query("attitude_diagnostics", ["fx_imu"])
-def attitude_diagnostics(d):
-    return est.estimator_diagnostics(est.estimate_attitude(imu_samples(d), "AUTO"))
-
-
-def nav_rows(d):
-    g = d.fx_gps
-    f = d.fx_flight.select("mission_id", "seq", "baro_altitude")
-    return g.join(f, ["mission_id", "seq"]).select(
-        *g.columns, (c("ts_ns") + 20_000_000).alias("now_ns"), c("altitude_m").alias("gps_altitude"), "baro_altitude",
-        c("ts_ns").alias("baro_ts_ns"), (c("seq") % 13 != 0).alias("baro_ok"), c("course_deg").alias("yaw"),
-        (c("ts_ns") - (c("seq") % 3) * 300_000_000).alias("ahrs_ts_ns"), F.lit(True).alias("ahrs_ok"),
-    )
-
-
-@query("navigation", ["fx_gps", "fx_flight"])
-def navigation(d):
-    out = est.navigate(nav_rows(d))
-    return out.select(
-        "mission_id", "seq", *[F.round(x, 6).alias(x) for x in ("north_m", "east_m", "vn_mps", "ve_mps", "est_latitude", "est_longitude", "heading_deg", "agl_m", "gps_error_m")],
-        "mode", "position_quality", "position_source", "gps_reason", "heading_quality", "altitude_quality", "dead_reckoning_s", "nav_valid", "safe", "good_fixes", "bad_fixes", "nav_event",
-    )

@@ -20,14 +20,14 @@ from flightloom.session import shared_folder
 from flightloom.sources.messages import parse_packets
 
 
-def packet_stream(lines: DataFrame, start: Column | None = None, delay: str = "10 minutes") -> DataFrame:
+def packet_stream(lines: DataFrame, start: Column, delay: str = "10 minutes") -> DataFrame:
     """Parsed packets with event time from the packet; late repeats of a (mission, seq) are dropped.
 
-    ``lines``: mission_id, value. ``start``: epoch seconds of mission time zero.
+    ``lines``: mission_id, value. ``start``: epoch seconds at which the row's mission began; without it missions that
+    arrive one after the other would share one clock, and the later ones would all be late.
     """
-    zero = start if start is not None else F.lit(0.0)
-    parsed = parse_packets(lines).filter(F.col("packet").isNotNull()).select("mission_id", "packet.*")
-    timed = parsed.withColumn("event_time", F.timestamp_micros(((zero + F.col("t")) * 1e6).cast("bigint")))
+    parsed = parse_packets(lines.withColumn("_zero", start)).filter(F.col("packet").isNotNull()).select("mission_id", "_zero", "packet.*")
+    timed = parsed.withColumn("event_time", F.timestamp_micros(((F.col("_zero") + F.col("t")) * 1e6).cast("bigint"))).drop("_zero")
     return timed.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["mission_id", "seq"])
 
 
@@ -102,21 +102,6 @@ def flight_phase_stream(telemetry: DataFrame) -> DataFrame:
     return stateful_stream(ready, ["mission_id"], ["t", "seq"], ["t", "baro_altitude", "accel_g"], machine, telemetry.columns)
 
 
-def navigate_stream(telemetry: DataFrame, params: dict | None = None) -> DataFrame:
-    age = (F.col("now_ns") - F.col("ts_ns")) / F.lit(1e6)
-    ready = telemetry.withColumn("verdict", est.gps_stateless(age)).withColumn("speed", F.col("ground_speed_mps")).withColumn(
-        "course", F.col("course_deg")
-    )
-    machine = steps.Navigation({**est.NAV_PARAMS, **(params or {})})
-    return stateful_stream(ready, ["mission_id"], ["now_ns", "seq"], list(machine.NAMES), machine, telemetry.columns)
-
-
-def attitude_stream(imu: DataFrame, mode: str, params: dict | None = None) -> DataFrame:
-    machine = steps.Attitude(mode.upper(), {**est.ATTITUDE_PARAMS, **(params or {})})
-    inputs = ["ts_ns", "gyro", "accel", "mag", "quaternion", "accuracy_rad", "age_ms"]
-    return stateful_stream(imu, ["mission_id"], ["ts_ns", "seq"], inputs, machine, imu.columns)
-
-
 class _SensorAges:
     """Age of the last sample of each sensor at a capture; rows are (t, sensor or None for a capture)."""
 

@@ -209,23 +209,6 @@ def test_packet_stream_sink(spark, tables, tmp_path):
     assert got.filter("packet.seq is not null").count() == rows.count()
 
 
-def test_streamed_navigation_and_attitude_equal_batch(spark, tables):
-    from flightloom.operators import estimators as est
-    from flightloom.plans import catalog_stateful as cs
-    from flightloom.streaming import streams
-
-    nav = cs.nav_rows(tables).filter("mission_id < 4")
-    batch = {(r.mission_id, r.seq): (r.north_m, r.mode) for r in est.navigate(nav).collect()}
-    live = {(r.mission_id, r.seq): (r.north_m, r.mode) for r in streams.drain(streams.navigate_stream(streams.replay(nav, "seq", [25.0]))).collect()}
-    assert batch == live
-    imu = cs.imu_samples(tables).filter("mission_id < 4")
-    batch = {(r.mission_id, r.seq): r.q_w for r in est.estimate_attitude(imu, "AUTO").collect()}
-    cut = {(r.mission_id, r.seq): r.q_w for r in est.estimate_attitude(imu, "AUTO", width=0.2).collect()}
-    assert batch == cut
-    live = {(r.mission_id, r.seq): r.q_w for r in streams.drain(streams.attitude_stream(streams.replay(imu, "seq", [25.0]), "AUTO")).collect()}
-    assert batch == live
-
-
 def test_no_nested_loop_joins_in_pair_and_coverage_plans(spark, tables):
     for df in (pairs.spatial_pairs(pairs.image_nodes(tables.fx_capture)), coverage.covered_cells(coverage.footprints(tables.fx_capture))):
         plan = df._jdf.queryExecution().executedPlan().toString()

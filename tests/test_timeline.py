@@ -1,5 +1,6 @@
 """Slices must not show: any width gives what one pass over the whole key gives."""
 
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -96,3 +97,40 @@ def test_quantiles_are_exact_with_any_slicing(spark):
             assert abs(row.a - want[0]) < 1e-9 and abs(row.b - want[1]) < 1e-9 and abs(row.c - want[2]) < 1e-9
         at = values_at(df, [], "z", {"p": 0.95}, width).first()
         assert at.p == sorted(values)[int(len(values) * 0.95)]
+
+
+def test_null_keys_and_odd_clocks_keep_their_rows(spark):
+    from flightloom.operators.timeline import RowNumber, scan
+
+    data = [(None if k % 3 == 0 else k % 3, (None if k == 5 else float("nan") if k == 7 else float(k)), k) for k in range(30)]
+    df = spark.createDataFrame(data, "m long, t double, seq long")
+    for width in (1e9, 3.0):
+        rows = scan(df, ["m"], ["t", "seq"], [RowNumber("n")], width).collect()
+        assert len(rows) == 30
+        for m in (None, 1, 2):
+            mine = sorted((r for r in rows if r.m == m), key=lambda r: r.n)
+            clock = [(r.t is not None, float("inf") if r.t is not None and r.t != r.t else r.t or 0.0, r.seq) for r in mine]
+            assert [r.n for r in mine] == list(range(1, 11)) and clock == sorted(clock)
+
+
+def test_frames_wider_than_a_block(spark):
+    from flightloom.operators.timeline import with_preceding_rows
+
+    df = spark.createDataFrame([(1, n) for n in range(1, 40)], "m long, n long")
+    spread, window, own = with_preceding_rows(df, ["m"], "n", 9, block=4)
+    got = {r.n: r.s for r in spread.withColumn("s", F.sum("n").over(window.rowsBetween(-9, 0))).filter(own).select("n", "s").collect()}
+    assert got == {n: sum(range(max(1, n - 9), n + 1)) for n in range(1, 40)}
+
+
+def test_smoothing_for_every_weight(spark):
+    data = [(None if k % 2 else 7, float(k), k, math.sin(k) + 2) for k in range(600)]
+    df = spark.createDataFrame(data, "mission_id long, t double, seq long, v double")
+    for alpha in (1e-4, 0.35, 0.999, 1.0):
+        out = windows.smoothed(df, ["mission_id"], ["t", "seq"], F.col("v"), F.col("v"), alpha, "s", 50.0, block=2)
+        got = {r.seq: r.s for r in out.collect()}
+        assert len(got) == 600
+        for odd in (0, 1):
+            s = None
+            for k in range(odd, 600, 2):
+                s = data[k][3] if s is None else (1 - alpha) * s + alpha * data[k][3]
+                assert abs(got[k] - s) < 1e-9
