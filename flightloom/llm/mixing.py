@@ -100,10 +100,12 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int = 3, te
     """docs (without the text) with size, source_size, target, rate and copies.
 
     Documents without words have no share in the words and get no copy. Rows of equal source and size are ranked by
-    doc_id and the hash of the text; equal rows are exchangeable. Runs its jobs at once up to the rates.
+    doc_id and the hash of the text; equal rows are exchangeable. Columns with the names of results are replaced. Runs its jobs at once up to the rates.
     """
-    keep = [c for c in docs.columns if c not in (text, "size", "source_size", "target", "rate", "copies")]
-    rows = docs.select(*(F.col(f"`{c}`") for c in keep), size(text).alias("size"), F.xxhash64(text).alias("__hash"))
+    # columns besides doc_id and source travel under names of their own
+    others = {c: f"__other{k}" for k, c in enumerate(docs.columns) if c not in ("doc_id", "source", text, "size", "source_size", "target", "rate", "copies")}
+    keep = ["doc_id", "source", *others.values()]
+    rows = docs.select("doc_id", "source", *(F.col(f"`{c}`").alias(o) for c, o in others.items()), size(text).alias("size"), F.xxhash64(text).alias("__hash"))
     rows = stored(rows.withColumn("__slice", F.pmod(F.xxhash64("doc_id", "__hash"), F.lit(slices)).cast("int")), "mixing-sizes")
     counts = stored(rows.groupBy("source", "size", "__slice").agg(F.count("*").alias("n")), "mixing-counts")
     histogram = counts.groupBy("source", "size").agg(F.sum("n").alias("n"))
@@ -134,5 +136,5 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int = 3, te
     nearest = F.array_min(F.array(*(F.struct(F.abs(F.col(f"w{k}") - F.col("target")).alias("miss"), F.lit(u).alias("start")) for k, u in enumerate(starts))))
     starts_by_source = stored(got.select(F.col("source").alias("g"), nearest["start"].alias("start")), "mixing-starts")
     return placed.join(F.broadcast(starts_by_source), F.col("source").eqNullSafe(F.col("g"))).withColumn("copies", copies(F.col("start"))).select(
-        *(F.col(f"`{c}`") for c in keep), "size", "source_size", "target", "rate", "copies"
+        "doc_id", "source", *(F.col(o).alias(c) for c, o in others.items()), "size", "source_size", "target", "rate", "copies"
     )

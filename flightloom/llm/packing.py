@@ -26,9 +26,10 @@ from flightloom.llm.text import FOLD, Words, joined, slices
 
 CAPACITY = 2048
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-#: Ends of words that are coded by themselves after a letter or digit of ASCII, without apostrophes.
+#: Ends of words that are coded by themselves after a letter or digit of ASCII: neither apostrophes nor what special
+#: tokens end with.
 _MARKS = np.zeros(256, bool)
-_MARKS[list(b'.,;:!?|#*$%&()[]{}"/\\<>=+-_~^@')] = True
+_MARKS[list(b'.,;:!?#*$%&()[]{}"/\\=+-_~^@')] = True
 _PLAIN = np.zeros(256, bool)
 _PLAIN[list(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = True
 

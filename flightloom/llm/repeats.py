@@ -203,6 +203,8 @@ def neighbours(suffix_table: DataFrame, least: int = LEAST, parts: int | None =
         for batch in batches:
             out = []
             for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if before and row[3:] == (before.doc, before.place):  # a repeated row of one document
+                    continue
                 now = _Suffix(row)
                 shared_words = before.meet(now, least) if before else None
                 both = shared_words and ((min(low[0], shared_words[0]), min(low[1], shared_words[1])) if before.r is not None else shared_words)
