@@ -2,7 +2,8 @@
 
 Suffixes of words are kept at content-selected places only: a place is kept if the hash of the `k` words from there on
 is the least of `window` such hashes in a row (minimisers), so any passage of k + window - 1 words or more has a kept
-suffix at the same place of each of its copies. Kept suffixes whose k words occur once cannot repeat and go. The rest
+suffix at the same place of each of its copies (of words that go round in a circle, every half window one suffix is
+kept, wherever the circle began). Kept suffixes whose k words occur once cannot repeat and go. The rest
 are sorted by the words that follow, then by the words before, and neighbours are compared: their match is extended
 right and left over the words that travel with them (`reach` and `window` words). A match of `least` words or more is a
 repeated passage. A run of suffixes that all share a passage has a first copy, the one of least (doc_id, place); the
@@ -74,6 +75,16 @@ def minimisers(words: Words, k: int, window: int) -> tuple[np.ndarray, np.ndarra
         part = h[a : a + places[t]]
         keep[a + np.flatnonzero(part == part.min())] = True
     at = np.flatnonzero(keep)
+    if not len(at):
+        return at, h[at]
+    # words that go round in a circle give equal least hashes again and again: of such a stretch the first place is
+    # kept, and one more in every half window after it
+    tied = np.zeros(len(at), bool)
+    tied[1:] = (h[at[1:]] == h[at[:-1]]) & (text[at[1:]] == text[at[:-1]]) & (at[1:] - at[:-1] < window)
+    stretch = np.maximum.accumulate(np.where(tied, 0, at))
+    step = (at - stretch) // max(window // 2, 1)
+    tied[1:] &= step[1:] == step[:-1]
+    at = at[~tied]
     return at, h[at]
 
 
