@@ -2,8 +2,7 @@
 
 Suffixes of words are kept at content-selected places only: a place is kept if the hash of the `k` words from there on
 is the least of `window` such hashes in a row (minimisers), so any passage of k + window - 1 words or more has a kept
-suffix at the same place of each of its copies (of words that go round in a circle, every half window one suffix is
-kept, wherever the circle began). Kept suffixes whose k words occur once cannot repeat and go. The rest
+suffix at the same place of each of its copies. Kept suffixes whose k words occur once cannot repeat and go. The rest
 are sorted by the words that follow, then by the words before, and neighbours are compared: their match is extended
 right and left over the words that travel with them (`reach` and `window` words). A match of `least` words or more is a
 repeated passage. A run of suffixes that all share a passage has a first copy, the one of least (doc_id, place); the
@@ -20,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -75,16 +75,6 @@ def minimisers(words: Words, k: int, window: int) -> tuple[np.ndarray, np.ndarra
         part = h[a : a + places[t]]
         keep[a + np.flatnonzero(part == part.min())] = True
     at = np.flatnonzero(keep)
-    if not len(at):
-        return at, h[at]
-    # words that go round in a circle give equal least hashes again and again: of such a stretch the first place is
-    # kept, and one more in every half window after it
-    tied = np.zeros(len(at), bool)
-    tied[1:] = (h[at[1:]] == h[at[:-1]]) & (text[at[1:]] == text[at[:-1]]) & (at[1:] - at[:-1] < window)
-    stretch = np.maximum.accumulate(np.where(tied, 0, at))
-    step = (at - stretch) // max(window // 2, 1)
-    tied[1:] &= step[1:] == step[:-1]
-    at = at[~tied]
     return at, h[at]
 
 
@@ -259,6 +249,39 @@ def neighbours(suffix_table: DataFrame, least: int = LEAST, parts: int | None =
     return whole.join(F.broadcast(table), "run", "left").withColumn("run", F.coalesce("into", "run")).drop("into")
 
 
+SPANS = "doc long, first_doc long, start long, stop long, repeated boolean"
+
+
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The passages of a document in a run, those that overlap merged: all of them, and the later copies among them."""
+    for batch in batches:
+        at, column = batch.column("at"), lambda c: batch.column(c).to_numpy(zero_copy_only=False)
+        of = pc.list_parent_indices(at).to_numpy()
+        place, start, stop, cut_from, cut_to = (x.to_numpy() for x in at.flatten().flatten())
+        doc, first_doc = column("doc"), column("first_doc")
+        low_r, low_l = (pc.fill_null(batch.column(c), 0).to_numpy() for c in ("low_r", "low_l"))
+        later = ((doc != first_doc)[of] | (place > column("first_place")[of])) & (low_r + low_l > 0)[of]
+        cut = cut_to > cut_from
+        row = np.concatenate([of, of[cut], of[later]])
+        begin = np.concatenate([start, cut_from[cut], (place - low_l[of])[later]])
+        end = np.concatenate([stop, cut_to[cut], (place + low_r[of])[later]])
+        group = 2 * row + np.repeat([0, 1, 1], [len(of), cut.sum(), later.sum()])
+        order = np.lexsort((begin, group))
+        group, begin, end = group[order], begin[order], end[order]
+        if not len(group):
+            continue
+        # one line of numbers on which groups lie apart, so that one running maximum serves them all
+        far = group * (int(end.max()) + 1)
+        reached = np.maximum.accumulate(far + end)
+        new = np.concatenate([[True], (group[1:] != group[:-1]) | (reached[:-1] < far[1:] + begin[1:])])
+        first = np.flatnonzero(new)
+        row, top = group[first] // 2, np.maximum.reduceat(end, first)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(doc[row]), pa.array(first_doc[row]), pa.array(begin[first]), pa.array(top), pa.array(group[first] % 2 == 1)],
+            names=[x.split()[0] for x in SPANS.split(", ")],
+        )
+
+
 def passages(docs: DataFrame, least: int = LEAST, k: int = K, window: int = WINDOW, reach: int = REACH) -> DataFrame:
     """(doc_id, start, stop, n_words, first_doc, repeated): the repeated passages of each document of (doc_id, text).
 
@@ -271,21 +294,18 @@ def passages(docs: DataFrame, least: int = LEAST, k: int = K, window: int = WIND
         raise ValueError("a passage of `least` words must hold a kept suffix, and matches must reach the next one")
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     found = shared.stored(neighbours(shared.stored(suffixes(keyed, k, window, reach), "repeats-suffixes"), least), "repeats-runs")
+    # words that go round in a circle have a kept suffix in every round: a document meets each of its runs with one row
+    places = F.collect_list(F.struct("place", "start", "stop", "cut_from", "cut_to")).alias("at")
+    by_doc = shared.stored(found.groupBy("run", "doc").agg(F.min("place").alias("place"), F.min("r").alias("r"), F.min("l").alias("l"), places), "repeats-documents")
     runs = shared.stored(
-        found.groupBy("run").agg(F.min(F.struct("doc", "place")).alias("first"), F.min("r").alias("low_r"), F.min("l").alias("low_l"), F.count("*").alias("n")), "repeats-firsts"
+        by_doc.groupBy("run").agg(F.min(F.struct("doc", "place")).alias("first"), F.min("r").alias("low_r"), F.min("l").alias("low_l"), F.count("*").alias("n")), "repeats-firsts"
     )
-    # runs of over a thousandth of all suffixes, a thousand at most, are broadcast, so no task gets a hot run whole
+    # runs of over a thousandth of all these rows, a thousand at most, are broadcast, so no task gets a hot run whole
     total = runs.agg(F.sum("n").alias("n")).first()["n"] or 0
     hot, rest = runs.where(F.col("n") > total / 1000), runs.where(F.col("n") <= total / 1000)
-    at = found.join(F.broadcast(hot), "run").unionByName(found.join(rest, "run")).drop("n")
-    later = (F.col("doc") != F.col("first.doc")) | (F.col("place") > F.col("first.place"))
-    span = lambda start, stop, repeated: F.struct(start.alias("start"), stop.alias("stop"), F.lit(repeated).alias("repeated"))
-    spans = F.array(
-        span(F.col("start"), F.col("stop"), False),
-        F.when(F.col("cut_to") > F.col("cut_from"), span(F.col("cut_from"), F.col("cut_to"), True)),
-        F.when(later & F.col("low_r").isNotNull(), span(F.col("place") - F.col("low_l"), F.col("place") + F.col("low_r"), True)),
-    )
-    marked = at.select("doc", F.col("first.doc").alias("first_doc"), F.explode(F.array_compact(spans)).alias("s")).select("doc", "first_doc", "s.*")
+    own = by_doc.select("run", "doc", "at")
+    both = own.join(F.broadcast(hot), "run").unionByName(own.join(rest, "run"))
+    marked = both.select("doc", F.col("first.doc").alias("first_doc"), F.col("first.place").alias("first_place"), "low_r", "low_l", "at").mapInArrow(_spans, SPANS)
     order = Window.partitionBy("doc", "repeated").orderBy("start", "stop", "first_doc")
     reached = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum(F.when(F.col("reached") >= F.col("start"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
