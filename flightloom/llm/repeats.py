@@ -184,8 +184,9 @@ def _rows(rows: list[tuple], part: int, edge: bytes | None = None) -> pa.RecordB
     )
 
 
-def neighbours(suffix_table: DataFrame, least: int = LEAST, parts: int | None = None) -> DataFrame:
-    """(run, doc, place, start, stop, cut_from, cut_to, r, l) of the suffixes that match a neighbour, see _Suffix.
+def neighbours(suffix_table: DataFrame, least: int = LEAST, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(run, doc, place, start, stop, cut_from, cut_to, r, l) of the suffixes that match a neighbour, see _Suffix, and
+    (run, into) of the runs that go on from another partition, a row for each partition at most.
 
     A run goes on while the least words that any two neighbours in it share, right and left, are `least` together: so
     all its members share that passage. The sort is written once; a partition hands over its first and last row, and
@@ -243,10 +244,7 @@ def neighbours(suffix_table: DataFrame, least: int = LEAST, parts: int | None =
     columns = ", ".join(FOUND.split(", ")[:_N])
     kept = [s.found() for s in rows if s.stop > s.start]
     whole = found.where("edge is null").drop("part", "edge").unionByName(spark.createDataFrame(kept, columns))
-    if not same:
-        return whole
-    table = spark.createDataFrame(list(same.items()), "run long, into long")  # a row for each partition at most
-    return whole.join(F.broadcast(table), "run", "left").withColumn("run", F.coalesce("into", "run")).drop("into")
+    return whole, spark.createDataFrame(list(same.items()), "run long, into long")
 
 
 SPANS = "doc long, first_doc long, start long, stop long, repeated boolean"
@@ -293,13 +291,14 @@ def passages(docs: DataFrame, least: int = LEAST, k: int = K, window: int = WIND
     if k + window - 1 > least or reach < window:
         raise ValueError("a passage of `least` words must hold a kept suffix, and matches must reach the next one")
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    found = shared.stored(neighbours(shared.stored(suffixes(keyed, k, window, reach), "repeats-suffixes"), least), "repeats-runs")
+    found, into = neighbours(shared.stored(suffixes(keyed, k, window, reach), "repeats-suffixes"), least)
     # words that go round in a circle have a kept suffix in every round: a document meets each of its runs with one row
     places = F.collect_list(F.struct("place", "start", "stop", "cut_from", "cut_to")).alias("at")
     by_doc = shared.stored(found.groupBy("run", "doc").agg(F.min("place").alias("place"), F.min("r").alias("r"), F.min("l").alias("l"), places), "repeats-documents")
-    runs = shared.stored(
-        by_doc.groupBy("run").agg(F.min(F.struct("doc", "place")).alias("first"), F.min("r").alias("low_r"), F.min("l").alias("low_l"), F.count("*").alias("n")), "repeats-firsts"
-    )
+    parts = by_doc.groupBy("run").agg(F.min(F.struct("doc", "place")).alias("first"), F.min("r").alias("low_r"), F.min("l").alias("low_l"), F.count("*").alias("n"))
+    # the parts of a run in several partitions, one row each, share what holds for the whole run
+    named, whole = parts.join(F.broadcast(into), "run", "left"), Window.partitionBy(F.coalesce("into", "run"))
+    runs = shared.stored(named.select("run", *(F.min(c).over(whole).alias(c) for c in ("first", "low_r", "low_l")), "n"), "repeats-firsts")
     # runs of over a thousandth of all these rows, a thousand at most, are broadcast, so no task gets a hot run whole
     total = runs.agg(F.sum("n").alias("n")).first()["n"] or 0
     hot, rest = runs.where(F.col("n") > total / 1000), runs.where(F.col("n") <= total / 1000)
