@@ -5,7 +5,7 @@ is the least of `window` such hashes in a row (minimisers), so any passage of k
 suffix at the same place of each of its copies. Kept suffixes whose k words occur once cannot repeat and go. The rest
 are sorted by the words that follow, then by the words before, and neighbours are compared: their match is extended
 right and left over the words that travel with them (`reach` and `window` words). A match of `least` words or more is a
-repeated passage. A run of suffixes that all share a passage has a first copy, the one of least (doc_id, place); the
+repeated passage. A run of suffixes that all share a passage has a first copy, the one of least (doc_id, version, place); the
 later of two matching neighbours is a later copy too. What is cut thus stands in an earlier place, and the first stays.
 
 Scale: occurrence counts of the k words are packed sums by shard, the repeated hashes stay as sorted array files that
@@ -30,6 +30,15 @@ LEAST, K, WINDOW, REACH = 50, 10, 40, 64
 NULL_ID = -(1 << 63)
 
 
+def versioned(docs: DataFrame) -> DataFrame:
+    """docs with `__version`, which tells apart the texts of one doc_id: a hash of the text and, of rows without an id,
+    of their number among those of equal text (one task numbers them). Rows equal in id and text are one document."""
+    text = F.coalesce("text", F.lit(""))
+    numbered = F.col("doc_id").isNull() & (text != "")
+    nth = F.row_number().over(Window.partitionBy(F.xxhash64(text)).orderBy(F.lit(0)))
+    return docs.where(~numbered).withColumn("__version", F.xxhash64(text)).unionByName(docs.where(numbered).withColumn("__version", F.xxhash64(text, nth)))
+
+
 def minimisers(words: Words, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Kept places (word numbers) and the hashes of their k words. Texts of fewer than k words have none."""
     n = len(words.hash)
@@ -78,11 +87,11 @@ def minimisers(words: Words, k: int, window: int) -> tuple[np.ndarray, np.ndarra
     return at, h[at]
 
 
-SUFFIX = "hash long, right binary, left binary, doc long, place long"
+SUFFIX = "hash long, right binary, left binary, doc long, version long, place long"
 
 
 def suffixes(docs: DataFrame, k: int = K, window: int = WINDOW, reach: int = REACH) -> DataFrame:
-    """(hash, right, left, doc, place) of the kept suffixes whose k words occur more than once. `docs` is (id, text).
+    """(hash, right, left, doc, version, place) of the kept suffixes whose k words occur more than once. `docs` is (id, version, text).
 
     right and left are the words from the place on and those before it, nearest first, four bytes of hash each.
     """
@@ -107,7 +116,7 @@ def suffixes(docs: DataFrame, k: int = K, window: int = WINDOW, reach: int = REA
         shared.forget_arrays(folder)
         for batch in batches:
             data, offsets = joined(batch.column("text"))
-            ids = batch.column("id").to_numpy()
+            ids, versions = batch.column("id").to_numpy(), batch.column("version").to_numpy()
             for a, b in slices(offsets):
                 words = Words(data, offsets, a, b)
                 at, h = minimisers(words, k, window)
@@ -128,12 +137,12 @@ def suffixes(docs: DataFrame, k: int = K, window: int = WINDOW, reach: int = REA
                     [
                         pa.array(h.view(np.int64)), pa.array([short[i:j].tobytes() for i, j in zip(at, stop)], pa.binary()),
                         pa.array([short[i:j][::-1].tobytes() for i, j in zip(begin, at)], pa.binary()),
-                        pa.array(ids[a + text]), pa.array(at - words.first[text]),
+                        pa.array(ids[a + text]), pa.array(versions[a + text]), pa.array(at - words.first[text]),
                     ],
                     names=[x.split()[0] for x in SUFFIX.split(", ")],
                 )
 
-    return docs.select("id", "text").mapInArrow(emit, SUFFIX)
+    return docs.select("id", "version", "text").mapInArrow(emit, SUFFIX)
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -145,18 +154,18 @@ def _common(a: bytes, b: bytes) -> int:
     return int((x != y).argmax())
 
 
-FOUND = "run long, doc long, place long, start long, stop long, cut_from long, cut_to long, r long, l long, part int, edge binary"
-_N = 9
+FOUND = "run long, doc long, version long, place long, start long, stop long, cut_from long, cut_to long, r long, l long, part int, edge binary"
+_N = 10
 
 
 class _Suffix:
     """A row of the sorted order: start and stop of its match with either neighbour, cut_from and cut_to of that with an
     earlier copy, its run, and the words (r right, l left) it shares with the suffix before it in the run."""
 
-    __slots__ = ("hash", "right", "left", "doc", "place", "start", "stop", "cut_from", "cut_to", "run", "r", "l")
+    __slots__ = ("hash", "right", "left", "doc", "version", "place", "start", "stop", "cut_from", "cut_to", "run", "r", "l")
 
     def __init__(self, row: tuple):
-        self.hash, self.right, self.left, self.doc, self.place = row
+        self.hash, self.right, self.left, self.doc, self.version, self.place = row
         self.start = self.stop = self.cut_from = self.cut_to = self.place
         self.run, self.r, self.l = None, None, None
 
@@ -169,12 +178,12 @@ class _Suffix:
             return None
         for s in (self, after):
             s.start, s.stop = min(s.start, s.place - l), max(s.stop, s.place + r)
-        late = after if (self.doc, self.place) < (after.doc, after.place) else self
+        late = after if (self.doc, self.version, self.place) < (after.doc, after.version, after.place) else self
         late.cut_from, late.cut_to = min(late.cut_from, late.place - l), max(late.cut_to, late.place + r)
         return r, l
 
     def found(self) -> tuple:
-        return self.run, self.doc, self.place, self.start, self.stop, self.cut_from, self.cut_to, self.r, self.l
+        return self.run, self.doc, self.version, self.place, self.start, self.stop, self.cut_from, self.cut_to, self.r, self.l
 
 
 def _rows(rows: list[tuple], part: int, edge: bytes | None = None) -> pa.RecordBatch:
@@ -185,7 +194,7 @@ def _rows(rows: list[tuple], part: int, edge: bytes | None = None) -> pa.RecordB
 
 
 def neighbours(suffix_table: DataFrame, least: int = LEAST, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(run, doc, place, start, stop, cut_from, cut_to, r, l) of the suffixes that match a neighbour, see _Suffix, and
+    """(run, doc, version, place, start, stop, cut_from, cut_to, r, l) of the suffixes that match a neighbour, see _Suffix, and
     (run, into) of the runs that go on from another partition, a row for each partition at most.
 
     A run goes on while the least words that any two neighbours in it share, right and left, are `least` together: so
@@ -195,7 +204,7 @@ def neighbours(suffix_table: DataFrame, least: int = LEAST, parts: int | None =
     import pickle
 
     tasks = parts or int(suffix_table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    in_order = ["hash", "right", "left", "doc", "place"]
+    in_order = ["hash", "right", "left", "doc", "version", "place"]
     dealt = suffix_table.repartitionByRange(tasks, *in_order).sortWithinPartitions(*in_order)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +214,7 @@ def neighbours(suffix_table: DataFrame, least: int = LEAST, parts: int | None =
         for batch in batches:
             out = []
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if before and row[3:] == (before.doc, before.place):  # a repeated row of one document
+                if before and row[3:] == (before.doc, before.version, before.place):  # a repeated row of one document
                     continue
                 now = _Suffix(row)
                 shared_words = before.meet(now, least) if before else None
@@ -247,7 +256,7 @@ def neighbours(suffix_table: DataFrame, least: int = LEAST, parts: int | None =
     return whole, spark.createDataFrame(list(same.items()), "run long, into long")
 
 
-SPANS = "doc long, first_doc long, start long, stop long, repeated boolean"
+SPANS = "doc long, version long, first_doc long, first_version long, start long, stop long, repeated boolean"
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,9 +265,9 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, column = batch.column("at"), lambda c: batch.column(c).to_numpy(zero_copy_only=False)
         of = pc.list_parent_indices(at).to_numpy()
         place, start, stop, cut_from, cut_to = (x.to_numpy() for x in at.flatten().flatten())
-        doc, first_doc = column("doc"), column("first_doc")
+        doc, version, first_doc, first_version = (column(c) for c in ("doc", "version", "first_doc", "first_version"))
         low_r, low_l = (pc.fill_null(batch.column(c), 0).to_numpy() for c in ("low_r", "low_l"))
-        later = ((doc != first_doc)[of] | (place > column("first_place")[of])) & (low_r + low_l > 0)[of]
+        later = (((doc != first_doc) | (version != first_version))[of] | (place > column("first_place")[of])) & (low_r + low_l > 0)[of]
         cut = cut_to > cut_from
         row = np.concatenate([of, of[cut], of[later]])
         begin = np.concatenate([start, cut_from[cut], (place - low_l[of])[later]])
@@ -275,44 +284,46 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(new)
         row, top = group[first] // 2, np.maximum.reduceat(end, first)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(doc[row]), pa.array(first_doc[row]), pa.array(begin[first]), pa.array(top), pa.array(group[first] % 2 == 1)],
+            [pa.array(doc[row]), pa.array(version[row]), pa.array(first_doc[row]), pa.array(first_version[row]), pa.array(begin[first]), pa.array(top), pa.array(group[first] % 2 == 1)],
             names=[x.split()[0] for x in SPANS.split(", ")],
         )
 
 
 def passages(docs: DataFrame, least: int = LEAST, k: int = K, window: int = WINDOW, reach: int = REACH) -> DataFrame:
-    """(doc_id, start, stop, n_words, first_doc, repeated): the repeated passages of each document of (doc_id, text).
+    """(doc_id, start, stop, n_words, first_doc, repeated, version, first_version): the repeated passages of each document
+    of (doc_id, text); version tells apart the texts of one doc_id (see versioned).
 
     start and stop count words from 0. Rows with repeated = false are all passages that occur elsewhere too, first
-    copies among them; those with true are the parts that an earlier place (doc_id, then word; null ids first) holds as
-    well. Overlapping passages of a kind are merged; first_doc is the least document of their runs. Rows of one doc_id
-    count as one document. Runs its jobs at once.
+    copies among them; those with true are the parts that an earlier place (doc_id, version, then word; null ids first)
+    holds as well. Overlapping passages of a kind are merged; first_doc is the least document of their runs. Rows equal in
+    doc_id and text count as one document, each row without an id as one of its own. Runs its jobs at once.
     """
     if k + window - 1 > least or reach < window:
         raise ValueError("a passage of `least` words must hold a kept suffix, and matches must reach the next one")
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    keyed = versioned(docs.select("doc_id", "text")).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.col("__version").alias("version"), F.coalesce("text", F.lit("")).alias("text"))
     found, into = neighbours(shared.stored(suffixes(keyed, k, window, reach), "repeats-suffixes"), least)
     # words that go round in a circle have a kept suffix in every round: a document meets each of its runs with one row
     places = F.collect_list(F.struct("place", "start", "stop", "cut_from", "cut_to")).alias("at")
-    by_doc = shared.stored(found.groupBy("run", "doc").agg(F.min("place").alias("place"), F.min("r").alias("r"), F.min("l").alias("l"), places), "repeats-documents")
-    parts = by_doc.groupBy("run").agg(F.min(F.struct("doc", "place")).alias("first"), F.min("r").alias("low_r"), F.min("l").alias("low_l"), F.count("*").alias("n"))
+    by_doc = shared.stored(found.groupBy("run", "doc", "version").agg(F.min("place").alias("place"), F.min("r").alias("r"), F.min("l").alias("l"), places), "repeats-documents")
+    parts = by_doc.groupBy("run").agg(F.min(F.struct("doc", "version", "place")).alias("first"), F.min("r").alias("low_r"), F.min("l").alias("low_l"), F.count("*").alias("n"))
     # the parts of a run in several partitions, one row each, share what holds for the whole run
     named, whole = parts.join(F.broadcast(into), "run", "left"), Window.partitionBy(F.coalesce("into", "run"))
     runs = shared.stored(named.select("run", *(F.min(c).over(whole).alias(c) for c in ("first", "low_r", "low_l")), "n"), "repeats-firsts")
     # runs of over a thousandth of all these rows, a thousand at most, are broadcast, so no task gets a hot run whole
     total = runs.agg(F.sum("n").alias("n")).first()["n"] or 0
     hot, rest = runs.where(F.col("n") > total / 1000), runs.where(F.col("n") <= total / 1000)
-    own = by_doc.select("run", "doc", "at")
+    own = by_doc.select("run", "doc", "version", "at")
     both = own.join(F.broadcast(hot), "run").unionByName(own.join(rest, "run"))
-    marked = both.select("doc", F.col("first.doc").alias("first_doc"), F.col("first.place").alias("first_place"), "low_r", "low_l", "at").mapInArrow(_spans, SPANS)
-    order = Window.partitionBy("doc", "repeated").orderBy("start", "stop", "first_doc")
+    marked = both.select("doc", "version", F.col("first.doc").alias("first_doc"), F.col("first.version").alias("first_version"), F.col("first.place").alias("first_place"), "low_r", "low_l", "at").mapInArrow(_spans, SPANS)
+    order = Window.partitionBy("doc", "version", "repeated").orderBy("start", "stop", "first_doc", "first_version")
     reached = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum(F.when(F.col("reached") >= F.col("start"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    merged = marked.distinct().withColumn("reached", reached).withColumn("island", island).groupBy("doc", "repeated", "island").agg(
-        F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("first_doc").alias("first_doc")
+    merged = marked.distinct().withColumn("reached", reached).withColumn("island", island).groupBy("doc", "version", "repeated", "island").agg(
+        F.min("start").alias("start"), F.max("stop").alias("stop"), F.min(F.struct("first_doc", "first_version")).alias("first")
     )
     real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-    return merged.select(real("doc").alias("doc_id"), "start", "stop", (F.col("stop") - F.col("start")).alias("n_words"), real("first_doc").alias("first_doc"), "repeated")
+    words = (F.col("stop") - F.col("start")).alias("n_words")
+    return merged.select(real("doc").alias("doc_id"), "start", "stop", words, real("first.first_doc").alias("first_doc"), "repeated", "version", F.col("first.first_version").alias("first_version"))
 
 
 def remove(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -321,10 +332,10 @@ def remove(docs: DataFrame, found: DataFrame) -> DataFrame:
     A text is cut from the first word of a passage to its last; texts of which nothing but white space is left go.
     Documents without repeated passages stay as they are.
     """
-    cuts = found.where("repeated").groupBy(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__doc")).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("__cuts"))
+    cuts = found.where("repeated").groupBy(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__doc"), F.col("version").alias("__of")).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("__cuts"))
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
     # only documents with cuts pass through Python
-    both = docs.join(cuts, key == F.col("__doc"), "left").drop("__doc")
+    both = versioned(docs).join(cuts, (key == F.col("__doc")) & (F.col("__version") == F.col("__of")), "left")
     schema, names = docs.schema, docs.columns
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
 

@@ -295,6 +295,19 @@ def test_repeated_passages_against_all_windows(spark, odd, empty):
     assert repeats.passages(empty).count() == 0
 
 
+def test_repeated_passages_of_rows_that_share_an_id(spark):
+    part = prose(500, 70, 9000)
+    long, short, other = prose(501, 90, 9000) + " " + part, prose(502, 20, 9000), prose(503, 100, 9000)
+    rows = [(1, part), (None, long), (None, short), (None, None), (2, short), (2, long), (3, other), (3, other + " " + part), (None, other), (None, other)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = repeats.passages(table).cache()
+    copies = found.where("repeated and doc_id is null and n_words = 100")
+    assert found.where("doc_id is null and not repeated").count() == 3 and copies.count() == 1
+    kept = collections.Counter((r.doc_id, " ".join((r.text or "").split())) for r in repeats.remove(table, found).collect())
+    assert kept[None, short] == kept[2, short] == kept[None, ""] == kept[None, other] == 1
+    assert kept[None, long] == 1 and kept.total() == 5  # all else is a later copy
+
+
 # 7
 
 
