@@ -20,9 +20,17 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of least id. Rows of one id stay or go together."""
-    found = near.join(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id")) | F.col("doc_id").isNull()).select(F.col("doc_id").alias("__id"))
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    """One row of each group of near duplicates, that of the least id. Texts without words have copies only in rows that
+    are equal to them in an id; each of them without an id stays."""
+    alone = F.first((F.col("grams") == 0) & F.col("doc_id").isNull()).alias("alone")
+    by_text = near.placed(docs).groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.bool_or("first").alias("first"), F.sum("rows").alias("rows"), alone)
+    found = stored(by_text.where("first").select("__id", "__hash", (F.col("alone") | (F.col("rows") == 1)).alias("__all")), "pipeline-distinct")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (near.text_hash() == F.col("__hash"))
+    left, again = docs.join(found.where("__all"), same, "left_semi"), found.where("not __all")
+    if again.isEmpty():
+        return left
+    one = docs.join(again, same).dropDuplicates(["__id", "__hash"])
+    return left.unionByName(one.select(*(F.col(f"`{c}`") for c in docs.columns)))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ verified on the full n-gram sets.
 Scale: band hashes are shuffled as ids; n-gram sets travel once, to their group. A group of more than `block` members is
 cut into blocks and each task compares one pair of blocks, so neither a bucket nor a group has to fit in a task, and
 pairs are counted there, never emitted: a task passes on each member's links and a spanning forest of the verified
-pairs. Copies, however many, are one representative.
+pairs. Copies, however many, are one representative: the least id's text, or a row without an id if no other is there.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from flightloom.llm.components import components
 from flightloom.llm.shared import stored
@@ -38,13 +38,14 @@ def bands_for(threshold: float, recall: float, most: int) -> tuple[int, int]:
 
 
 def signatures(docs: DataFrame, bands: int, rows: int, width: int = 5) -> DataFrame:
-    """(id, grams, key, bands): the number of n-grams, a 128-bit hash of their set, and the band hashes."""
+    """(id, version, row, grams, key, bands) of (id, version, row, text): the number of n-grams, a 128-bit hash of their
+    set, and the band hashes."""
     salts = mix(np.arange(1, bands * rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = joined(batch.column("text"))
-            ids, n = batch.column("id").to_numpy(zero_copy_only=False), batch.num_rows
+            own, n = [batch.column(c) for c in ("id", "version", "row")], batch.num_rows
             count, low, high = np.zeros(n, np.int64), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
             hashes = np.zeros((n, bands), np.uint64)
             for a, b in slices(offsets):
@@ -63,9 +64,9 @@ def signatures(docs: DataFrame, bands: int, rows: int, width: int = 5) -> DataFr
                         total = mix(total * np.uint64(0x9FB21C651E98DF25) + np.minimum.reduceat(x, at))
                     hashes[rows_of, band] = total
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * bands + 1, bands, dtype=np.int32)), pa.array(hashes.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(count), pa.array([bytes(k) for k in np.stack([low, high], 1)], pa.binary()), lists], names=["id", "grams", "key", "bands"])
+            yield pa.RecordBatch.from_arrays([*own, pa.array(count), pa.array([bytes(k) for k in np.stack([low, high], 1)], pa.binary()), lists], names=["id", "version", "row", "grams", "key", "bands"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, grams long, key binary, bands array<long>")
+    return docs.select("id", "version", "row", "text").mapInArrow(run, "id long, version long, row long, grams long, key binary, bands array<long>")
 
 
 def gram_sets(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,11 +129,15 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> list[int]:
 
 def verified(groups: DataFrame, docs: DataFrame, threshold: float, width: int, block: int) -> DataFrame:
     """(u, links, v): for each member of a group its verified links, per pair of blocks, and in rows without links the
-    forest's edges (u, v). `groups` is (id, component, key), `docs` (id, text); of the texts of an id the one whose set
-    has the key counts."""
+    forest's edges (u, v). `groups` is (id, component, key, rep_id, rep_version), `docs` (id, version, text); a member's
+    text is that of its rep_id and rep_version."""
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
+            # of equal rows a task passes on one
+            new = [i for i, x in enumerate(batch.column("id").to_pylist()) if x not in seen and not seen.add(x)]
+            batch = batch.take(pa.array(new, pa.int64()))
             data, offsets = joined(batch.column("text"))
             wanted, held, mine = batch.column("key").to_pylist(), [], []
             for a, b in slices(offsets):
@@ -146,7 +151,9 @@ def verified(groups: DataFrame, docs: DataFrame, threshold: float, width: int, b
             yield out.filter(pa.array(mine, pa.bool_()))
 
     sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    sets = docs.join(groups.join(sizes, "component"), "id").select("id", "component", "blocks", "key", "text").mapInArrow(sets_of, "id long, component long, blocks int, grams binary")
+    same = F.col("id").eqNullSafe(F.col("rep_id")) & (F.col("version") == F.col("rep_version"))
+    texts = docs.select("id", "version", "text").join(groups.join(sizes, "component").withColumnRenamed("id", "member"), same)
+    sets = texts.select(F.col("member").alias("id"), "component", "blocks", "key", "text").mapInArrow(sets_of, "id long, component long, blocks int, grams binary")
     mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("left"), F.greatest(o, F.col("own")).alias("right")))
     dealt = sets.withColumn("own", mine).withColumn("pair", F.explode(others)).select("component", "pair.left", "pair.right", "own", "id", "grams")
@@ -171,34 +178,58 @@ def verified(groups: DataFrame, docs: DataFrame, threshold: float, width: int, b
 
 
 def join(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = 0.9995, most: int = 128, block: int = 192) -> DataFrame:
-    """(doc_id, class_id, copy_of, n_links, n_copies) for the documents of (doc_id, text).
+    """(doc_id, class_id, copy_of, n_links, n_copies, text_hash, class_hash, copy_hash) for the documents of (doc_id, text).
 
-    copy_of is the least doc_id with the same n-gram set; class_id the least one that a chain of links leads to; n_links
-    counts the other representatives (texts of other n-gram sets) of similarity of at least `threshold`; n_copies the
-    documents with the same set. One row for each doc_id, null too: of several rows with one id the text counts whose set
-    has the least hash. Runs its jobs at once.
+    copy_of is the least doc_id with the same n-gram set; class_id the least one that a chain of links leads to (both null
+    if no row of them has an id; the hashes are those of their texts); n_links counts the other representatives (texts of
+    other n-gram sets) of similarity of at least `threshold`; n_copies the documents with the same set. Each text of an
+    id is a document, each row without an id too; rows equal in id and text are one. Runs its jobs at once.
     """
+    return placed(docs, threshold, width, recall, most, block).drop("first", "rows", "grams")
+
+
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def placed(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = 0.9995, most: int = 128, block: int = 192) -> DataFrame:
+    """The rows of join with `grams`, the rows of docs that they stand for, and whether each is the first of its class."""
     bands, rows = bands_for(threshold, recall, most)
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), "text")
-    signed = stored(signatures(keyed, bands, rows, width).groupBy("id").agg(F.min(F.struct("key", "grams", "bands")).alias("s")).select("id", "s.*"), "near-signatures")
+    no_id = F.col("doc_id").isNull()
+    # rows without an id get a number, kept in the written signatures
+    row = F.when(no_id, F.monotonically_increasing_id()).otherwise(0).alias("row")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("id"), text_hash().alias("version"), row, F.coalesce("text", F.lit("")).alias("text"))
+    signed = stored(signatures(keyed, bands, rows, width).groupBy("id", "version", "row").agg(F.min(F.struct("key", "grams", "bands")).alias("s"), F.count("*").alias("rows")).select("id", "version", "row", "rows", "s.*"), "near-signatures")
     worded = signed.where("grams > 0")
-    classes = stored(worded.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("n_copies")), "near-classes")
-    reps = worded.join(classes.select(F.col("rep").alias("id")), "id")
-    met = reps.select("id", F.posexplode("bands").alias("band", "hash"))
+    # ids before rows without one
+    own = F.struct(F.col("id").isNull().alias("no_id"), "id", "version", "row")
+    classes = stored(worded.groupBy("key").agg(F.min(own).alias("rep"), F.count("*").alias("n_copies")).withColumn("node", F.monotonically_increasing_id()), "near-classes")
+    chosen = classes.select("node", F.col("rep.id").alias("rep_id"), F.col("rep.version").alias("rep_version"), F.col("rep.row").alias("rep_row"))
+    is_rep = F.col("id").eqNullSafe(F.col("rep_id")) & (F.col("version") == F.col("rep_version")) & (F.col("row") == F.col("rep_row"))
+    reps = worded.join(chosen, is_rep)
+    met = reps.select(F.col("node").alias("id"), F.posexplode("bands").alias("band", "hash"))
     least = met.groupBy("band", "hash").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1").select("band", "hash", "least")
     ties = met.join(least, ["band", "hash"]).where("id <> least").select(F.col("id").alias("u"), F.col("least").alias("v")).distinct()
-    groups = components(ties).join(classes.select(F.col("rep").alias("id"), "key"), "id")
-    found = stored(verified(groups, keyed, threshold, width, block), "near-verified")
+    named = classes.select(F.col("node").alias("id"), "key", F.col("rep.id").alias("rep_id"), F.col("rep.version").alias("rep_version"))
+    found = stored(verified(components(ties).join(named, "id"), keyed, threshold, width, block), "near-verified")
     linked = components(found.where("v is not null").select("u", "v"))
     links = found.where("links is not null").groupBy(F.col("u").alias("r")).agg(F.sum("links").alias("n_links"))
-    per_rep = classes.join(links, F.col("rep") == F.col("r"), "left").join(linked, F.col("rep") == F.col("id"), "left").select(
-        "key", "rep", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "rep").alias("class_id")
+    heads = linked.join(classes.select(F.col("node").alias("id"), "rep"), "id").groupBy("component").agg(F.min("rep").alias("head"))
+    headed = linked.join(heads, "component").select("id", "head")
+    per_rep = classes.join(links, F.col("node") == F.col("r"), "left").join(headed, F.col("node") == F.col("id"), "left").select(
+        "key", "rep", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("head", "rep").alias("head")
     )
-    placed = signed.select("id", "key", "grams").join(per_rep, "key", "left")
-    return placed.select(
-        F.when(F.col("id") != -(1 << 63), F.col("id")).alias("doc_id"),
-        F.when(F.col("grams") > 0, F.col("class_id")).otherwise(F.col("id")).alias("class_id"),
-        F.when(F.col("grams") > 0, F.col("rep")).otherwise(F.col("id")).alias("copy_of"),
-        F.when(F.col("grams") > 0, F.col("n_links")).otherwise(0).alias("n_links"),
-        F.when(F.col("grams") > 0, F.col("n_copies")).otherwise(1).alias("n_copies"),
+    every = signed.select("id", "version", "row", "rows", "key", "grams").join(per_rep, "key", "left")
+    where_worded = lambda c, other: F.when(F.col("grams") > 0, F.col(c)).otherwise(other)
+    return every.select(
+        F.col("id").alias("doc_id"),
+        where_worded("head.id", F.col("id")).alias("class_id"),
+        where_worded("rep.id", F.col("id")).alias("copy_of"),
+        where_worded("n_links", F.lit(0)).alias("n_links"),
+        where_worded("n_copies", F.lit(1)).alias("n_copies"),
+        F.col("version").alias("text_hash"),
+        where_worded("head.version", F.col("version")).alias("class_hash"),
+        where_worded("rep.version", F.col("version")).alias("copy_hash"),
+        ((F.col("grams") == 0) | (F.col("id").eqNullSafe(F.col("head.id")) & (F.col("version") == F.col("head.version")) & (F.col("row") == F.col("head.row")))).alias("first"),
+        "rows", "grams",
     )

@@ -252,6 +252,16 @@ def test_jaccard_join_against_all_pairs(spark, odd, empty):
     assert near.join(empty).count() == 0
 
 
+def test_jaccard_join_of_rows_that_share_an_id(spark):
+    text = {k: prose(600 + k, 120) for k in range(4)}
+    rows = [(None, text[0]), (None, text[0] + " tail"), (None, text[0]), (None, text[1]), (None, ""), (None, None), (3, text[2]), (3, text[1] + " end"), (4, text[2] + " x"), (5, text[3]), (5, text[3])]
+    got = collections.Counter((r.doc_id, r.class_id, r.copy_of, r.n_links, r.n_copies) for r in near.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert got == {
+        (None, None, None, 1, 2): 2, (None, None, None, 1, 1): 1, (None, 3, None, 1, 1): 1, (3, 3, 3, 1, 1): 2, (4, 3, 4, 1, 1): 1,
+        (None, None, None, 0, 1): 2, (5, 5, 5, 0, 1): 1,
+    }
+
+
 def test_band_counts_reach_the_recall():
     bands, rows = near.bands_for(0.8, 0.9995, 128)
     assert bands * rows <= 128 and 1 - (1 - 0.8**rows) ** bands >= 0.9995

@@ -36,6 +36,14 @@ def test_stages(spark):
     assert {r.doc_id: r.n // r.each for r in whole} == want and all(r.n % r.each == 0 for r in whole)
 
 
+def test_one_row_of_each_class_stays_without_ids_too(spark):
+    a, b, c = (" ".join(f"{x}{i * i % 97}" for i in range(90)) for x in "abc")
+    rows = [(None, a), (None, a), (None, a + " tail"), (None, b), (1, b + " end"), (2, c), (2, c), (2, b), (None, ""), (None, None), (3, ""), (3, "")]
+    docs = spark.createDataFrame([(*r, "en", "s", 5) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = collections.Counter((r.doc_id, r.text) for r in corpus_pipeline.distinct_documents(spark, docs, "").collect())
+    assert got in [{(None, x): 1, (1, b + " end"): 1, (2, c): 1, (None, ""): 1, (None, None): 1, (3, ""): 1} for x in (a, a + " tail")]
+
+
 def test_equal_rows_share_their_copies(spark):
     rows = [(1, "a b c", "en", "s", 5)] * 3 + [(None, None, None, None, None)] * 2 + [(2, "d e f g h i", "en", "t", 11)] * 2
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
