@@ -65,13 +65,21 @@ class Network:
                 out += table[pair[2 * j : 2 * j + n]]
         return out
 
-    def layout(self, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Half-chunks of padded texts: begin of each, and how many each text has (one at least)."""
+    def layout(self, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Half-chunks of padded texts: begin and stop of each, and how many each text has (one at least). A text's last
+        place is its first padding byte: those after it reach into the next text."""
         halves = np.maximum(-(-lengths // self.shape.half_chunk), 1)
         padded = lengths + self.shape.width
         first = np.concatenate([[0], np.cumsum(padded)])[:-1]
         within = np.arange(halves.sum()) - np.repeat(np.cumsum(halves) - halves, halves)
-        return np.repeat(first, halves) + within * self.shape.half_chunk, halves
+        starts, last = np.repeat(first, halves) + within * self.shape.half_chunk, np.cumsum(halves) - 1
+        stops = starts + self.shape.half_chunk
+        stops[last] = first + lengths + 1
+        return starts, stops, halves
+
+    def maxima(self, answers: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """The highest answers of each half-chunk."""
+        return np.maximum.reduceat(answers, np.stack([starts, stops], 1).ravel())[::2]
 
     def pad(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Each text followed by `width` zero bytes."""
@@ -106,8 +114,8 @@ class Network:
         if self.prior is not None:
             return np.full(len(offsets) - 1, self.prior)
         padded = self.pad(data, offsets)
-        starts, halves = self.layout(np.diff(offsets))
-        pooled, _, first = self.chunks(np.maximum.reduceat(self.answers(padded, tables), starts), halves)
+        starts, stops, halves = self.layout(np.diff(offsets))
+        pooled, _, first = self.chunks(self.maxima(self.answers(padded, tables), starts, stops), halves)
         return 1 / (1 + np.exp(-np.clip(self.head(pooled, first)[0].astype(float), -30, 30)))
 
     def fit(self, texts: list[bytes], labels: np.ndarray, weights: np.ndarray, epochs: int = 8, batch: int = 32, rate: float = 0.004, seed: int = 11) -> Network:
@@ -130,9 +138,9 @@ class Network:
         offsets = np.cumsum([0, *map(len, texts)])
         data = np.frombuffer(b"".join(texts), np.uint8)
         padded = self.pad(data, offsets)
-        starts, halves = self.layout(np.diff(offsets))
+        starts, stops, halves = self.layout(np.diff(offsets))
         answers = self.answers(padded)
-        half_max = np.maximum.reduceat(answers, starts)
+        half_max = self.maxima(answers, starts, stops)
         pooled, chosen, first = self.chunks(half_max, halves)
         odds, at = self.head(pooled, first)
         d = ((1 / (1 + np.exp(-np.clip(odds, -30, 30))) - labels) * weights / len(texts)).astype(np.float32)

@@ -354,6 +354,22 @@ def test_gradient_and_held_out_quality(spark, odd, empty):
     assert quality.train(empty, labels, F.lit(True)).prior == 0.5
 
 
+def test_quality_score_is_the_same_alone_and_in_any_batch():
+    net = quality.Network(quality.Shape(), 3)
+    texts = [b"", b"short", b"", b"seven b", prose(1, 400).encode(), b"\xff" * 256, b"short", b"x" * 257, b"\xf0" * 40]
+
+    def score(these):
+        return net.score(np.frombuffer(b"".join(these), np.uint8), np.cumsum([0, *map(len, these)]), net.tables()).tolist()
+
+    alone = [score([t])[0] for t in texts]
+    assert score(texts) == alone and score(texts[::-1]) == alone[::-1]
+    # a gradient does not see the neighbours either
+    zero = np.zeros(1)
+    for k, t in enumerate(texts[:-1]):
+        one, two = net.gradient([t], zero, zero + 1), net.gradient([t, texts[k + 1]], np.zeros(2), np.array([2.0, 0.0]))
+        assert all(np.allclose(one[p], two[p], atol=1e-6) for p in one)
+
+
 # 8
 
 
