@@ -134,3 +134,26 @@ def shingles(words: Words, width: int, seed: int = 0) -> tuple[np.ndarray, np.nd
     for k in range(width):
         out = out * np.uint64(0xD6E8FEB86659FD93) + np.where(at + k < stop, padded[at + k], np.uint64(0))
     return mix(out), first
+
+
+def stretches(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray]]:
+    """(a, at): texts a, a+1, ... or parts of them, text a+i in bytes at[i]:at[i+1], about `most` bytes at a time.
+
+    A text of more than `most` bytes comes in several stretches of its own, cut only behind bytes that `inside` marks as
+    no part of a word; a word of more than `most` bytes is not cut.
+    """
+    for a, b in slices(offsets, most):
+        low, high = int(offsets[a]), int(offsets[b])
+        if high - low <= most or b - a > 1:
+            yield a, offsets[a : b + 1]
+            continue
+        while low < high:
+            cut, step = min(low + most, high), low
+            while cut < high:
+                gaps = np.flatnonzero(~inside[data[step:cut]])
+                if len(gaps):
+                    cut = step + int(gaps[-1]) + 1
+                    break
+                step, cut = cut, min(cut + most, high)
+            yield a, np.array([low, cut])
+            low = cut
