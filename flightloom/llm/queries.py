@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from flightloom.llm import fingerprints, language, licenses, mixing, near, packing, perplexity, quality, repeats, topk
+from flightloom.llm import fingerprints, language, licenses, manifest, mixing, near, packing, perplexity, quality, repeats, spelling, tokenfiles, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -96,6 +96,21 @@ from (select *, row_number() over (partition by query_id order by score desc, ve
 """
 
 
+@_query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
+@_query
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.round_trip(documents(spark, sf_dir), tokenizer())
+
+
+@_query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(documents(spark, sf_dir), F.crc32(F.col("doc_id").cast("string")) % 3 == 0)
+
+
 def tokenizer(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 

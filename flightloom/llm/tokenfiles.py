@@ -38,10 +38,10 @@ from flightloom.llm import shared
 from flightloom.llm.packing import WordCoder, split_marks
 from flightloom.llm.text import NOT_WHITE, Words, joined, stretches
 
-SHARD = 1 << 20
+SHARD = 1 << 18
 MAGIC = b"FLTOKRP1"
 _EVERY = 1024
-_BUCKETS = 20
+_BUCKETS = 18
 
 
 def grammar(ids: np.ndarray, least: int = 4, worth: float = 0.01) -> bytes:
@@ -93,19 +93,20 @@ def grammar(ids: np.ndarray, least: int = 4, worth: float = 0.01) -> bytes:
 def _replaced(key: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of pairs that are more frequent than both pairs they overlap, and the pairs. Counts are of buckets of
     pairs, so now and then a pair seems more frequent than it is; equal neighbours are taken in turns."""
-    bucket = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BUCKETS)).astype(np.int32)
-    count = np.bincount(bucket, minlength=1 << _BUCKETS).astype(np.int32)[bucket]
-    order = (count.astype(np.int64) << _BUCKETS) | bucket
-    n = len(order)
-    equal = np.zeros(n, bool)
-    equal[1:] = order[1:] == order[:-1]
+    bits = np.uint64(min(max(len(key).bit_length(), 4), _BUCKETS))
+    bucket = ((key * np.uint64(0x9E3779B97F4A7C15)) >> (np.uint64(64) - bits)).view(np.int64)
+    found = np.bincount(bucket, minlength=1 << int(bits)).astype(np.int32)
+    count = found[bucket]
+    order = ((found.astype(np.int64) << bits.view(np.int64)) | np.arange(len(found)))[bucket]
     take = count >= least
-    take[1:] &= (order[1:] > order[:-1]) | equal[1:]
+    take[1:] &= order[1:] >= order[:-1]
     take[:-1] &= order[:-1] >= order[1:]
-    if equal.any():
-        place = np.arange(n)
-        take &= (place - np.maximum.accumulate(np.where(equal, 0, place))) % 2 == 0
     at = np.flatnonzero(take)
+    # places side by side are of equal neighbours only
+    close = np.diff(at, prepend=-2) == 1
+    if close.any():
+        nth = np.arange(len(at))
+        at = at[(nth - np.maximum.accumulate(np.where(close, 0, nth))) % 2 == 0]
     return at, key[at]
 
 
