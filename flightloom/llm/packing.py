@@ -14,6 +14,8 @@ length that a third of all pieces have is split; a sequence holds `capacity` pie
 
 from __future__ import annotations
 
+import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -37,7 +39,9 @@ _PLAIN[list(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")]
 class WordCoder:
     """Token ids of words; every distinct word is coded once and the most recent ones are remembered.
 
-    The tokenizer splits at white space and lower-cases, so a text's ids are those of its words in order.
+    The tokenizer splits at white space and lower-cases, so a text's ids are those of its words in order. Only its
+    special contents are matched in the text as it is written: words that hold one in any case are told apart by their
+    case and coded as they stand.
     """
 
     def __init__(self, path: str, remembered: int = 400_000):
@@ -48,60 +52,70 @@ class WordCoder:
 
         self.tokenizer, self.remembered = Tokenizer.from_file(path), remembered
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self._keep(np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.uint32))
+        self.plain = re.compile("[a-z]+").fullmatch
+        self._forget()
 
-    def _keep(self, keys: np.ndarray, first: np.ndarray, ids: np.ndarray) -> None:
-        self.keys, self.first, self.ids = keys, first, ids
+    def _forget(self) -> None:
+        """No words are known; those known have sorted keys and the ids self.ids[self.first:self.first+self.n]."""
+        self.keys, self.first, self.n, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(first, ids): the ids of word i are ids[first[i]:first[i+1]]."""
         counts, parts = np.zeros(len(words), np.int64), []
-        for a in range(0, len(words), 1000):
-            group = words[a : a + 1000]
-            if any(s in w for s in self.special for w in group) or not all(group):
-                for i, w in enumerate(group):
-                    got = self.tokenizer.encode(w, add_special_tokens=False).ids
-                    counts[a + i] = len(got)
-                    parts.append(np.array(got, np.uint32))
-                continue
-            coded = self.tokenizer.encode(" ".join(group), add_special_tokens=False)
-            begins = np.cumsum([0] + [len(w) + 1 for w in group[:-1]])
-            at = np.fromiter((o[0] for o in coded.offsets), np.int64, len(coded.ids))
-            counts[a : a + len(group)] = np.bincount(np.searchsorted(begins, at, side="right") - 1, minlength=len(group))
-            parts.append(np.array(coded.ids, np.uint32))
-        return np.concatenate([[0], np.cumsum(counts)]), np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        one, plain, whole = self.tokenizer.model.tokenize, self.plain, self.tokenizer.encode
+        for i, w in enumerate(words):
+            # letters alone pass the tokenizer's first steps as they are
+            got = [t.id for t in one(w)] if plain(w) else whole(w, add_special_tokens=False).ids
+            counts[i] = len(got)
+            parts += got
+        return np.concatenate([[0], np.cumsum(counts)]), np.array(parts, np.uint32)
+
+    def _special(self, words: Words, raw: bytes) -> np.ndarray:
+        """Words that hold a special content in any case."""
+        found = set()
+        for content in self.special:
+            pattern = content.lower().encode()
+            at = raw.find(pattern)
+            while at >= 0:
+                found.update(range(int(np.searchsorted(words.end, at, side="right")), int(np.searchsorted(words.start, at + len(pattern)))))
+                at = raw.find(pattern, at + 1)
+        return np.array(sorted(found), np.int64)
 
     def encode(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in order, and where each text's begin."""
-        distinct, at, which = np.unique(words.hash, return_index=True, return_inverse=True)
+        raw = FOLD[words.data].tobytes()
+        special = self._special(words, raw)
+        hashes = words.hash
+        if len(special):
+            hashes = hashes.copy()
+            for i in special.tolist():
+                hashes[i] = _case_hash(words.data[words.start[i] : words.end[i]].tobytes())
+        distinct, at, which = np.unique(hashes, return_index=True, return_inverse=True)
         place, there = shared.lookup(self.keys, distinct)
         new = np.flatnonzero(~there)
-        raw = FOLD[words.data].tobytes()
-        spelled = [raw[a:b].decode("utf-8") for a, b in zip(words.start[at[new]], words.end[at[new]])]
+        spelled = [raw[a:b].decode("utf-8") for a, b in zip(words.start[at[new]].tolist(), words.end[at[new]].tolist())]
+        for i in np.flatnonzero(np.isin(at[new], special)).tolist():
+            spelled[i] = words.data[words.start[at[new[i]]] : words.end[at[new[i]]]].tobytes().decode("utf-8")
         new_first, new_ids = self.encode_words(spelled)
-        # one table of old and new ids, in the order of `distinct`
-        n = np.zeros(len(distinct), np.int64)
-        n[there] = np.diff(self.first)[place[there]]
-        n[new] = np.diff(new_first)
-        source = np.zeros(len(distinct), np.int64)
-        source[there] = self.first[place[there]]
-        source[new] = len(self.ids) + new_first[:-1]
+        n, source = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+        n[there], source[there] = self.n[place[there]], self.first[place[there]]
+        n[new], source[new] = np.diff(new_first), len(self.ids) + new_first[:-1]
         table = np.concatenate([self.ids, new_ids])
         ids = table[spread(source[which], n[which])]
         first = np.concatenate([[0], np.cumsum(n[which])])[words.first]
-        if len(new):
-            if len(self.keys) + len(new) > self.remembered:  # begin again with this slice's words
-                keys, source, n = distinct, source, n
-            else:
-                keys = np.concatenate([self.keys, distinct[new]])
-                source = np.concatenate([self.first[:-1], source[new]])
-                n = np.concatenate([np.diff(self.first), n[new]])
-                order = np.argsort(keys)
-                keys, source, n = keys[order], source[order], n[order]
-            self._keep(keys, np.concatenate([[0], np.cumsum(n)]), table[spread(source, n)])
+        if len(self.keys) + len(new) > self.remembered:
+            self._forget()  # and begin again with what comes next
+        elif len(new):
+            where = np.searchsorted(self.keys, distinct[new])
+            self.keys, self.first, self.n = np.insert(self.keys, where, distinct[new]), np.insert(self.first, where, source[new]), np.insert(self.n, where, n[new])
+            self.ids = table
         return ids, first
 
 
+def _case_hash(word: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+
+
 def spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
     """first[i], first[i]+1, ... (n[i] of them), for all i."""
     stop = np.cumsum(n)
