@@ -209,6 +209,7 @@ def placed(rows: DataFrame, asking: int = ASKING) -> DataFrame:
         return table.select(_PLACED_ARROW.names[:5]).append_column("place", pa.array(rank, pa.int64())).append_column("many", pa.array(bitmap.repeats(position)))
 
     key = ["tree", "range", "copy"]
+    salted = salted.repartition(*key)  # not as a join by (tree, range) left them
     out = stored(salted.groupBy(*key).cogroup(dealt.groupBy(*key)).applyInArrow(ask, _PLACED), "manifest-placed")
     many = out.where("many")
     if many.isEmpty():
@@ -275,6 +276,8 @@ def slot_arrays(nodes: DataFrame, levels: int) -> DataFrame:
         return pa.Table.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names=[c.split()[0] for c in _ARRAY.split(", ")])
 
     dealt = nodes.join(totals, "tree").withColumn("array", F.floor(F.col("place") / wide).cast("long"))
+    # dealt anew: the join may have put all rows of a tree together, which would do for the grouping
+    dealt = dealt.repartition("tree", "array")
     return stored(dealt.groupBy("tree", "array", "total").applyInArrow(fill, _ARRAY), "manifest-arrays")
 
 

@@ -36,6 +36,13 @@ _PLAIN = np.zeros(256, bool)
 _PLAIN[list(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = True
 
 
+#: Where the tokenizer cuts words of these characters, which its first steps leave as they are.
+_CUTS = "'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+"
+_SIMPLE = "[!-@\\[-~\u00df-\u00f6\u00f8-\u00ff]+"
+#: Its characters for the bytes of \u00df to \u00ff: C3 and 9F to BF.
+_BYTE_TEXT = {c: "\u00c3" + chr({0x9F: 0x141, 0xA0: 0x142, 0xAD: 0x143}.get(c - 0x40, c - 0x40)) for c in range(0xDF, 0x100)}
+
+
 class WordCoder:
     """Token ids of words; every distinct word is coded once and the most recent ones are remembered.
 
@@ -52,7 +59,7 @@ class WordCoder:
 
         self.tokenizer, self.remembered = Tokenizer.from_file(path), remembered
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.plain = re.compile("[a-z]+").fullmatch
+        self.simple, self.cuts, self.pieces = re.compile(_SIMPLE).fullmatch, re.compile(_CUTS).findall, {}
         self._forget()
 
     def _forget(self) -> None:
@@ -62,14 +69,24 @@ class WordCoder:
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(first, ids): the ids of word i are ids[first[i]:first[i+1]]."""
         counts, parts = np.zeros(len(words), np.int64), []
-        one, plain, whole = self.tokenizer.model.tokenize, self.plain, self.tokenizer.encode
         for i, w in enumerate(words):
-            # letters alone pass the tokenizer's first steps as they are
-            got = [t.id for t in one(w)] if plain(w) else whole(w, add_special_tokens=False).ids
+            got = self._cut(w) if self.simple(w) and "<|" not in w else self.tokenizer.encode(w, add_special_tokens=False).ids
             counts[i] = len(got)
             parts += got
         return np.concatenate([[0], np.cumsum(counts)]), np.array(parts, np.uint32)
 
+    def _cut(self, word: str) -> list[int]:
+        """Ids of a word whose pieces need the tokenizer's model alone."""
+        out: list[int] = []
+        for piece in self.cuts(word):
+            got = self.pieces.get(piece)
+            if got is None:
+                got = [t.id for t in self.tokenizer.model.tokenize(piece if piece.isascii() else piece.translate(_BYTE_TEXT))]
+                if len(piece) < 4 and len(self.pieces) < 50_000:  # digits, marks, endings
+                    self.pieces[piece] = got
+            out += got
+        return out
+
     def _special(self, words: Words, raw: bytes) -> np.ndarray:
         """Words that hold a special content in any case."""
         found = set()
@@ -123,7 +140,8 @@ def spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def split_marks(data: np.ndarray, words: Words) -> Words:
-    """Words whose end is a run of marks after a letter or digit become two; fewer distinct ones are left to code."""
+    """Words (hashed or not) whose end is a run of marks after a letter or digit become two, hashed; fewer distinct ones
+    are left to code."""
     if not len(words.start):
         return words
     mark = _MARKS[data]
@@ -132,7 +150,7 @@ def split_marks(data: np.ndarray, words: Words) -> Words:
     stem = last[words.end - 1] + 1
     cut = (stem < words.end) & (stem > words.start) & _PLAIN[data[np.maximum(stem - 1, 0)]]
     if not cut.any():
-        return words
+        return words.recut(words.start, words.end)
     start = np.sort(np.concatenate([words.start, stem[cut]]))
     end = np.sort(np.concatenate([words.end, stem[cut]]))
     return words.recut(start, end)
@@ -152,7 +170,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAP
             data, offsets = joined(batch.column(text))
             rows: list[tuple] = []
             for a, b in slices(offsets):
-                words = Words(data, offsets, a, b)
+                words = Words(data, offsets, a, b, hashed=False)
                 got, first = coder.encode(split_marks(words.data, words))
                 for i in range(b - a):
                     own = np.append(got[first[i] : first[i + 1]], np.uint32(end_id)).astype("<u4")

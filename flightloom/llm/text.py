@@ -69,7 +69,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """The words of texts[a:b]: hash, byte range within `data`, and how many each text has."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, a: int, b: int, inside: np.ndarray = NOT_WHITE):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, a: int, b: int, inside: np.ndarray = NOT_WHITE, hashed: bool = True):
         base = int(offsets[a])
         part, at = data[base : offsets[b]], offsets[a : b + 1] - base
         n = len(part)
@@ -87,7 +87,8 @@ class Words:
         ends[:-1] &= ~keep[1:] | cut[1:n]
         self.start, self.end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
         self._at = at
-        self._hash()
+        if hashed:  # else once they are recut
+            self._hash()
 
     def _hash(self) -> None:
         n = len(self.data)

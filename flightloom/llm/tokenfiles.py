@@ -250,7 +250,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text") ->
                 )
 
             for a, at in stretches(data, offsets, NOT_WHITE):
-                words = Words(data, at, 0, len(at) - 1)
+                words = Words(data, at, 0, len(at) - 1, hashed=False)
                 got, first = coder.encode(split_marks(words.data, words)) if len(words.data) else (np.zeros(0, np.uint32), np.zeros(len(at), np.int64))
                 raw, step = got.astype(kind).tobytes(), 2 if narrow else 4
                 made = [raw[step * i : step * j] for i, j in zip(first[:-1].tolist(), first[1:].tolist())]
