@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from flightloom.llm import shared
@@ -74,7 +75,7 @@ def fingerprints(words: Words, terms: np.ndarray, scheme: Scheme) -> np.ndarray:
     none = np.bincount(t[inside], minlength=words.texts) == 0
     kept = inside | none[t]
     h, t = h[kept], t[kept]
-    out = np.zeros((words.texts, scheme.subsets), np.uint32)
+    out = np.zeros((words.texts, scheme.subsets), np.uint64)
     for k in range(scheme.subsets):
         level = 0 if k == 0 else 1 + (k - 1) // scheme.each
         salt = np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))
@@ -86,13 +87,13 @@ def fingerprints(words: Words, terms: np.ndarray, scheme: Scheme) -> np.ndarray:
         at = np.flatnonzero(np.concatenate([[True], tk[1:] != tk[:-1]]))
         place = np.arange(len(tk)) - np.repeat(at, np.diff(np.append(at, len(tk))))
         value = np.add.reduceat(mix(hk + salt + (place.astype(np.uint64) << np.uint64(1))), at)
-        out[tk[at], k] = np.maximum(mix(value) & np.uint64(0xFFFF), np.uint64(1)).astype(np.uint32)
+        out[tk[at], k] = np.maximum(mix(value), np.uint64(1))
     return out
 
 
 def written(prints: np.ndarray) -> list[str]:
-    """Four hexadecimal digits for each subset."""
-    return [x.tobytes().hex() for x in prints.astype(">u2")]
+    """Sixteen hexadecimal digits for each subset."""
+    return [x.tobytes().hex() for x in prints.astype(">u8")]
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -108,8 +109,8 @@ def fingerprint(docs: DataFrame, terms: np.ndarray, scheme: Scheme = Scheme(), t
     lex = docs.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prints = written(_batch_prints(batch.column(text), lex.value, scheme))
+        for batch in (part for whole in batches for part in _bounded(whole, len(rest))):
+            prints = written(_batch_prints(batch.column(len(rest)), lex.value, scheme))
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in rest), pa.array(prints, pa.string())], names=[*(f.name for f in rest), "fingerprint"])
 
     ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rest)
@@ -119,7 +120,14 @@ def fingerprint(docs: DataFrame, terms: np.ndarray, scheme: Scheme = Scheme(), t
 def _batch_prints(column: pa.Array, terms: np.ndarray, scheme: Scheme) -> np.ndarray:
     data, offsets = joined(column)
     parts = [fingerprints(Words(data, offsets, a, b), terms, scheme) for a, b in slices(offsets)]
-    return np.concatenate(parts) if parts else np.zeros((0, scheme.subsets), np.uint32)
+    return np.concatenate(parts) if parts else np.zeros((0, scheme.subsets), np.uint64)
+
+
+def _bounded(batch: pa.RecordBatch, text: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch whose texts have about `most` bytes, so that what is made of them is bounded too."""
+    size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy()
+    for a, b in slices(np.concatenate([[0], np.cumsum(size, dtype=np.int64)]), most):
+        yield batch.slice(a, b - a)
 
 
 EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -172,7 +180,7 @@ def compare_edited(docs: DataFrame, scheme: Scheme = Scheme(), parts: int | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last row of the part so far: (part, id, text, print)
-        for batch in batches:
+        for batch in (part for whole in batches for part in _bounded(whole, 3)):
             part, halo, ids = (batch.column(k).to_pylist() for k in (0, 1, 2))
             texts = batch.column(3).to_pylist()
             prints = _batch_prints(batch.column(3), terms.value, scheme)
