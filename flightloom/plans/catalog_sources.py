@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from flightloom import params as P
 from flightloom.functions import values
 from flightloom.plans import catalog_stateful as cs
 from flightloom.plans.registry import ORACLES, query
@@ -233,28 +234,31 @@ def twin(name, uses=()):
 
 @twin("debounced_events")
 def stream_debounced_events(d):
-    out = streams.drain(streams.debounce_stream(streams.replay(d.fx_event, "t", [14.0, 31.5])))
+    out = streams.drain(streams.debounce_stream(streams.replay(d.fx_event, "t", [14.0, 31.5], closing=1e6)))
     return out.select("mission_id", "seq", "source", "event_code")
 
 
 @twin("gps_validation")
 def stream_gps_validation(d):
-    out = streams.drain(streams.validate_gps_stream(streams.replay(d.fx_gps, "seq", CUTS)))
+    out = streams.drain(streams.validate_gps_stream(streams.replay(d.fx_gps, "seq", CUTS, closing=10**6), F.timestamp_seconds("seq")))
     return out.select("mission_id", "seq", "reason", (c("reason") == "GPS_VALID").alias("valid"), F.round("distance_m", 4).alias("distance_m"))
 
 
 @twin("flight_phases")
 def stream_flight_phases(d):
     df = d.fx_flight.withColumn("raw_accel_x", F.lit(0.0)).withColumn("raw_accel_y", F.lit(0.0))
-    out = streams.drain(streams.flight_phase_stream(streams.replay(df, "t", CUTS)))
+    out = streams.drain(streams.flight_phase_stream(streams.replay(df, "t", CUTS, closing=1e6)))
     return out.select("mission_id", "seq", "phase", "entered", "phase_reason")
 
 
 @query("stream_packets", ["fx_capture"], "select mission_id, seq, image_name as img, t from fx_capture")
 def stream_packets(d):
-    twice = packets(d).select("mission_id", "seq", "value")
-    repeated = twice.unionByName(twice.filter(c("seq") % 3 == 0))
-    out = streams.drain(streams.packet_stream(streams.replay(repeated, "seq", CUTS).select("mission_id", "value"), c("mission_id") * 0.0))
+    # missions follow each other, each with a start of its own; a third of all packets come twice
+    sent = packets(d).select("mission_id", "seq", "value")
+    repeated = sent.unionByName(sent.filter(c("seq") % 3 == 0))
+    bounds = sent.agg(F.percentile("mission_id", [0.3, 0.7]).alias("p")).first()["p"] or []
+    start = F.lit(1_700_000_000.0) + F.pmod(c("mission_id") * 7919, F.lit(1000)) * 86_400.0
+    out = streams.drain(streams.packet_stream(streams.replay(repeated, "mission_id", bounds).select("mission_id", "value"), start))
     return out.select("mission_id", "seq", "img", "t")
 
 
@@ -281,12 +285,17 @@ def stream_sync_warnings(d):
         "mission_id", (c("t") * 2 - 0.5).alias("t"), "seq", F.lit(0).alias("side"), F.when(c("worker") == "click", "GPS").otherwise("IMU").alias("sensor")
     )
     shots = d.fx_capture.select("mission_id", "t", "seq", F.lit(1).alias("side"), F.lit(None).cast("string").alias("sensor"))
-    source = streams.replay(samples.unionByName(shots), "t", [40.0, 90.0])
+    source = streams.replay(samples.unionByName(shots), "t", [40.0, 90.0], closing=1e6)
     out = streams.drain(streams.sync_warnings(source, ["GPS", "IMU"], 3000.0))
     return out.select("mission_id", "seq", F.round("gps_age_ms", 3).alias("gps_age_ms"), F.round("imu_age_ms", 3).alias("imu_age_ms"))
 
 
-@query("stream_stale_workers", ["fx_worker"])
+@query(
+    "stream_stale_workers", ["fx_worker"],
+    f"""with g as (select mission_id, worker, t, lead(t) over (partition by mission_id, worker order by t) as later, max(t) over () as over_ from fx_worker where ok)
+    select mission_id, worker, 'STALE' as status, t + {P.STALE_S}::double as at_s from g where coalesce(later, over_) - t > {P.STALE_S}
+    union all select mission_id, worker, 'HEALTHY', later from g where later - t > {P.STALE_S}""",
+)
 def stream_stale_workers(d):
     ok = d.fx_worker.filter("ok").select("mission_id", "worker", "t", F.timestamp_micros((c("t") * 1e6).cast("bigint")).alias("ts"))
     return streams.drain(streams.stale_stream(streams.replay(ok, "t", CUTS)))

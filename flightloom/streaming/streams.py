@@ -2,104 +2,213 @@
 
 from __future__ import annotations
 
-import json
+import sys
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from flightloom import params as P
 from flightloom.operators import estimators as est
-from flightloom.operators import steps
+from flightloom.operators import ladder, steps
 from flightloom.session import shared_folder
 from flightloom.sources.messages import parse_packets
 
 
-def packet_stream(lines: DataFrame, start: Column, delay: str = "10 minutes") -> DataFrame:
-    """Parsed packets with event time from the packet; late repeats of a (mission, seq) are dropped.
+class _InOrder(StatefulProcessor):
+    """Rows of a key in the order of their event times, given to a step function one by one.
 
-    ``lines``: mission_id, value. ``start``: epoch seconds at which the row's mission began; without it missions that
-    arrive one after the other would share one clock, and the later ones would all be late.
+    Rows wait in a list until the watermark has passed them; a timer is set for the first of them. Rows behind the
+    watermark are late and dropped by the engine. A key that is silent for ``silent_ms`` loses its state.
     """
-    parsed = parse_packets(lines.withColumn("_zero", start)).filter(F.col("packet").isNotNull()).select("mission_id", "_zero", "packet.*")
-    timed = parsed.withColumn("event_time", F.timestamp_micros(((F.col("_zero") + F.col("t")) * 1e6).cast("bigint"))).drop("_zero")
-    return timed.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["mission_id", "seq"])
-
 
-def _register() -> None:
-    import flightloom.streaming.streams as here
-
-    for module in (here, steps):
+    def __init__(self, fold, buffer: str, columns: list[str], order: list[int], inputs: list[int], keep: list[int], names: list[str], silent_ms: int):
+        self.fold, self.buffer, self.columns, self.order, self.inputs, self.keep = fold, buffer, columns, order, inputs, keep
+        self.names, self.silent_ms = names, silent_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.rows = handle.getListState("rows", self.buffer)
+        self.now = handle.getValueState("now", self.fold.state)
+        self.due = handle.getValueState("due", "ms bigint")
+
+    def _remind(self, ms: int) -> None:
+        set_ = self.due.get()
+        if set_ is not None and set_[0] is not None:
+            if set_[0] <= ms:
+                return
+            self.handle.deleteTimer(set_[0])
+        self.handle.registerTimer(ms)
+        self.due.update((ms,))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        new = [tuple(r[n] for n in self.columns) for r in rows]
+        if new:
+            self.rows.appendList(new)
+            self._remind(min(r[0] for r in new))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.due.clear()
+        watermark = timerValues.getCurrentWatermarkInMs()
+        held = [tuple(r) for r in self.rows.get()] if self.rows.exists() else []
+        if not held:  # nothing has come since the last row was let go
+            self.now.clear()
+            return
+        # missing values of the order come first
+        ready = sorted((r for r in held if r[0] <= watermark), key=lambda r: [(r[i] is not None, r[i]) for i in self.order])
+        rest = [r for r in held if r[0] > watermark]
+        if ready:
+            state = list(self.now.get()) if self.now.exists() else self.fold.start()
+            for r in ready:
+                state, made = self.fold.step(state, tuple(r[i] for i in self.inputs))
+                yield Row(*self.names)(*[r[i] for i in self.keep], *made)
+            self.now.update(tuple(state))
+        if rest:
+            self.rows.put(rest)
+            self._remind(min(r[0] for r in rest))
+        else:
+            self.rows.clear()
+            self._remind(watermark + self.silent_ms)
+
+    def close(self) -> None:
+        pass
+
+
+def _ordered_state(spark) -> None:
+    """Streams with timers and lists in their state need a store that has column families."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def in_order(
+    df: DataFrame, by: list[str], event_time: Column, order: list[str], inputs: list[str], fold, keep: list[str], delay: str = "10 minutes",
+    silent_s: float = 86_400.0,
+) -> DataFrame:
+    """``keep`` columns and the outputs of a step function for every row of a stream, in order of event time, however the
+    rows of a key arrive within ``delay``; rows of one millisecond follow by ``order``. Rows come out once the watermark
+    has passed them; later ones are dropped. After ``silent_s`` of event time without a row a key starts anew."""
+    for module in (sys.modules[__name__], steps, ladder, est):
         cloudpickle.register_pickle_by_value(module)
+    _ordered_state(df.sparkSession)
+    timed = df.withColumn("_at", event_time).withWatermark("_at", delay).withColumn("_ms", F.unix_millis("_at"))
+    columns = ["_ms", *dict.fromkeys([*order, *inputs, *keep])]
+    fields = {f.name: f for f in timed.schema}
+    buffer = ", ".join(f"`{n}` {fields[n].dataType.simpleString()}" for n in columns)
+    extra = T.StructType.fromDDL(fold.outputs)
+    schema = T.StructType([*[T.StructField(n, fields[n].dataType) for n in keep], *extra.fields])
+    at = columns.index
+    machine = _InOrder(fold, buffer, columns, [at(n) for n in order], [at(n) for n in inputs], [at(n) for n in keep], schema.names, int(silent_s * 1000))
+    keys = [F.col(n).alias(f"_key_{n}") for n in by]
+    keyed = timed.select(*keys, "_at", *columns)
+    return keyed.groupBy(*[f"_key_{n}" for n in by]).transformWithState(machine, schema, "Append", "EventTime")
+
+
+class _FirstOfEach(StatefulProcessor):
+    """The first of a mission's packets of one sequence number, by the mission's own clock: numbers are remembered until
+    it is ``delay_s`` past them, and packets that come later than that are dropped."""
+
+    def __init__(self, delay_s: float):
+        self.delay_s = delay_s
+
+    def init(self, handle) -> None:
+        self.seen = handle.getValueState("seen", "clock double, seqs array<bigint>, times array<double>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        clock, seqs, times = self.seen.get() if self.seen.exists() else (None, [], [])
+        known, latest = dict(zip(seqs, times)), clock
+        for row in rows:
+            t, seq = row["_clock"], row["seq"]
+            if t is None or seq is None:  # nothing to tell a repeat by
+                yield row
+                continue
+            if seq in known or (clock is not None and t < clock - self.delay_s):
+                continue
+            known[seq] = t
+            latest = t if latest is None else max(latest, t)
+            yield row
+        if latest is not None:
+            kept = {s: t for s, t in known.items() if t >= latest - self.delay_s}
+            self.seen.update((latest, list(kept), list(kept.values())))
+
+    def close(self) -> None:
+        pass
+
+
+def packet_stream(lines: DataFrame, start: Column, delay_s: float = 600.0) -> DataFrame:
+    """Parsed packets with event time from the packet; repeats of a (mission, seq) are dropped.
+
+    ``lines``: mission_id, value. ``start``: epoch seconds at which the row's mission began. Each mission has a clock of
+    its own, so missions that arrive one after the other, each from its own start, make no other one late. What is
+    remembered of a mission is the numbers of its last ``delay_s``.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    _ordered_state(lines.sparkSession)
+    parsed = parse_packets(lines.withColumn("_zero", start)).filter(F.col("packet").isNotNull()).select("mission_id", "_zero", "packet.*")
+    at = (F.col("_zero") + F.col("t")).cast("double")
+    timed = parsed.withColumn("event_time", F.timestamp_micros((at * 1e6).cast("bigint"))).withColumns({"_clock": at, "_key": F.col("mission_id")}).drop("_zero")
+    once = timed.groupBy("_key").transformWithState(_FirstOfEach(delay_s), timed.schema, "Append", "None")
+    return once.drop("_clock", "_key")
 
 
-def _stepper(fold, by: list[str], order: list[str], inputs: list[str], keep: list[str], out: list[str]):
-    def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = json.loads(state.get[0]) if state.exists else fold.start()
-        # one micro-batch of one key; batches are bounded by the source's rate limits
-        pdf = pd.concat(list(frames)).sort_values(order, kind="stable")
-        results = []
-        for row in pdf[inputs].astype(object).where(pdf[inputs].notna(), None).itertuples(index=False, name=None):
-            # plain Python numbers, as in the batch form, so that both round alike
-            now, result = fold.step(now, tuple(v.tolist() if hasattr(v, "tolist") else v for v in row))
-            results.append(result)
-        state.update((json.dumps(now),))
-        made = pd.DataFrame(results, columns=out, index=pdf.index)
-        yield pd.concat([pdf[keep], made], axis=1)
-
-    return run
-
-
-def stateful_stream(df: DataFrame, by: list[str], order: list[str], inputs: list[str], fold, keep: list[str]) -> DataFrame:
-    """Run a step function over a stream, its state kept per key between micro-batches."""
-    _register()
-    extra = T.StructType.fromDDL(fold.outputs)
-    fields = {f.name: f for f in df.schema}
-    schema = T.StructType([*[fields[n] for n in keep], *extra.fields])
-    return df.groupBy(*by).applyInPandasWithState(
-        _stepper(fold, by, order, inputs, keep, [f.name for f in extra.fields]),
-        schema, T.StructType.fromDDL("state string"), "append", GroupStateTimeout.NoTimeout,
-    )
+def _seconds(t: str) -> Column:
+    """A mission's clock as event time, a day later: a stream begins with its watermark at the epoch, and rows at or
+    before it would be late."""
+    return F.timestamp_micros(((F.col(t) + 86_400.0) * 1e6).cast("bigint"))
 
 
-def debounce_stream(events: DataFrame, gap_s: float = P.DEBOUNCE_S) -> DataFrame:
-    by = ["mission_id", "source", "event_code", "message"]
-    return stateful_stream(events, by, ["t", "seq"], ["t"], steps.Debounce(gap_s), events.columns).filter("kept").drop("kept")
+def debounce_stream(events: DataFrame, gap_s: float = P.DEBOUNCE_S, event_time: Column | None = None, delay: str = "10 minutes") -> DataFrame:
+    """Event time is ``t`` (seconds) unless given. A key's state is needed for ``gap_s`` only."""
+    by, at = ["mission_id", "source", "event_code", "message"], event_time if event_time is not None else _seconds("t")
+    out = in_order(events, by, at, ["t", "seq"], ["t"], steps.Debounce(gap_s), events.columns, delay, silent_s=max(gap_s, 0.0) + 1.0)
+    return out.filter("kept").drop("kept")
 
 
-def validate_gps_stream(fixes: DataFrame, as_of: Column | None = None) -> DataFrame:
+def validate_gps_stream(fixes: DataFrame, received: Column, as_of: Column | None = None, delay: str = "10 minutes", silent_s: float = 86_400.0) -> DataFrame:
+    """``received``: when a fix arrived, which grows with seq; the fix's own stamp may go back, that is what is checked."""
     now = as_of if as_of is not None else F.col("ts_ns")
     judged = fixes.withColumn("_verdict", est.gps_stateless((now - F.col("ts_ns")) / F.lit(1e6)))
     check = steps.GpsCheck(P.MAX_JUMP_M, P.MAX_SPEED_MPS)
-    return stateful_stream(judged, ["mission_id"], ["seq"], ["_verdict", "ts_ns", "latitude", "longitude"], check, fixes.columns)
+    return in_order(judged, ["mission_id"], received, ["seq"], ["_verdict", "ts_ns", "latitude", "longitude"], check, fixes.columns, delay, silent_s)
 
 
-class _PhaseStep(steps.FlightPhases):
-    """Phases with the vertical rate worked out from the row before, as a stream has no lag."""
+class _PhaseStep:
+    """The ladder of phases; vertical rate and the highest altitude since launch are worked out from the rows before."""
 
-    def start(self):
-        return [*super().start(), None, None]
+    outputs = "phase string, entered boolean, phase_reason string"
+    state = "phase string, launch double, entry double, run bigint, held double, t double, alt double, top double"
 
-    def step(self, state, row):
-        *inner, t0, alt0 = state
+    def __init__(self, params: dict):
+        self.p = params
+        self.steps = ladder.Steps(est.flight_rungs(params), params["max_flight_s"], est.ABORTED)
+
+    def start(self) -> list:
+        return [*self.steps.start(), None, None, 0.0]
+
+    def step(self, state: list, row: tuple) -> tuple[list, tuple]:
+        *inner, t0, alt0, top = state
         t, alt, g = row
-        alt = max(0.0, alt)
+        alt, g = max(0.0, alt or 0.0), float("nan") if g is None else g
         speed = 0.0 if t0 is None else (alt - alt0) / max(t - t0, 1e-3)
-        inner, out = super().step(inner, (t, alt, speed, g))
-        return [*inner, t, alt], out
+        launched = inner[1] is not None
+        top = max(top, alt) if launched else alt
+        flags = {**est.phase_flags(self.p, alt, speed, g), "falling": est.falling_flag(self.p, alt, speed, top)}
+        inner, out = self.steps.step(inner, t, flags)
+        return [*inner, t, alt, top], out
 
 
-def flight_phase_stream(telemetry: DataFrame) -> DataFrame:
+def flight_phase_stream(telemetry: DataFrame, event_time: Column | None = None, delay: str = "10 minutes", silent_s: float = 86_400.0) -> DataFrame:
+    """Event time is ``t`` (seconds) unless given."""
     from flightloom.functions.attitude import accel_g
 
     ready = telemetry.withColumn("accel_g", accel_g(F.col("raw_accel_x"), F.col("raw_accel_y"), F.col("raw_accel_z")))
-    machine = _PhaseStep(est.PHASE_PARAMS)
-    return stateful_stream(ready, ["mission_id"], ["t", "seq"], ["t", "baro_altitude", "accel_g"], machine, telemetry.columns)
+    at = event_time if event_time is not None else _seconds("t")
+    return in_order(ready, ["mission_id"], at, ["t", "seq"], ["t", "baro_altitude", "accel_g"], _PhaseStep(est.PHASE_PARAMS), telemetry.columns, delay, silent_s)
 
 
 class _SensorAges:
@@ -108,26 +217,29 @@ class _SensorAges:
     def __init__(self, sensors: list[str]):
         self.sensors = sensors
         self.outputs = ", ".join(f"{s.lower()}_age_ms double" for s in sensors)
+        self.state = ", ".join(f"s{i} double" for i in range(len(sensors)))
 
-    def start(self):
-        return {}
+    def start(self) -> list:
+        return [None] * len(self.sensors)
 
-    def step(self, state, row):
+    def step(self, state: list, row: tuple) -> tuple[list, tuple]:
         t, sensor = row
         if sensor is not None:
-            return {**state, sensor: t}, (None,) * len(self.sensors)
-        return state, tuple((t - state[s]) * 1000.0 if s in state else -1.0 for s in self.sensors)
+            return [t if s == sensor else last for s, last in zip(self.sensors, state)], (None,) * len(state)
+        return state, tuple(-1.0 if last is None else (t - last) * 1000.0 for last in state)
 
 
-def sync_warnings(merged: DataFrame, sensors: list[str], limit_ms: float = P.SYNC_WARN_MS) -> DataFrame:
+def sync_warnings(merged: DataFrame, sensors: list[str], limit_ms: float = P.SYNC_WARN_MS, event_time: Column | None = None, delay: str = "10 minutes", silent_s: float = 86_400.0) -> DataFrame:
     """Captures taken while a sensor was behind by more than the limit.
 
     ``merged``: mission_id, t, seq, sensor (null for a capture). Samples at the time of a capture
     count, so ``side`` (0 sample, 1 capture) orders rows of one instant.
     """
-    out = stateful_stream(merged, ["mission_id"], ["t", "side", "seq"], ["t", "sensor"], _SensorAges(sensors), ["mission_id", "t", "seq", "sensor"])
+    at = event_time if event_time is not None else _seconds("t")
+    out = in_order(merged, ["mission_id"], at, ["t", "side", "seq"], ["t", "sensor"], _SensorAges(sensors), ["mission_id", "t", "seq", "sensor"], delay, silent_s)
     ages = [F.col(f"{s.lower()}_age_ms") for s in sensors]
-    return out.filter(F.col("sensor").isNull() & (F.greatest(*ages) > limit_ms)).drop("sensor")
+    oldest = F.greatest(*ages) if len(ages) > 1 else ages[0]
+    return out.filter(F.col("sensor").isNull() & (oldest > limit_ms)).drop("sensor")
 
 
 def rate_stream(samples: DataFrame, seconds: float, by: list[str], delay: str = "10 minutes", slide: float | None = None) -> DataFrame:
@@ -142,7 +254,7 @@ def rate_stream(samples: DataFrame, seconds: float, by: list[str], delay: str =
 
 def stale_stream(samples: DataFrame, timeout_s: float = P.STALE_S, delay: str = "0 seconds") -> DataFrame:
     """One row whenever a worker has been silent for ``timeout_s`` of event time ``ts``, and when it speaks again."""
-    _register()
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
     def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         names = ["mission_id", "worker", "status", "at_s"]
@@ -173,8 +285,11 @@ def stale_stream(samples: DataFrame, timeout_s: float = P.STALE_S, delay: str =
 
 
 # -- running a stream over what is there now --------------------------------
-def replay(df: DataFrame, order: str, cuts: list[float]) -> DataFrame:
-    """A recorded table as a stream of several micro-batches in order: one file set per cut."""
+def replay(df: DataFrame, order: str, cuts: list[float], closing: float | None = None) -> DataFrame:
+    """A recorded table as a stream of several micro-batches in order: one file set per cut.
+
+    ``closing``: a last row of nothing but this value of the order column, so far ahead that the watermark passes all
+    others; it stays behind the watermark itself and never comes out of an ordered stream."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/replay-{uuid.uuid4().hex}"
     edges = [None, *cuts, None]
@@ -185,6 +300,9 @@ def replay(df: DataFrame, order: str, cuts: list[float]) -> DataFrame:
         if high is not None:
             part = part.filter(F.col(order) < high)
         part.coalesce(1).write.mode("append").parquet(path)
+    if closing is not None:
+        end = spark.range(1).select(*[F.lit(closing if f.name == order else None).cast(f.dataType).alias(f.name) for f in df.schema])
+        end.write.mode("append").parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
