@@ -184,9 +184,13 @@ def blocked_transitions(events: DataFrame) -> DataFrame:
 
 
 def reprojection_stats(points: DataFrame, by: list[str], width: float = 0.5) -> DataFrame:
+    """Mean and median error. The mean is an exact sum divided once, so no order of rows changes its last digits; a group
+    with an error that is no finite number has the plain average."""
     from flightloom.operators.quantiles import exact_quantiles
 
-    mean = points.groupBy(*by).agg(F.avg("error_px").alias("mean_px"))
+    exact = F.col("error_px").try_cast("decimal(38,15)")
+    whole = F.count("error_px") == F.count(exact)
+    mean = points.groupBy(*by).agg(F.when(whole, F.sum(exact).cast("double") / F.count(exact)).otherwise(F.avg("error_px")).alias("mean_px"))
     return mean.join(exact_quantiles(points, by, "error_px", {"median_px": 0.5}, width), by)
 
 

@@ -26,7 +26,7 @@ def rounded(df, keys, **columns):
 @query(
     "geo_frames",
     ["fx_capture"],
-    f"""with p as (select *, 18.5204::double as lat0, 73.8567::double as lon0, 10 * roll as n, 10 * pitch as e from fx_capture where latitude <> 0),
+    f"""with p as (select *, 18.5204::double as lat0, 73.8567::double as lon0, 10 * roll as n, 10 * pitch as e from fx_capture),
     q as (select *, radians(lat0) + n / 6371000.0 as nlat from p)
     select mission_id, seq,
       {r(haversine('lat0', 'lon0', 'latitude', 'longitude'))} as haversine_m,
@@ -46,7 +46,7 @@ def rounded(df, keys, **columns):
     from q""",
 )
 def geo_frames(d):
-    df = d.fx_capture.filter(c("latitude") != 0)
+    df = d.fx_capture
     lat, lon, lat0, lon0 = c("latitude"), c("longitude"), lit(LAT0), lit(LON0)
     n, e = c("roll") * 10, c("pitch") * 10
     ref, mean = geo.to_local_ref(lat, lon, lat0, lon0), geo.to_local_mean(lat, lon, lat0, lon0)

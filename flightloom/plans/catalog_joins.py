@@ -121,7 +121,7 @@ def capture_state_rows(d):
     """with m as (select distinct mission_id from fx_base),
     k as (select c.mission_id, count(*) as images, count(*) filter (where f.image_name is null) as lost,
       count(*) filter (where latitude = 0 or longitude = 0) as no_gps, count(*) filter (where roll = 0 and pitch = 0 and yaw = 0) as flat
-      from fx_capture c left join (select distinct mission_id, image_name from fx_file) f using (mission_id, image_name) where c.mission_id % 10 <> 0 group by 1)
+      from fx_capture c left join (select distinct mission_id, image_name from fx_file) f using (mission_id, image_name) group by 1)
     select m.mission_id, 'No image metadata records found.' as issue from m left join k using (mission_id) where images is null
     union all select mission_id, 'Missing image files: ' || lost from k where lost > 0
     union all select mission_id, 'Images without GPS fix: ' || no_gps from k where no_gps > 0
@@ -129,7 +129,7 @@ def capture_state_rows(d):
 )
 def mission_issues(d):
     cap = d.fx_capture
-    return prepare.mission_issues(cap.filter(c("mission_id") % 10 != 0), d.fx_file, cap)
+    return prepare.mission_issues(cap, d.fx_file, cap)
 
 
 @query(
@@ -261,7 +261,7 @@ def guidance_checks(d):
 @query(
     "image_sets",
     ["fx_capture", "fx_file"],
-    """with ref as (select distinct mission_id, image_name from fx_capture where mission_id % 10 <> 0),
+    """with ref as (select distinct mission_id, image_name from fx_capture),
     has as (select distinct mission_id from ref), f as (select distinct mission_id, image_name from fx_file)
     select 'missing' as kind, mission_id, image_name from (select * from ref except select * from f)
     union all select 'orphan', mission_id, image_name from (select * from f except select * from ref) where mission_id in (select mission_id from has)
@@ -269,7 +269,7 @@ def guidance_checks(d):
     union all select 'present', mission_id, image_name from f where mission_id not in (select mission_id from has)""",
 )
 def image_sets(d):
-    t, f = d.fx_capture.filter(c("mission_id") % 10 != 0), d.fx_file
+    t, f = d.fx_capture, d.fx_file
     parts = {"missing": reports.missing_images(t, f), "orphan": reports.orphan_images(t, f), "present": reports.present_images(t, f)}
     out = None
     for kind, df in parts.items():
@@ -281,7 +281,7 @@ def image_sets(d):
 @query(
     "reconcile_images",
     ["fx_capture", "fx_file"],
-    """with ref as (select distinct mission_id, image_name from fx_capture where mission_id % 10 <> 0), f as (select distinct mission_id, image_name from fx_file),
+    """with ref as (select distinct mission_id, image_name from fx_capture), f as (select distinct mission_id, image_name from fx_file),
     b as (select coalesce(ref.mission_id, f.mission_id) as mission_id, coalesce(ref.image_name, f.image_name) as image_name, ref.image_name is not null as r, f.image_name is not null as h
       from ref full join f on ref.mission_id = f.mission_id and ref.image_name = f.image_name),
     k as (select mission_id, count(*) filter (where r) as referenced, count(*) filter (where r and h) as bothn, count(*) filter (where h) as files,
@@ -291,7 +291,7 @@ def image_sets(d):
       coalesce(me, '') as missing_examples, case when referenced > 0 then coalesce(oe, '') else '' end as orphan_examples from k""",
 )
 def reconcile_images(d):
-    return reports.reconcile_images(d.fx_capture.filter(c("mission_id") % 10 != 0), d.fx_file)
+    return reports.reconcile_images(d.fx_capture, d.fx_file)
 
 
 @query(

@@ -153,12 +153,12 @@ def calibration(d):
 
 @query(
     "calibrated_samples", ["fx_imu"],
-    f"""with k as (select mission_id, avg(gx) as bx, avg(gz) as bz, (min(mx) + max(mx)) / 2 as ox from fx_imu where mission_id % 4 <> 0 group by 1)
+    f"""with k as (select mission_id, avg(gx) as bx, avg(gz) as bz, (min(mx) + max(mx)) / 2 as ox from fx_imu group by 1)
     select i.mission_id, i.seq, {r('gx - coalesce(bx, 0) + 1e-9')} as gx, {r('degrees(gz - coalesce(bz, 0))')} as gz_dps, {r('mx - coalesce(ox, 0)')} as mx from fx_imu i left join k using (mission_id)""",
 )
 def calibrated_samples(d):
     imu = d.fx_imu.select("mission_id", "seq", F.array("gx", "gy", "gz").alias("gyro"), F.array("mx", "my", "mz").alias("mag"))
-    cal = reports.calibrate(d.fx_imu.filter(c("mission_id") % 4 != 0)).select(
+    cal = reports.calibrate(d.fx_imu).select(
         "mission_id", F.array("mean_gx", "mean_gy", "mean_gz").alias("bias"), F.array("offset_mx", "offset_my", "offset_mz").alias("offset")
     )
     out = reports.apply_calibration(imu, cal)
@@ -197,12 +197,12 @@ def interference(d):
 
 @query(
     "ability_verdicts", ["fx_geometry", "fx_match"],
-    f"""with {cp.GEOMETRY}, g as (select mission_id, bool_or(seq % 3 + 1 > 1 and accepted) as far, bool_or(accepted) as anyv, bool_or(not accepted) as ref from geo group by 1), e as (select distinct mission_id from fx_match where mission_id % 7 <> 0)
+    f"""with {cp.GEOMETRY}, g as (select mission_id, bool_or(seq % 3 + 1 > 1 and accepted) as far, bool_or(accepted) as anyv, bool_or(not accepted) as ref from geo group by 1), e as (select distinct mission_id from fx_match)
     select coalesce(g.mission_id, e.mission_id) as mission_id, case when e.mission_id is not null then 'PASS' else 'FAIL' end as overlap_discovery, case when far then 'PASS' else 'PARTIAL' end as non_sequential_matching,
       case when anyv then 'PASS' else 'FAIL' end as scale_perspective_tolerance, case when ref then 'PASS' else 'PARTIAL' end as rejection_of_weak_pairs from g full join e on e.mission_id = g.mission_id""",
 )
 def ability_verdicts(d):
-    return reports.ability_verdicts(d.fx_match.filter(c("mission_id") % 7 != 0), cp.geometry(d).withColumn("number_gap", c("seq") % 3 + 1))
+    return reports.ability_verdicts(d.fx_match, cp.geometry(d).withColumn("number_gap", c("seq") % 3 + 1))
 
 
 @query(
