@@ -239,7 +239,7 @@ def complementary(imu: DataFrame, dt: float, alpha: float = 0.98, width: float =
     }
     parts = []
     for name, (rate, angle) in angles.items():
-        pull = F.when(c("ax").isNull() | angle.isNull(), F.lit(1.0)).otherwise(F.lit(alpha))
+        pull = F.when(c("ax").isNull() | c("ay").isNull() | c("az").isNull(), F.lit(1.0)).otherwise(F.lit(alpha))
         out = out.withColumns({f"_a_{name}": pull, f"_b_{name}": pull * F.coalesce(rate, F.lit(0.0)) * dt + (1.0 - pull) * F.coalesce(angle, F.lit(0.0))})
         parts += [f"_a_{name}", f"_b_{name}"]
 
