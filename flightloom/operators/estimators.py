@@ -218,9 +218,11 @@ def filter_altitude(
     steps = numbered.select("*", *[row[p].cast("double").alias(p) for p in compose.GAUSSIAN])
     if gps:
         steps = compose.followed(steps, compose.seen(F.coalesce(c(gps).cast("double"), F.lit(0.0)), gps_var), c(gps).isNotNull())
+        steps = cut_lineage(steps)  # else the planner nests one composition in the next
     if reseed:
         known = compose.reset(F.coalesce(c(reseed[0]), F.lit(0.0)), F.coalesce(c(reseed[1]), F.lit(0.0)), 25.0, 4.0)
         steps = compose.followed(steps, known, c(reseed[0]).isNotNull(), before=True)
+        steps = cut_lineage(steps)
     start = compose.reset(F.lit(float(seed[0])), F.lit(float(seed[1])), 25.0, 4.0) if seed else compose.reset(F.lit(first_alt), F.lit(0.0), 10.0, 10.0)
     steps = compose.followed(steps, start, c("_n") == 1, before=True)
     done = compose.running(cut_lineage(steps), BY, "_n", compose.GAUSSIAN, compose.gaussian)

