@@ -1,10 +1,11 @@
 """Licence scan with a positional rare-token index.
 
 Templates are word sequences; the index holds, for every template word, the templates and offsets it stands at. Each
-file looks up only the rarest licence words it holds: for every template its two words of highest inverse document
-frequency that occur in the file (one for the exact phrases, which need all their words). A posting (template, offset)
-of a word at place p proposes the start p - offset; proposals are intersected by relative position: a start's cover is
-the share of the template's words that stand at their offset. A template is accepted at `least` cover if its mandatory
+file looks up the rarest licence words it holds: of every template so many, of highest inverse document frequency first,
+that a place with `least` cover cannot do without all of them (words the file lacks are missed everywhere; the others
+looked up stand at more offsets than may still be missed). A posting (template, offset) of a word at place p proposes
+the start p - offset; proposals are intersected by relative position: a start's cover is the share of the template's
+words that stand at their offset. A template is accepted at `least` cover if its mandatory
 key phrase stands in the file at the same relative place.
 
 Scale: two passes without a shuffle of texts; document frequencies are counted for the template words alone (a fixed
@@ -54,6 +55,16 @@ NOTICES = (
     Template("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
     Template("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
 )
+#: First paragraphs of the licences' own notices, in words.
+PARAGRAPHS = (
+    Template("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at", "apache license"),
+    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "redistribution and use in source and binary forms"),
+    Template("gpl-3.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", "gnu general public license"),
+    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "for any purpose with or without fee"),
+    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions", "permission is hereby granted free of charge"),
+    Template("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at", "mozilla public license"),
+    Template("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", "free and unencumbered software"),
+)
 
 RESULT = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
@@ -95,8 +106,8 @@ class Index:
         places = np.flatnonzero(there)
         return places, at[places]
 
-    def matches(self, words: Words) -> Iterator[tuple[_Entry, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(template, starts, covers, key phrase present, text) for the proposals of the rarest words."""
+    def matches(self, words: Words, least: float) -> Iterator[tuple[_Entry, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(template, starts, covers, key phrase present, text) for every start of `least` cover, and others."""
         places, ids = self.hits(words)
         vocabulary = np.full(len(words.hash) + 1, -1, np.int32)
         vocabulary[places] = ids
@@ -104,27 +115,26 @@ class Index:
         held = np.zeros((words.texts, len(self.hashes)), bool)
         held[text_of[places], ids] = True
         for e in self.entries:
+            n = len(e.ids)
+            size = np.bincount(e.ids, minlength=len(self.hashes))[e.order]
             present = held[:, e.order]
-            enough = present.all(1) if e.base else present.mean(1) >= 0.5
-            if not enough.any():
-                continue
-            looked = present & (present.cumsum(1) <= (1 if e.base else 2)) & enough[:, None]
-            starts = []
+            # offsets that may be missed, less those of words the text has nowhere
+            left = n - (n if e.base else int(np.ceil(least * n - 1e-9))) - (~present * size).sum(1)
+            rarer = np.cumsum(present * size, 1) - present * size
+            looked = present & (rarer <= left[:, None])
+            proposals = []
             for k in np.flatnonzero(looked.any(0)):
                 mine = places[(ids == e.order[k]) & looked[text_of[places], k]]
-                starts += [mine - offset for offset in np.flatnonzero(e.ids == e.order[k])]
-            s = np.unique(np.concatenate(starts)) if starts else np.zeros(0, np.int64)
-            if not len(s):
+                proposals += [np.stack([text_of[mine], mine - offset]) for offset in np.flatnonzero(e.ids == e.order[k])]
+            if not proposals:
                 continue
-            # a start may lie before the text; the text is that of any word proposed inside it
-            owner = np.full(len(s), -1)
-            found = np.zeros((len(s), len(e.ids)), bool)
+            # a start may lie before its text
+            owner, s = np.unique(np.concatenate(proposals, 1), axis=1)
+            found = np.zeros((len(s), n), bool)
             for j, v in enumerate(e.ids):
                 p = s + j
-                ok = (p >= 0) & (p < len(words.hash))
-                hit = ok & (vocabulary[np.where(ok, p, 0)] == v)
-                owner = np.where((owner < 0) & hit, text_of[np.where(hit, p, 0)] if len(text_of) else -1, owner)
-                found[:, j] = hit & (text_of[np.where(hit, p, 0)] == owner)
+                ok = (p >= words.first[owner]) & (p < words.first[owner + 1])
+                found[:, j] = ok & (vocabulary[np.where(ok, p, -1)] == v)
             yield e, s, found.mean(1), found[:, e.key_at : e.key_at + e.key_len].all(1), owner
 
 
@@ -148,12 +158,13 @@ def _frequencies(docs: DataFrame, index: Index, text: str) -> np.ndarray:
     return out
 
 
-def scan(docs: DataFrame, templates: Sequence[Template] = BASE + NOTICES, least: float = 0.75, text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, templates: Sequence[Template] = BASE + NOTICES + PARAGRAPHS, least: float = 0.75, text: str = "text") -> DataFrame:
     """docs (without the text) with the places of base phrases and the labels of all templates.
 
     n_base counts every start of a base phrase, overlapping ones too; first_word and last_word are the smallest and
     largest start; labels and base_labels are distinct, sorted and comma-joined (empty string if none); score is the
-    best cover of an accepted template, 0 if none is. Null and empty texts have no words.
+    best cover of an accepted template, 0 if none is. Null and empty texts have no words. Columns with the names of results
+    are replaced.
     """
     index = Index(templates)
     index.rank(_frequencies(docs, index, text))
@@ -170,7 +181,7 @@ def scan(docs: DataFrame, templates: Sequence[Template] = BASE + NOTICES, least:
             for a, b in slices(offsets):
                 words = Words(data, offsets, a, b, ALPHANUMERIC)
                 n_words[a:b] = words.counts
-                for e, starts, cover, key, owner in index.matches(words):
+                for e, starts, cover, key, owner in index.matches(words, least):
                     good = (cover == 1) if e.base else (cover >= least) & key
                     starts, cover, owner = starts[good], cover[good], owner[good]
                     if e.base:
