@@ -275,9 +275,10 @@ SCORES = "n_tokens long, n_known long, train_tokens long, base_score double, sco
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs (without the text) with token counts, the add-one unigram score and the model's log10 probability.
 
-    Null texts are empty and have the end token alone. Without training texts both scores are 0.
+    Null texts are empty and have the end token alone. Without training texts both scores are 0. Columns with the names of
+    results are replaced.
     """
-    rest = [f for f in docs.schema if f.name != text]
+    rest = [f for f in docs.schema if f.name != text and f.name not in {x.split()[0] for x in SCORES.split(", ")}]
     handle = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,4 +307,4 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in rest), *out], names=[*(f.name for f in rest), *(x.split()[0] for x in SCORES.split(", "))])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest)
-    return docs.mapInArrow(run, f"{ddl}, {SCORES}")
+    return docs.select(*(f"`{f.name}`" for f in rest), f"`{text}`").mapInArrow(run, f"{ddl}, {SCORES}" if rest else SCORES)
