@@ -5,7 +5,8 @@ with w at most `most`. The solution is exponentially tilted, w = min(most, exp(l
 multiplier l for each source. The dual is convex and separates by source: Newton iterations, kept within a bracket, run
 for all sources at once, each one aggregation over the table of distinct (source, size). Rates are rounded into copies
 along the sizes of a source: a document gets floor(R + w) - floor(R) copies, R being the sum of the rates before it, so
-a source's words miss its target by the largest document of the source at most.
+a source's words miss its target by the largest document of the source at most. Sums that decide are of decimals, so
+their order does not matter: reruns agree.
 
 Scale: documents are shuffled once, pre-aggregated to (source, size, slice of a hash); iterations and running sums are
 over those counts, never over documents, and a source or size that holds a third of all rows is split by the slices.
@@ -57,6 +58,11 @@ def _rate(multiplier: Column, most: int) -> Column:
     return F.least(F.lit(float(most)), F.exp(F.least(multiplier * F.col("size") / F.col("mean"), F.lit(50.0))))
 
 
+def _exact(amount: Column) -> Column:
+    """A sum that is the same in every order of its rows."""
+    return F.sum(amount.cast("decimal(28,6)")).cast("double")
+
+
 def multipliers(histogram: DataFrame, goals: DataFrame, most: int = 3, rounds: int = 40, close: float = 1e-9) -> DataFrame:
     """(source, mean, multiplier): Newton's method on the dual, one aggregation of the histogram (source, size, n) a round.
 
@@ -75,7 +81,7 @@ def multipliers(histogram: DataFrame, goals: DataFrame, most: int = 3, rounds: i
         w = _rate(F.col("multiplier"), most)
         mass = F.col("n") * F.col("size")
         sums = h.join(F.broadcast(state), F.col("s").eqNullSafe(F.col("source"))).groupBy("s").agg(
-            F.sum(mass * w).alias("got"), F.sum(F.when(w < most, mass * w * F.col("size") / F.col("mean")).otherwise(0.0)).alias("slope")
+            _exact(mass * w).alias("got"), _exact(F.when(w < most, mass * w * F.col("size") / F.col("mean")).otherwise(0.0)).alias("slope")
         )
         gap = F.col("got") - F.col("target")
         step = F.col("multiplier") - gap / F.col("slope")
@@ -114,10 +120,10 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int = 3, te
     # a source at its limit has the same rate everywhere, and so has one whose limit no finite multiplier reaches
     plan = goals.join(found, F.col("source").eqNullSafe(F.col("s")), "left").drop("s").withColumnRenamed("source", "g")
     full = F.col("target") >= F.col("source_size") * most
-    rate = F.when(F.col("size") == 0, 0.0).when(full, float(most)).otherwise(_rate(F.col("multiplier"), most))
+    rate = F.when(F.col("size") == 0, 0.0).when(full, float(most)).otherwise(_rate(F.col("multiplier"), most)).cast("decimal(14,12)")
     by_size = histogram.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("g"))).drop("g").withColumn("rate", rate)
     running = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
-    by_size = by_size.withColumn("base", F.coalesce(F.sum(F.col("n") * F.col("rate")).over(running), F.lit(0.0)))
+    by_size = by_size.withColumn("base", F.coalesce(F.sum(F.col("n").cast("decimal(15,0)") * F.col("rate")).over(running), F.lit(0)).cast("decimal(30,12)"))
     earlier = Window.partitionBy("source", "size").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     ranks = counts.withColumn("rank0", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
     where = ranks.join(by_size.drop("n").select(F.col("source").alias("g"), F.col("size").alias("z"), "source_size", "target", "rate", "base"), F.col("source").eqNullSafe(F.col("g")) & (F.col("size") == F.col("z"))).drop("g", "z")
@@ -127,7 +133,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int = 3, te
     placed = stored(placed.withColumn("place", F.col("rank0") + F.col("own")).drop("g", "z", "sl", "own", "rank0", "__hash", "__slice"), "mixing-places")
 
     def copies(start: Column) -> Column:
-        total = lambda k: F.floor(F.col("base") + k * F.col("rate") + start + 1e-9)
+        total = lambda k: F.floor(F.col("base") + k.cast("decimal(15,0)") * F.col("rate") + start.cast("decimal(6,5)")).cast("long")
         return F.least(F.lit(most).cast("long"), total(F.col("place") + 1) - total(F.col("place")))
 
     # where the rounding starts is free: of 16 starts each source takes the one nearest to its target
@@ -136,5 +142,5 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int = 3, te
     nearest = F.array_min(F.array(*(F.struct(F.abs(F.col(f"w{k}") - F.col("target")).alias("miss"), F.lit(u).alias("start")) for k, u in enumerate(starts))))
     starts_by_source = stored(got.select(F.col("source").alias("g"), nearest["start"].alias("start")), "mixing-starts")
     return placed.join(F.broadcast(starts_by_source), F.col("source").eqNullSafe(F.col("g"))).withColumn("copies", copies(F.col("start"))).select(
-        "doc_id", "source", *(F.col(o).alias(c) for c, o in others.items()), "size", "source_size", "target", "rate", "copies"
+        "doc_id", "source", *(F.col(o).alias(c) for c, o in others.items()), "size", "source_size", "target", F.col("rate").cast("double").alias("rate"), "copies"
     )
