@@ -171,20 +171,27 @@ class Network:
 
 
 def sample(docs: DataFrame, labels: DataFrame, learn: Column, sample_rows: int, sample_bytes: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Texts, labels and weights of a bounded sample: of each label the `sample_rows` rows of smallest hash whose texts
-    have at most `sample_bytes`. Weights restore the labels' shares. A doc_id labelled twice counts as good if any is."""
+    """Texts, labels and weights of a bounded sample: of each label the `sample_rows` texts of smallest hash, whatever
+    their length; of a longer one the `sample_bytes` bytes at a place that its hash gives. Weights restore the labels'
+    shares. A doc_id labelled twice counts as good if any is; its texts are taken once each; null texts are not taken."""
     known = labels.where(F.col("quality").isin(0, 1) & learn).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     shares = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
+    texts = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("hash"))
+    every = texts.join(known, "doc_id").groupBy("doc_id", "hash").agg(F.max("quality").alias("quality"))
     chosen = None
     for q in (0, 1):
-        part = known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+        part = every.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id", "hash").limit(sample_rows)
         chosen = part if chosen is None else chosen.union(part)
-    # 2 * sample_rows rows of two numbers
-    rows = docs.where(F.octet_length("text") <= sample_bytes).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").toPandas().sort_values(["doc_id", "text"])
+    raw, size = F.encode("text", "UTF-8"), F.octet_length("text")
+    place = F.pmod("hash", F.greatest(size - sample_bytes + 1, F.lit(1))).cast("int") + 1
+    # 2 * sample_rows rows of three numbers
+    same = docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).join(F.broadcast(chosen), ["doc_id", "hash"])
+    rows = same.select("doc_id", "hash", "quality", F.substring(raw, place, F.lit(sample_bytes)).alias("part")).dropDuplicates(["doc_id", "hash"]).toPandas()
+    rows = rows.sort_values(["doc_id", "hash"])
     y = rows["quality"].to_numpy(np.float32)
     have = {q: max(int((y == q).sum()), 1) for q in (0, 1)}
     weight = np.where(y == 1, shares.get(1, 0) / have[1], shares.get(0, 0) / have[0]).astype(np.float32)
-    return [t.encode() for t in rows["text"]], y, weight / max(weight.mean(), 1e-9) if len(weight) else weight
+    return [bytes(t) for t in rows["part"]], y, weight / max(weight.mean(), 1e-9) if len(weight) else weight
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, shape: Shape = Shape(), sample_rows: int = 1200, sample_bytes: int = 12_000) -> Network:
