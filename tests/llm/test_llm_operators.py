@@ -147,6 +147,9 @@ def test_perplexity_equals_the_plain_model(spark, docs, odd, empty):
         got = perplexity.score(table.select("doc_id", "text"), perplexity.train(table.where(~held_out))).collect()
         want = sorted((len(t), sum(c[w] > 0 for w in t), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t), 6), round(s, 6)) for t, s in zip(toks, scores))
         assert sorted((r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got) == want
+    model = perplexity.train(odd)
+    assert collections.Counter(r.score for r in perplexity.score(odd, model).collect()) == collections.Counter(r.score for r in perplexity.score(odd.select("doc_id", "text"), model).collect())
+    assert "rank" in perplexity.score(odd, model).columns and perplexity.score(odd.select("text", "score"), model).columns[0] == "n_tokens"
     none = perplexity.train(empty)
     assert {(r.n_known, r.base_score, r.score) for r in perplexity.score(odd.select("doc_id", "text"), none).collect()} == {(0, 0.0, 0.0)}
     assert perplexity.score(empty.select("doc_id", "text"), none).count() == 0
@@ -179,6 +182,36 @@ def test_licence_phrases_at_all_places(spark, docs, odd, empty):
     assert licenses.scan(empty.select("doc_id", "text")).count() == 0
 
 
+def test_licence_labels_of_edited_notices_by_brute_force(spark):
+    templates = licenses.BASE + licenses.NOTICES + licenses.PARAGRAPHS
+    rng, every = np.random.default_rng(5), [t.text.split() for t in templates]
+    spare = sorted({w for t in every for w in t}) + ["other", "words"]
+    texts = ["no modification is permitted here"] * 40 + ["redistribution and use in source and binary forms with or without changes are allowed. no modification is permitted here"]
+    for words in every:
+        for share in (0, 0.1, 0.2, 0.25, 0.3):
+            for _ in range(4):
+                hit = rng.random(len(words)) < share
+                edited = [spare[rng.integers(len(spare))] if h else w for w, h in zip(words, hit)]
+                around = [[spare[k] for k in rng.integers(0, len(spare), n)] for n in rng.integers(0, 6, 2)]
+                texts.append(" ".join([*around[0], *edited[int(rng.integers(0, 2)) :], *around[1]]))
+    wanted = []
+    for text in texts:
+        w = re.findall("[0-9a-z]+", text)
+        labels, best = set(), 0.0
+        for t, words in zip(templates, every):
+            key = t.key.split() or words
+            k = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
+            for at in range(-len(words), len(w)):
+                there = [0 <= at + j < len(w) and w[at + j] == x for j, x in enumerate(words)]
+                if sum(there) / len(words) >= (1 if t.base else 0.75) and all(there[k : k + len(key)]):
+                    labels, best = labels | {t.label}, max(best, sum(there) / len(words))
+        wanted.append((",".join(sorted(labels)), round(best, 9)))
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.labels, round(r.score, 9)) for r in licenses.scan(table).collect()}
+    assert [got[i] for i in range(len(texts))] == wanted and got[40][0] == "bsd"
+    assert 0.2 < np.mean([x != "" for x, _ in wanted]) < 0.8  # the texts try both outcomes
+
+
 # 4
 
 
@@ -354,6 +387,19 @@ def test_gradient_and_held_out_quality(spark, odd, empty):
     assert quality.train(empty, labels, F.lit(True)).prior == 0.5
 
 
+def test_quality_sample_takes_long_texts_and_bounds_repeats(spark):
+    long = [(i, prose(i, 400), "en", "a", 1) for i in range(30)] + [(30, "short", "en", "a", 1)] * 50 + [(31, None, "en", "a", 1)]
+    docs = spark.createDataFrame(long, SCHEMA).repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(32)], "doc_id long, quality int")
+    texts, y, weight = quality.sample(docs, labels, F.lit(True), 20, 500)
+    assert len(texts) == 31 and all(len(t) in (500, 5) for t in texts) and texts.count(b"short") == 1
+    plain = {i: t.encode() for i, t, *_ in long if t}
+    assert all(any(t in p for p in plain.values()) for t in texts) and sum(t == plain[i][:500] for i, t in enumerate(texts)) < 5
+    few = quality.sample(docs, labels, F.lit(True), 7, 500)
+    assert len(few[0]) == 14 and few[1].sum() == 7
+    assert sorted(few[0]) == sorted(quality.sample(docs.repartition(5), labels, F.lit(True), 7, 500)[0])
+
+
 def test_quality_score_is_the_same_alone_and_in_any_batch():
     net = quality.Network(quality.Shape(), 3)
     texts = [b"", b"short", b"", b"seven b", prose(1, 400).encode(), b"\xff" * 256, b"short", b"x" * 257, b"\xf0" * 40]
