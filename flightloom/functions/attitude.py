@@ -178,11 +178,12 @@ def _inverse(m: Column) -> Column:
 
 
 def _through_camera(rotation: Column, focal: Column, cx: Column, cy: Column) -> Column:
-    """K R K^-1 scaled so its last entry is 1, K being focal, centre x, centre y."""
+    """K R K^-1 scaled so its last entry is 1, K being focal, centre x, centre y; nulls where there is no such matrix."""
     zero, one = F.lit(0.0), F.lit(1.0)
+    focal = F.nullif(focal, zero)
     k = F.array(focal, zero, cx, zero, focal, cy, zero, zero, one)
     k_inv = F.array(one / focal, zero, -cx / focal, zero, one / focal, -cy / focal, zero, zero, one)
-    return let(mat3_mul(mat3_mul(k, rotation), k_inv), lambda h: F.transform(h, lambda v: v / h[8]))
+    return let(mat3_mul(mat3_mul(k, rotation), k_inv), lambda h: F.transform(h, lambda v: v / F.nullif(h[8], F.lit(0.0))))
 
 
 def normalization_homography(

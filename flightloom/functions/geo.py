@@ -125,8 +125,9 @@ def bearing_and_distance(east: Column, north: Column, target_east: Column, targe
     return F.struct(F.atan2(de, dn).alias("bearing"), F.hypot(dn, de).alias("distance"))
 
 
-def grid_cell(east: Column, north: Column, grid: float) -> Column:
+def grid_cell(east: Column, north: Column, grid: Column | float) -> Column:
+    size = F.nullif(F.lit(grid).cast("double"), F.lit(0.0))
     return F.struct(
-        F.floor(east / F.lit(float(grid))).cast("bigint").alias("cx"),
-        F.floor(north / F.lit(float(grid))).cast("bigint").alias("cy"),
+        F.floor(east / size).cast("bigint").alias("cx"),
+        F.floor(north / size).cast("bigint").alias("cy"),
     )

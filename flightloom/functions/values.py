@@ -116,7 +116,7 @@ def epoch_seconds(ts: Column) -> Column:
 
 
 def to_timestamp(seconds: Column) -> Column:
-    return F.timestamp_micros(F.round(seconds * 1e6).cast("bigint"))
+    return F.timestamp_micros(F.round(seconds * 1e6).try_cast("bigint"))
 
 
 def age_ms(now_ns: Column, then_ns: Column) -> Column:
