@@ -92,7 +92,7 @@ def track_stats(tracks: DataFrame, by: list[str]) -> DataFrame:
         F.count_if(F.col("verdict") == "CONFLICT").alias("rejected_conflicts"),
         F.count_if(F.col("verdict") == "SHORT").alias("rejected_short"),
     )
-    middle = exact_quantiles(kept.withColumn("length", F.col("length").cast("double")), by, "length", {"median_length": 0.5}, 64.0)
+    middle = exact_quantiles(kept.withColumn("length", F.col("length").cast("double")), by, "length", {"median_length": 0.5})
     return counts.join(middle.drop("n"), by, "left").fillna(0.0, ["mean_length", "median_length"]).fillna(0, ["max_length"])
 
 

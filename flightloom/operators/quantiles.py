@@ -2,46 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flightloom.operators.timeline import RunningSum, Whole, scan
+from flightloom.session import cut_lineage
 
 
-def _counted(df: DataFrame, by: list[str], value: str, width: float) -> DataFrame:
+def _counted(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Distinct values with the rank of their first and last occurrence (0-based) and the group size.
 
-    Equal values are merged before the shuffle; ranks are running sums over slices of the value.
+    Equal values are merged before the shuffle. The distinct values are then dealt by ranges of (group, value) and written
+    with the number of their range; ranks run inside a range and go on from the counts of the group's ranges before it, of
+    which there are at most as many as partitions. A group of any size and any spread of values is so split evenly.
     """
-    keys = by or ["_all"]
-    source = df if by else df.withColumn("_all", F.lit(0))
-    counts = source.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = scan(counts, keys, ["_v"], [RunningSum("_upto", F.col("_n")), Whole("_size", F.col("_n"))], width)
-    return ranked.select(
-        *keys, "_v", (F.col("_upto") - F.col("_n")).alias("_from"), (F.col("_upto") - 1).alias("_to"), "_size"
+    counts = df.groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    ranged = cut_lineage(counts.repartitionByRange(*by, "_v").withColumn("_range", F.spark_partition_id()))
+    group = F.struct(*by, F.lit(0)) if by else F.lit(0)
+    keyed = ranged.withColumn("_group", group)
+    along = Window.partitionBy("_group").orderBy("_range")
+    parts = keyed.groupBy("_group", "_range").agg(F.sum("_n").alias("_of_range")).select(
+        F.col("_group").alias("_g"), F.col("_range").alias("_r"),
+        F.coalesce(F.sum("_of_range").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        F.sum("_of_range").over(Window.partitionBy("_group")).alias("_size"),
+    )
+    inside = Window.partitionBy("_group", "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = keyed.join(parts, (F.col("_group") == F.col("_g")) & (F.col("_range") == F.col("_r")))
+    upto = F.col("_before") + F.sum("_n").over(inside)
+    return placed.withColumn("_upto", upto).select(
+        *by, "_v", (F.col("_upto") - F.col("_n")).alias("_from"), (F.col("_upto") - 1).alias("_to"), "_size"
     )
 
 
-def _largest_group(df: DataFrame, by: list[str]) -> int:
-    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    return counts.agg(F.max("n").alias("n")).first()["n"] or 0
-
-
-def exact_quantiles(
-    df: DataFrame, by: list[str], value: str, shares: dict[str, float], width: float, in_memory: int = 200_000
-) -> DataFrame:
-    """Linear-interpolated quantiles, one column per name in ``shares``; null values must be filtered out.
-
-    When the largest group is known to be small (one count first), the built-in percentile holds it
-    in memory; otherwise ranks are counted over slices of the value, of ``width`` each.
-    """
-    keys = by or ["_all"]
-    if by and _largest_group(df, by) <= in_memory:
-        names = list(shares)
-        found = F.percentile(F.col(value), F.array(*[F.lit(shares[x]) for x in names]))
-        out = df.groupBy(*by).agg(F.count(value).alias("n"), found.alias("_q"))
-        return out.select(*by, "n", *[F.col("_q")[i].alias(x) for i, x in enumerate(names)])
-    ranked = _counted(df, by, value, width)
+def exact_quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Linear-interpolated quantiles, one column per name in ``shares``, and ``n``, the size; null values must be
+    filtered out. Groups with null keys are groups; without ``by`` all rows are one. One arithmetic for every size."""
     columns = []
     for name, share in shares.items():
         at = (F.col("_size") - 1) * share
@@ -51,22 +45,23 @@ def exact_quantiles(
             F.max(F.when(high.between(F.col("_from"), F.col("_to")), F.col("_v"))).alias(f"_hi_{name}"),
             F.max(at - low).alias(f"_w_{name}"),
         ]
-    out = ranked.groupBy(*keys).agg(F.max("_size").alias("n"), *columns)
-    return out.select(
+    out = _counted(df, by, value).groupBy(*by).agg(F.max("_size").alias("n"), *columns)
+    # no rows, no group: also where there is nothing to group by
+    return out.filter(F.col("n").isNotNull()).select(
         *by, "n",
         *[
-            (F.col(f"_lo_{x}") + (F.col(f"_hi_{x}") - F.col(f"_lo_{x}")) * F.col(f"_w_{x}")).alias(x)
+            F.when(F.col(f"_lo_{x}") == F.col(f"_hi_{x}"), F.col(f"_lo_{x}"))
+            .otherwise(F.col(f"_lo_{x}") + (F.col(f"_hi_{x}") - F.col(f"_lo_{x}")) * F.col(f"_w_{x}")).alias(x)
             for x in shares
         ],
     )
 
 
-def values_at(df: DataFrame, by: list[str], value: str, shares: dict[str, float], width: float) -> DataFrame:
+def values_at(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """Value at sorted index floor(n * share), at most the last one."""
-    keys = by or ["_all"]
-    ranked = _counted(df, by, value, width)
     columns = []
     for name, share in shares.items():
         at = F.least(F.floor(F.col("_size") * share), F.col("_size") - 1)
         columns.append(F.max(F.when(at.between(F.col("_from"), F.col("_to")), F.col("_v"))).alias(name))
-    return ranked.groupBy(*keys).agg(F.max("_size").alias("n"), *columns).select(*by, "n", *shares)
+    out = _counted(df, by, value).groupBy(*by).agg(F.max("_size").alias("n"), *columns)
+    return out.filter(F.col("n").isNotNull()).select(*by, "n", *shares)

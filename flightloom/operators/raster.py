@@ -15,10 +15,10 @@ def finite_points(points: DataFrame) -> DataFrame:
     return points.filter(is_finite(F.col("x")) & is_finite(F.col("y")) & is_finite(F.col("z")))
 
 
-def trim_heights(points: DataFrame, low: float = 0.01, high: float = 0.99, slice_z: float = 0.01) -> DataFrame:
+def trim_heights(points: DataFrame, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Points between two exact height percentiles of the whole cloud (a scalar subquery, no join)."""
     fine = finite_points(points)
-    limits = exact_quantiles(fine, [], "z", {"low": low, "high": high}, slice_z).select(
+    limits = exact_quantiles(fine, [], "z", {"low": low, "high": high}).select(
         F.struct("low", "high").alias("range")
     )
     span = limits.scalar()
@@ -41,7 +41,6 @@ def grid_shape(points: DataFrame, resolution: float) -> DataFrame:
 
 def dsm(
     points: DataFrame, resolution: float = 0.25, share: float = 0.9, min_points: int = 100,
-    slice_z: float = 0.25,
 ) -> DataFrame:
     """Surface height per cell (row, col, z): exact 90th percentile of the trimmed points in it.
 
@@ -61,7 +60,7 @@ def dsm(
     placed = on_grid.select(
         cell(c("g.y1") - c("y"), c("g.height")).alias("row"), cell(c("x") - c("g.x0"), c("g.width")).alias("col"), "z"
     )
-    return exact_quantiles(placed, ["row", "col"], "z", {"height": share}, slice_z).select(
+    return exact_quantiles(placed, ["row", "col"], "z", {"height": share}).select(
         "row", "col", c("n").alias("points"), c("height").alias("z")
     )
 

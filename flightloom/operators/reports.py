@@ -183,7 +183,7 @@ def blocked_transitions(events: DataFrame) -> DataFrame:
     )
 
 
-def reprojection_stats(points: DataFrame, by: list[str], width: float = 0.5) -> DataFrame:
+def reprojection_stats(points: DataFrame, by: list[str]) -> DataFrame:
     """Mean and median error. The mean is an exact sum divided once, so no order of rows changes its last digits; a group
     with an error that is no finite number has the plain average."""
     from flightloom.operators.quantiles import exact_quantiles
@@ -191,7 +191,7 @@ def reprojection_stats(points: DataFrame, by: list[str], width: float = 0.5) ->
     exact = F.col("error_px").try_cast("decimal(38,15)")
     whole = F.count("error_px") == F.count(exact)
     mean = points.groupBy(*by).agg(F.when(whole, F.sum(exact).cast("double") / F.count(exact)).otherwise(F.avg("error_px")).alias("mean_px"))
-    return mean.join(exact_quantiles(points, by, "error_px", {"median_px": 0.5}, width), by)
+    return mean.join(exact_quantiles(points, by, "error_px", {"median_px": 0.5}), by)
 
 
 def feature_stats(df: DataFrame, by: list[str]) -> DataFrame:
@@ -242,13 +242,13 @@ def nav_error_stats(df: DataFrame) -> DataFrame:
     )
 
 
-def latency_profile(df: DataFrame, by: list[str], column: str, width: float = 1.0) -> DataFrame:
+def latency_profile(df: DataFrame, by: list[str], column: str) -> DataFrame:
     """Mean, 95th and 99th percentile by sorted index, and maximum."""
     from flightloom.operators.quantiles import values_at
 
     fine = df.filter(F.col(column).isNotNull())
     plain = fine.groupBy(*by).agg(F.avg(column).alias("mean"), F.max(column).alias("max"))
-    return plain.join(values_at(fine, by, column, {"p95": 0.95, "p99": 0.99}, width), by)
+    return plain.join(values_at(fine, by, column, {"p95": 0.95, "p99": 0.99}), by)
 
 
 def emi_stats(samples: DataFrame, last_n: int, limit: float, width: float = 3600.0) -> DataFrame:

@@ -410,3 +410,35 @@ def sql_functions(d):
         from {caps}""",
         caps=d.fx_capture,
     )
+
+
+def _corner(i, east, north):
+    e, n = f"({east} * w / 2)", f"({north} * h / 2)"
+    return f"{e} * cos(radians(yaw)) + {n} * sin(radians(yaw)) as e{i}, {n} * cos(radians(yaw)) - {e} * sin(radians(yaw)) as n{i}"
+
+
+def _crossed(i, j):
+    return f"(case when (n{i} > y) <> (n{j} > y) and x < (e{j} - e{i}) * (y - n{i}) / nullif(n{j} - n{i}, 0) + e{i} then 1 else 0 end)"
+
+
+@query(
+    "points_in_footprints",
+    ["fx_capture"],
+    f"""with s as (select mission_id, seq, yaw, roll * 4 as x, pitch * 4 as y, 2 * greatest(gps_altitude, 2) * tan(radians(62.2) / 2) as w,
+      2 * greatest(gps_altitude, 2) * tan(radians(48.8) / 2) as h from fx_capture),
+    q as (select *, {_corner(1, -1, 1)}, {_corner(2, 1, 1)}, {_corner(3, 1, -1)}, {_corner(4, -1, -1)} from s)
+    select mission_id, seq, ({_crossed(1, 4)} + {_crossed(2, 1)} + {_crossed(3, 2)} + {_crossed(4, 3)}) % 2 = 1 as seen,
+      {r('greatest(e1, e2, e3, e4) - least(e1, e2, e3, e4)')} as wide, {r('w * h')} as area from q""",
+)
+def points_in_footprints(d):
+    """Whether a ground point beside the camera lies in the image's footprint, by SQL functions alone."""
+    from flightloom.functions.sql import register_sql_functions
+
+    register_sql_functions(d.spark)
+    return d.spark.sql(
+        """with s as (select mission_id, seq, roll * 4D as x, pitch * 4D as y, footprint_size(gps_altitude) as size, yaw from {caps}),
+          q as (select *, corners_local(0D, 0D, size, yaw) as corners from s)
+        select mission_id, seq, point_in_quad(x, y, corners) as seen,
+          round(polygon_bounds(corners).max_e - polygon_bounds(corners).min_e, 6) as wide, round(area_m2(size), 6) as area from q""",
+        caps=d.fx_capture,
+    )

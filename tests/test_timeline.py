@@ -89,14 +89,24 @@ def test_quantiles_are_exact_with_any_slicing(spark):
 
     values = [float((i * 7919) % 1013) / 7 for i in range(900)] + [3.0] * 300
     df = spark.createDataFrame([(v,) for v in values], "z double")
-    for width in (0.5, 1000.0):
-        want = np.percentile(values, [1, 50, 99])
-        keyed = df.withColumn("k", F.lit(1))
-        for by, memory in (([], 0), (["k"], 0), (["k"], 10_000)):  # counted, counted per key, held in memory
-            row = exact_quantiles(keyed, by, "z", {"a": 0.01, "b": 0.5, "c": 0.99}, width, memory).first()
-            assert abs(row.a - want[0]) < 1e-9 and abs(row.b - want[1]) < 1e-9 and abs(row.c - want[2]) < 1e-9
-        at = values_at(df, [], "z", {"p": 0.95}, width).first()
-        assert at.p == sorted(values)[int(len(values) * 0.95)]
+    want = np.percentile(values, [1, 50, 99])
+    # one group over many ranges of values, beside groups of one row and one without a key
+    keyed = df.withColumn("k", F.lit("a")).union(spark.createDataFrame([(5.0, "b"), (float("inf"), "c"), (1.0, None), (2.0, None)], "z double, k string"))
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        for adaptive, parts in (("true", 4), ("false", 7), ("false", 1)):
+            spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            for rows in (exact_quantiles(keyed, ["k"], "z", {"a": 0.01, "b": 0.5, "c": 0.99}).collect(), exact_quantiles(df, [], "z", {"a": 0.01, "b": 0.5, "c": 0.99}).withColumn("k", F.lit("a")).collect()):
+                got = {r.k: r for r in rows}
+                assert got["a"].n == len(values) and all(abs(x - y) < 1e-9 for x, y in zip((got["a"].a, got["a"].b, got["a"].c), want))
+            got = {r.k: (r.n, r.b) for r in exact_quantiles(keyed, ["k"], "z", {"b": 0.5}).collect()}
+            assert got["b"] == (1, 5.0) and got[None] == (2, 1.5) and got["c"][0] == 1
+            assert values_at(df, [], "z", {"p": 0.95}).first().p == sorted(values)[int(len(values) * 0.95)]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert exact_quantiles(df.limit(0), [], "z", {"b": 0.5}).count() == 0
 
 
 def test_null_keys_and_odd_clocks_keep_their_rows(spark):
