@@ -22,6 +22,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from flightloom.llm.text import joined, slices
 
 
+#: Bytes of texts scored at once: the answers of all filters take 64 times as much.
+SCORED_BYTES = 1 << 17
+
+
 @dataclass(frozen=True)
 class Shape:
     width: int = 8
@@ -214,7 +218,7 @@ def score(docs: DataFrame, net: Network, text: str = "text", keep_text: bool = F
         tables = model.value.tables()
         for batch in batches:
             data, offsets = joined(batch.column(text))
-            parts = [model.value.score(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], tables) for a, b in slices(offsets, 1 << 19)]
+            parts = [model.value.score(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], tables) for a, b in slices(offsets, SCORED_BYTES)]
             out = np.concatenate(parts) if parts else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in rest), pa.array(out, pa.float64())], names=[*(f.name for f in rest), "score"])
 
