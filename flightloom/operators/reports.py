@@ -108,13 +108,16 @@ def reconstruction_report(
 
 
 def worker_health(timeline: DataFrame) -> DataFrame:
-    """Counters per worker from the worker timeline (see windows.worker_timeline)."""
-    at, failed = F.struct("t", "seq"), ~F.col("ok")
+    """Counters per worker from the worker timeline (see windows.worker_timeline, or windows.worker_states for all states)."""
+    failed = F.coalesce(~F.col("ok"), F.lit(False))
+    stated = "status" in timeline.columns
+    at = F.struct("t", "seq", "silent") if stated else F.struct("t", "seq")
+    status = F.col("status") if stated else F.when(F.col("ok"), "HEALTHY").otherwise("FAILED")
     return timeline.groupBy("mission_id", "worker").agg(
         F.count_if("ok").alias("iterations"), F.count_if(failed).alias("errors"),
         F.coalesce(F.max_by(F.when(failed, F.col("error")), F.when(failed, at)), F.lit("")).alias("last_error"),
         F.max_by("error_streak", at).alias("consecutive_errors"), F.count_if("recovered").alias("recoveries"),
-        F.max_by(F.when(F.col("ok"), "HEALTHY").otherwise("FAILED"), at).alias("last_status"),
+        F.max_by(status, at).alias("last_status"),
         F.max(F.when(F.col("ok"), F.col("t"))).alias("last_update"),
     )
 

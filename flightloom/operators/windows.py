@@ -146,6 +146,82 @@ def worker_timeline(samples: DataFrame, width: float = SLICE_S) -> DataFrame:
     return out.withColumn("errors_so_far", F.col("errors_so_far").cast("bigint")).withColumn("recovered", recovered).drop("_prev_ok")
 
 
+def worker_states(
+    samples: DataFrame, timeout: Column | float | None = None, until: Column | None = None, width: float = SLICE_S
+) -> DataFrame:
+    """What worker_timeline gives, for workers of more than two states, with a row wherever one falls silent.
+
+    ``samples``: mission_id, worker, t, seq, ok (null: neither a success nor an error, as when a worker is disabled), error
+    and, if there, ``status``, what the worker reported (null: HEALTHY on a success, FAILED on an error, no change otherwise).
+    A HEALTHY or DEGRADED worker whose last success is more than ``timeout`` seconds ago gets a row of status STALE at the
+    moment this happens, ``silent`` true and ``ok`` null; ``until`` is the time up to which the last row is held. Without a
+    timeout only reported states count. A success is a recovery if the state before was FAILED, STALE or DEGRADED and any
+    error came earlier. Rows without a clock come first and are never silent. Other columns are kept, null on silent rows
+    but for mission_id, worker and seq (that of the row before the silence).
+    """
+    by = ["mission_id", "worker"]
+    failed = F.coalesce(~F.col("ok"), F.lit(False))
+    reported = F.col("status") if "status" in samples.columns else F.lit(None).cast("string")
+    known = F.coalesce(reported, F.when(F.col("ok"), "HEALTHY").when(failed, "FAILED"))
+    rows = samples.withColumn("status", known).withColumn("silent", F.lit(False))
+    if timeout is not None:
+        limit = timeout if isinstance(timeout, Column) else F.lit(float(timeout))
+        rows = scan(
+            rows.withColumn("_limit", limit), by, ORDER,
+            [
+                LastWhere("_state", F.col("status"), F.col("status").isNotNull()), LastWhere("_update", F.col("t"), F.col("ok")),
+                Following("_next", F.col("t")),
+            ],
+            width,
+        )
+        over = F.coalesce(F.col("_next"), until) if until is not None else F.col("_next")
+        due = F.greatest(F.col("_update") + F.col("_limit"), F.col("t"))
+        # a row that reports nothing in a silence is behind the row where the silence began
+        begins = F.col("status").isNotNull() | (F.col("t") - F.col("_update") <= F.col("_limit"))
+        falls = F.col("_state").isin("HEALTHY", "DEGRADED") & (over - F.col("_update") > F.col("_limit")) & begins
+        given = {"mission_id", "worker", "seq", "t", "status", "silent"}
+        kinds = dict(rows.select(*samples.columns).dtypes)
+        blank = [F.lit(None).cast(kinds[n]).alias(n) for n in samples.columns if n not in given]
+        own = F.struct("t", F.col("status"), F.col("silent"), *[n for n in samples.columns if n not in given])
+        event = F.struct(due.alias("t"), F.lit("STALE").alias("status"), F.lit(True).alias("silent"), *blank)
+        both = F.filter(F.array(own, F.when(falls, event)), lambda x: x.isNotNull())
+        rows = rows.select("mission_id", "worker", "seq", F.explode(both).alias("_e")).select("mission_id", "worker", "seq", "_e.*")
+    steps = [
+        LastWhere("_before", F.col("status"), F.col("status").isNotNull(), inclusive=False),
+        LastWhere("_state", F.col("status"), F.col("status").isNotNull()),
+        RunningSum("errors_so_far", F.when(failed, 1).otherwise(0)),
+    ]
+    seen = scan(rows, by, [*ORDER, "silent"], steps, width)
+    seen = scan(seen, by, [*ORDER, "silent"], [LastWhere("_cleared", F.col("errors_so_far"), F.col("ok"))], width)
+    errors = F.col("errors_so_far").cast("bigint")
+    back = F.col("_before").isin("FAILED", "STALE", "DEGRADED") & (errors > 0)
+    return seen.select(
+        *[n for n in samples.columns if n != "status"], F.col("_state").alias("status"), "silent",
+        F.col("_before").alias("previous_status"), errors.alias("errors_so_far"),
+        (errors - F.coalesce(F.col("_cleared").cast("bigint"), F.lit(0))).alias("error_streak"),
+        F.coalesce(F.col("ok") & back, F.lit(False)).alias("recovered"),
+    )
+
+
+def state_spans(states: DataFrame, until: Column | None = None, width: float = SLICE_S) -> DataFrame:
+    """One row per unbroken state of a worker, from worker_states: status, from_s, to_s, rows.
+
+    ``to_s`` is the start of the next state; the last one ends at ``until`` (null if not given).
+    """
+    by, order = ["mission_id", "worker"], [*ORDER, "silent"]
+    begun = scan(states, by, order, [Previous("_was", F.col("status")), RowNumber("_k")], width)
+    starts = (F.col("_k") == 1) | ~F.col("status").eqNullSafe(F.col("_was"))
+    spans = scan(begun.withColumn("_start", starts), by, order, [RunningSum("_span", F.col("_start").cast("int"))], width)
+    # a span may run over many slices: rows are counted, no row is held
+    out = spans.groupBy(*by, "_span").agg(
+        F.max_by("status", F.col("_start")).alias("status"), F.min("t").alias("from_s"),
+        F.count_if(~F.col("silent")).alias("rows"),
+    )
+    along = scan(out, by, ["from_s", "_span"], [Following("_to", F.col("from_s"))], width)
+    end = F.coalesce(F.col("_to"), until) if until is not None else F.col("_to")
+    return along.select(*by, "status", "from_s", end.alias("to_s"), "rows")
+
+
 def recoveries(samples: DataFrame, width: float = SLICE_S) -> DataFrame:
     return worker_timeline(samples, width).filter("recovered")
 

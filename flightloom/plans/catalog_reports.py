@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from flightloom.operators import ordering, reports
 from flightloom.operators import windows as w
 from flightloom.plans import catalog_pairs as cp
+from flightloom.plans.catalog_windows import REPORTED, reported_states
 from flightloom.plans.registry import query
 from flightloom.plans.sqltext import r
 
@@ -135,6 +136,41 @@ def verification_summary(d):
     return reports.verification(judged, enabled, reports.blocked_transitions(blocked))
 
 
+STATE_HEALTH = f"""{REPORTED}, wh as (select mission_id, worker, count(*) filter (where ok) as iterations, count(*) filter (where not ok) as errors,
+      coalesce(last(error order by t, seq) filter (where not ok), '') as last_error, last(streak order by t, seq, silent) as consecutive_errors,
+      count(*) filter (where recovered) as recoveries, last(st order by t, seq, silent) as last_status, max(case when ok then t end) as last_update
+      from states group by 1, 2)"""
+
+
+@query("worker_state_health", ["fx_worker"], f"with {STATE_HEALTH} select * from wh")
+def worker_state_health(d):
+    return reports.worker_health(reported_states(d))
+
+
+@query(
+    "overall_verdicts", ["fx_worker"],
+    f"""with {STATE_HEALTH}, cats(ord, category, worker) as (values (0, 'Sensors', 'GPS'), (1, 'Sensors', 'IMU'), (2, 'Sensors', 'Barometer'), (3, 'Payload', 'Camera'), (4, 'Payload', 'Gimbal'), (5, 'Payload', 'ImageQuality'), (6, 'Payload', 'Storage'),
+        (7, 'Logging', 'DataLogger'), (8, 'Power', 'Power'), (9, 'Navigation', 'Navigation'), (10, 'Telemetry', 'Telemetry'), (11, 'System', 'System')),
+    h as (select mission_id, case worker {' '.join(f"when '{k}' then '{v}'" for k, v in _NAMES.items())} else worker end as worker, last_status as status, last_error as reason from wh),
+    x as (select m.mission_id, cats.*, cats.worker not in ('IMU', 'Telemetry') as on_, status, coalesce(nullif(reason, ''), status) as why from (select distinct mission_id from wh) m cross join cats left join h on h.mission_id = m.mission_id and h.worker = cats.worker),
+    v as (select mission_id, category, ord, case when not on_ or status = 'DISABLED' then 0 when status is null or status = 'DEGRADED' then 2 when status in ('STALE', 'FAILED') then 3 else 1 end as lv,
+      case when not on_ then worker || ' skipped by active test profile.' when status is null then worker || ' has not reported yet.' when status = 'DISABLED' then worker || ' skipped: ' || why else worker || ': ' || why end as reason from x),
+    o as (select mission_id, max(lv) as top from v group by 1)
+    select mission_id, category, ['SKIP', 'PASS', 'WARN', 'FAIL'][max(lv) + 1] as status,
+      case when max(lv) = 1 then 'Nominal.' else array_to_string(list(reason order by ord, reason) filter (where lv <> 1)[1:6], ' | ') end as reasons,
+      ['SKIP', 'PASS', 'WARN', 'FAIL'][any_value(top) + 1] as overall from v join o using (mission_id) group by 1, 2""",
+)
+def overall_verdicts(d):
+    named = c("worker")
+    for k, v in _NAMES.items():
+        named = F.when(c("worker") == k, v).otherwise(named)
+    health = reports.worker_health(reported_states(d))
+    judged = health.select("mission_id", named.alias("worker"), c("last_status").alias("status"), c("last_error").alias("reason"))
+    enabled = d.spark.createDataFrame([("IMU", False), ("Telemetry", False)], "worker string, enabled boolean")
+    verdicts = reports.verification(judged, enabled)
+    return verdicts.join(reports.overall(verdicts), "mission_id")
+
+
 @query(
     "calibration", ["fx_imu"],
     f"""with s as (select *, 1000 + seq % 7 as p, 20 + seq % 5 as tc from fx_imu)

@@ -116,6 +116,46 @@ def worker_timeline(d):
     )
 
 
+# Workers that report four states, a timeout for each worker, all watched until second 70.
+REPORTED = """src as (select mission_id, worker, seq, t, error, case when seq % 11 = 0 then null else ok end as ok, case worker when 'click' then 2.0::double else 5.0::double end as lim,
+      case when seq % 11 = 0 then 'DISABLED' when ok and seq % 4 = 0 then 'DEGRADED' when not ok and error = 'err2' then 'DEGRADED' when ok then 'HEALTHY' else 'FAILED' end as st from fx_worker),
+    held as (select *, max(case when ok then t end) over (partition by mission_id, worker order by t, seq) as upd, lead(t) over (partition by mission_id, worker order by t, seq) as nxt from src),
+    merged as (select mission_id, worker, seq, t, ok, error, st, false as silent from held
+      union all select mission_id, worker, seq, greatest(upd + lim, t), null, null, 'STALE', true from held where st in ('HEALTHY', 'DEGRADED') and coalesce(nxt, 70) - upd > lim),
+    walked as (select *, lag(st) over p as before, count(*) filter (where not ok) over p as errs, count(*) filter (where ok) over p as g from merged window p as (partition by mission_id, worker order by t, seq, silent)),
+    states as (select *, count(*) filter (where not ok) over (partition by mission_id, worker, g order by t, seq, silent) as streak,
+      coalesce(ok and before in ('FAILED', 'STALE', 'DEGRADED') and errs > 0, false) as recovered from walked)"""
+
+
+def reported_states(d):
+    off = c("seq") % 11 == 0
+    status = F.when(off, "DISABLED").when(c("ok") & (c("seq") % 4 == 0), "DEGRADED").when(~c("ok") & (c("error") == "err2"), "DEGRADED")
+    samples = d.fx_worker.select("mission_id", "worker", "seq", "t", F.when(~off, c("ok")).alias("ok"), "error", status.alias("status"))
+    return w.worker_states(samples, F.when(c("worker") == "click", 2.0).otherwise(5.0), F.lit(70.0))
+
+
+@query(
+    "worker_states",
+    ["fx_worker"],
+    f"with {REPORTED} select mission_id, worker, seq, t, silent, st as status, before as previous_status, errs as errors_so_far, streak as error_streak, recovered from states",
+)
+def worker_states(d):
+    return reported_states(d).select(
+        "mission_id", "worker", "seq", "t", "silent", "status", "previous_status", "errors_so_far", "error_streak", "recovered"
+    )
+
+
+@query(
+    "worker_state_spans",
+    ["fx_worker"],
+    f"""with {REPORTED}, cut as (select *, sum(case when st is distinct from before then 1 else 0 end) over (partition by mission_id, worker order by t, seq, silent) as k from states),
+    spans as (select mission_id, worker, k, any_value(st) as status, min(t) as from_s, count(*) filter (where not silent) as rows from cut group by 1, 2, 3)
+    select mission_id, worker, status, from_s, coalesce(lead(from_s) over (partition by mission_id, worker order by k), 70) as to_s, rows from spans""",
+)
+def worker_state_spans(d):
+    return w.state_spans(reported_states(d), F.lit(70.0))
+
+
 @query(
     "value_changes",
     ["fx_worker"],

@@ -3,6 +3,7 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from flightloom.operators import asof, windows
@@ -144,3 +145,54 @@ def test_smoothing_for_every_weight(spark):
             for k in range(odd, 600, 2):
                 s = data[k][3] if s is None else (1 - alpha) * s + alpha * data[k][3]
                 assert abs(got[k] - s) < 1e-9
+
+
+def _walk_states(rows, timeout, until):
+    """Worker states by one pass over the rows of one worker."""
+    out, state, update, errors, streak = [], None, None, 0, 0
+    for i, (t, seq, ok, status) in enumerate(rows):
+        before = state
+        state = status or ({True: "HEALTHY", False: "FAILED"}.get(ok, state))
+        errors, streak = errors + (ok is False), 0 if ok else streak + (ok is False)
+        update = t if ok else update
+        out.append((t, seq, False, state, before, errors, streak, bool(ok and before in ("FAILED", "STALE", "DEGRADED") and errors)))
+        end = rows[i + 1][0] if i + 1 < len(rows) else until
+        if state in ("HEALTHY", "DEGRADED") and update is not None and end - update > timeout:
+            out.append((max(update + timeout, t), seq, True, "STALE", state, errors, streak, False))
+            state = "STALE"
+    return out
+
+
+@pytest.mark.parametrize("width", [0.7, 4.0, 1e6])
+def test_worker_states_equal_one_pass(spark, width):
+    rng = random.Random(11)
+    kinds = [(True, None), (True, "DEGRADED"), (False, None), (False, "DEGRADED"), (None, "DISABLED"), (None, None), (True, "INITIALIZING")]
+    given, want, spans = [], [], []
+    for worker in ("GPS", "IMU", None):
+        t, rows = 0.0, []
+        for seq in range(80):
+            t += rng.choice([0.0, 0.25, 0.5, 1.0, 2.0, 3.5])
+            rows.append((t, seq, *rng.choice(kinds)))
+        given += [(1, worker, *row) for row in rows]
+        states = _walk_states(rows, 1.5, t + 2)
+        want += [(worker, *row) for row in states]
+        cut = [i for i, row in enumerate(states) if i == 0 or row[3] != states[i - 1][3]]
+        for a, b in zip(cut, [*cut[1:], None]):
+            spans.append((worker, states[a][3], states[a][0], states[b][0] if b else 500.0, sum(not row[2] for row in states[a:b])))
+    df = spark.createDataFrame(given, "mission_id long, worker string, t double, seq long, ok boolean, status string").withColumn("error", F.lit("e"))
+    last = df.groupBy("worker").agg(F.max("t").alias("over"))
+    df = df.join(last, df.worker.eqNullSafe(last.worker)).select(df["*"], (F.col("over") + 2).alias("over"))
+    got = windows.worker_states(df, 1.5, F.col("over"), width)
+    assert sorted(map(str, want)) == sorted(
+        str(tuple(r)) for r in got.select("worker", "t", "seq", "silent", "status", "previous_status", "errors_so_far", "error_streak", "recovered").collect()
+    )
+    runs = windows.state_spans(got, F.lit(500.0), width).select("worker", "status", "from_s", "to_s", "rows").collect()
+    assert sorted(map(str, spans)) == sorted(str(tuple(r)) for r in runs)
+
+
+def test_worker_states_without_timeout(spark):
+    rows = [(1, "GPS", 0.0, 1, False, "boom"), (1, "GPS", 99.0, 2, True, ""), (1, "GPS", 500.0, 3, True, "")]
+    df = spark.createDataFrame(rows, "mission_id long, worker string, t double, seq long, ok boolean, error string")
+    got = windows.worker_states(df).orderBy("seq").collect()
+    assert [(r.status, r.recovered, r.error_streak) for r in got] == [("FAILED", False, 1), ("HEALTHY", True, 0), ("HEALTHY", False, 0)]
+    assert windows.worker_states(df.limit(0), 3.0).count() == 0
