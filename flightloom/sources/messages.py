@@ -34,9 +34,10 @@ def build_packets(df: DataFrame, keep: list[str]) -> DataFrame:
 
 def parse_packets(df: DataFrame, column: str = "value") -> DataFrame:
     """Adds the struct ``packet``; null where the text is no JSON object."""
-    parsed = F.from_json(column, PACKET_SCHEMA)
-    blank = F.forall(F.array(*[parsed[key].isNull() for key, *_ in PACKET]), lambda x: x)
-    return df.withColumn("packet", F.when(F.trim(column).startswith("{") & ~blank, parsed))
+    # explode keeps the parsed struct as a column; as a plain expression the text would be parsed anew for every field
+    parsed = df.withColumn("packet", F.explode(F.array(F.from_json(column, PACKET_SCHEMA))))
+    filled = F.coalesce(*[F.when(F.col("packet")[key].isNotNull(), F.lit(True)) for key, *_ in PACKET])
+    return parsed.withColumn("packet", F.when(F.trim(column).startswith("{") & filled, F.col("packet")))
 
 
 def parse_bench_frames(df: DataFrame, column: str = "value") -> DataFrame:

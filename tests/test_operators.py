@@ -213,3 +213,12 @@ def test_no_nested_loop_joins_in_pair_and_coverage_plans(spark, tables):
     for df in (pairs.spatial_pairs(pairs.image_nodes(tables.fx_capture)), coverage.covered_cells(coverage.footprints(tables.fx_capture))):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_a_packet_is_parsed_once_for_all_its_fields(spark):
+    lines = ['{"seq":3,"img":"a"}', ' {"t":1.5} ', "{}", "[1]", "garbled", "", None]
+    out = messages.parse_packets(spark.createDataFrame([(x,) for x in lines], "value string"))
+    seen = [(r.packet.seq, r.packet.img, r.packet.t) if r.packet else None for r in out.collect()]
+    assert seen == [(3, "a", None), (None, None, 1.5), None, None, None, None, None]
+    plan = out.filter("packet is not null").select("packet.*")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_json(") == 1
