@@ -11,7 +11,7 @@ from flightloom.functions import values
 from flightloom.plans import catalog_stateful as cs
 from flightloom.plans.registry import ORACLES, query
 from flightloom.plans.sqltext import CELLS, FOOTPRINTS, r
-from flightloom.session import shared_folder
+from flightloom.session import cut_lineage, shared_folder
 from flightloom.sources import messages, readers, writers
 from flightloom.streaming import streams
 
@@ -254,7 +254,7 @@ def stream_flight_phases(d):
 @query("stream_packets", ["fx_capture"], "select mission_id, seq, image_name as img, t from fx_capture")
 def stream_packets(d):
     # missions follow each other, each with a start of its own; a third of all packets come twice
-    sent = packets(d).select("mission_id", "seq", "value")
+    sent = cut_lineage(packets(d).select("mission_id", "seq", "value"))
     repeated = sent.unionByName(sent.filter(c("seq") % 3 == 0))
     bounds = sent.agg(F.percentile("mission_id", [0.3, 0.7]).alias("p")).first()["p"] or []
     start = F.lit(1_700_000_000.0) + F.pmod(c("mission_id") * 7919, F.lit(1000)) * 86_400.0

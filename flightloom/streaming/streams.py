@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,7 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from flightloom import params as P
 from flightloom.operators import estimators as est
 from flightloom.operators import ladder, steps
-from flightloom.session import shared_folder
+from flightloom.session import cut_lineage, shared_folder
 from flightloom.sources.messages import parse_packets
 
 
@@ -123,7 +124,7 @@ class _FirstOfEach(StatefulProcessor):
         clock, seqs, times = self.seen.get() if self.seen.exists() else (None, [], [])
         known, latest = dict(zip(seqs, times)), clock
         for row in rows:
-            t, seq = row["_clock"], row["seq"]
+            t, seq = row["_clock"], row["_seq"]
             if t is None or seq is None:  # nothing to tell a repeat by
                 yield row
                 continue
@@ -149,11 +150,13 @@ def packet_stream(lines: DataFrame, start: Column, delay_s: float = 600.0) -> Da
     """
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
     _ordered_state(lines.sparkSession)
-    parsed = parse_packets(lines.withColumn("_zero", start)).filter(F.col("packet").isNotNull()).select("mission_id", "_zero", "packet.*")
-    at = (F.col("_zero") + F.col("t")).cast("double")
-    timed = parsed.withColumn("event_time", F.timestamp_micros((at * 1e6).cast("bigint"))).withColumns({"_clock": at, "_key": F.col("mission_id")}).drop("_zero")
+    parsed = parse_packets(lines.withColumn("_zero", start)).filter(F.col("packet").isNotNull())
+    at = (F.col("_zero") + F.col("packet.t")).cast("double")
+    # the text goes through the state, not its forty columns, and is read again behind it
+    timed = parsed.select("mission_id", "value", at.alias("_clock"), F.col("packet.seq").alias("_seq"), F.col("mission_id").alias("_key"))
     once = timed.groupBy("_key").transformWithState(_FirstOfEach(delay_s), timed.schema, "Append", "None")
-    return once.drop("_clock", "_key")
+    event_time = F.timestamp_micros((F.col("_clock") * 1e6).cast("bigint"))
+    return parse_packets(once).select("mission_id", "packet.*", event_time.alias("event_time"))
 
 
 def _seconds(t: str) -> Column:
@@ -285,25 +288,42 @@ def stale_stream(samples: DataFrame, timeout_s: float = P.STALE_S, delay: str =
 
 
 # -- running a stream over what is there now --------------------------------
-def replay(df: DataFrame, order: str, cuts: list[float], closing: float | None = None) -> DataFrame:
-    """A recorded table as a stream of several micro-batches in order: one file set per cut.
+def replay(df: DataFrame, order: str, cuts: list[float], closing: float | None = None, rows_a_file: int = 50_000) -> DataFrame:
+    """A recorded table as a stream of several micro-batches in order: one for each cut, each of the same number of files.
 
+    The table is worked out once. A cut is written by as many tasks as the largest one needs at ``rows_a_file`` rows each;
+    one with fewer rows than files is filled up with files that hold none.
     ``closing``: a last row of nothing but this value of the order column, so far ahead that the watermark passes all
     others; it stays behind the watermark itself and never comes out of an ordered stream."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/replay-{uuid.uuid4().hex}"
-    edges = [None, *cuts, None]
-    for low, high in zip(edges, edges[1:]):
-        part = df
-        if low is not None:
-            part = part.filter(F.col(order) >= low)
-        if high is not None:
-            part = part.filter(F.col(order) < high)
-        part.coalesce(1).write.mode("append").parquet(path)
+    at, edges = F.col(order), [None, *cuts, None]
+    spans = [
+        F.lit(True) & (at >= low if low is not None else F.lit(True)) & (at < high if high is not None else F.lit(True))
+        for low, high in zip(edges, edges[1:])
+    ]
+    table = cut_lineage(df)
+    counts = table.agg(*[F.count_if(span).alias(f"_{i}") for i, span in enumerate(spans)]).first()
+    files = max(1, -(-max(counts) // rows_a_file))
+    empty = spark.createDataFrame([], df.schema)
+    for span in spans:
+        before = _data_files(spark, path)
+        table.filter(span).repartition(files).write.mode("append").parquet(path)
+        # a task without rows writes no file
+        for _ in range(files - (_data_files(spark, path) - before)):
+            empty.coalesce(1).write.mode("append").parquet(path)
     if closing is not None:
         end = spark.range(1).select(*[F.lit(closing if f.name == order else None).cast(f.dataType).alias(f.name) for f in df.schema])
         end.write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+def _data_files(spark, path: str) -> int:
+    """Files of a folder as Spark's readers list them."""
+    try:
+        return len(spark.read.format("binaryFile").load(path).inputFiles())
+    except AnalysisException:  # nothing is written yet
+        return 0
 
 
 def drain(stream: DataFrame) -> DataFrame:

@@ -90,3 +90,25 @@ def test_nan_and_null_stay_apart(spark, tmp_path, value):
     stream = in_parts(spark, [(*r, value) for r in rows], schema, str(tmp_path / "in"), "t")
     got = [r.x for r in streams.drain(streams.debounce_stream(stream, delay="1 second")).collect()]
     assert len(got) == 2 and all((x is None) == (value is None) for x in got)
+
+
+def test_a_cut_is_one_batch_of_several_files(spark, tmp_path):
+    df = spark.range(130_000).select("id", (F.col("id") % 1300).cast("double").alias("t"))
+    stream = streams.replay(df, "t", [1200.0, 1299.0], closing=1e6)
+    seen = []
+
+    def look(batch, number):
+        parts = batch.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0]
+        seen.append((tuple(batch.agg(F.min("t"), F.max("t"), F.count("*")).first()), parts))
+
+    query = stream.writeStream.foreachBatch(look).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert [row for row, _ in seen] == [(0.0, 1199.0, 120_000), (1200.0, 1298.0, 9_900), (1299.0, 1299.0, 100), (1e6, 1e6, 1)]
+    assert max(parts for _, parts in seen) <= 50_000
+
+
+def test_a_cut_with_fewer_rows_than_files_is_filled_up(spark):
+    rows = [(i, float(i)) for i in range(7)] + [(9, 90.0)]
+    df = spark.createDataFrame(rows, "id long, t double")
+    out = streams.drain(streams.replay(df, "t", [50.0, 80.0], rows_a_file=2)).collect()
+    assert sorted(tuple(r) for r in out) == rows
