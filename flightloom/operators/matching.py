@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from flightloom import params as P
@@ -15,51 +13,44 @@ from flightloom import params as P
 _MATCH_SCHEMA = "{keys}, query_idx bigint, train_idx bigint, distance double"
 
 
-def _blocks(descriptors: DataFrame, keys: list[str], size: int) -> DataFrame:
-    """Descriptors packed into blocks of about ``size`` per image: ids and one flat list of vectors.
+def _blocks(descriptors: DataFrame, keys: list[str], size: int) -> tuple[DataFrame, DataFrame]:
+    """Descriptors with the block of about ``size`` they belong to, and the number of blocks of each image.
 
-    The block number comes from the feature id, so an image with very many features becomes many
-    blocks; the packing never holds more than one block.
+    The block number comes from the feature id, so an image with very many features becomes many blocks.
     """
-    block = F.pmod(F.xxhash64("feature_id"), F.greatest(F.ceil(F.col("_n") / size), F.lit(1))).cast("bigint")
-    counts = descriptors.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return (
-        descriptors.join(counts, keys)
-        .filter(F.col("_n") >= 2)
-        .withColumn("_block", block)
-        .groupBy(*keys, "_block")
-        .agg(F.collect_list(F.struct("feature_id", "vec")).alias("items"))
-    )
+    counts = descriptors.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= 2)
+    counts = counts.select(*keys, F.greatest(F.ceil(F.col("_n") / size), F.lit(1)).alias("_blocks"))
+    block = F.pmod(F.xxhash64("feature_id"), F.col("_blocks")).cast("bigint")
+    return descriptors.join(counts, keys).select(*keys, "feature_id", "vec", block.alias("_block")), counts
 
 
-def _two_nearest(hamming: bool, keys: list[str]):
+def _two_nearest(hamming: bool, keys: list[str], slice_rows: int = 256):
     def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         if not hamming:
-            # differences in slices of the query block keep the memory small and the result exact
             return np.stack([np.sqrt(((b - row) ** 2).sum(axis=1)) for row in a])
         return np.stack([np.bitwise_count(np.bitwise_xor(b, row)).sum(axis=1).astype(float) for row in a])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            parts = []
-            for row in pdf.itertuples(index=False):
-                kind = np.int64 if hamming else np.float64
-                left, right = list(row.items_a), list(row.items_b)
-                ids_a = np.array([x["feature_id"] for x in left])
-                ids_b = np.array([x["feature_id"] for x in right])
-                order = np.argsort(ids_b, kind="stable")
-                ids_b = ids_b[order]
-                a = np.array([x["vec"] for x in left], dtype=kind)
-                b = np.array([x["vec"] for x in right], dtype=kind)[order]
-                d = distances(a, b)
-                best = np.argsort(d, axis=1, kind="stable")[:, :2]
-                out = pd.DataFrame({"query_idx": np.repeat(ids_a, best.shape[1]), "train_idx": ids_b[best].ravel()})
-                out["distance"] = np.take_along_axis(d, best, axis=1).ravel()
-                for key in reversed(keys):
-                    out.insert(0, key, getattr(row, key))
-                parts.append(out)
-            if parts:
-                yield pd.concat(parts)
+    def read(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        kind = np.int64 if hamming else np.float64
+        ids = np.array(table.column("feature_id").to_pylist())
+        order = np.argsort(ids, kind="stable")
+        return ids[order], np.array(table.column("vec").to_pandas().tolist(), dtype=kind)[order]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        fields = [(left if left.num_rows else right).schema.field(i).with_name(k) for i, k in enumerate(keys)]
+        schema = pa.schema([*fields, ("query_idx", pa.int64()), ("train_idx", pa.int64()), ("distance", pa.float64())])
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        (ids_a, a), (ids_b, b) = read(left), read(right)
+        found = []
+        # slices of the query block keep the distances small and the result exact
+        for at in range(0, len(a), slice_rows):
+            d = distances(a[at : at + slice_rows], b)
+            best = np.argsort(d, axis=1, kind="stable")[:, :2]
+            found.append((np.repeat(ids_a[at : at + slice_rows], best.shape[1]), ids_b[best].ravel(), np.take_along_axis(d, best, axis=1).ravel()))
+        made = [np.concatenate(x) for x in zip(*found)]
+        same = [pa.array([left.column(i)[0].as_py()] * len(made[0]), f.type) for i, f in enumerate(fields)]
+        return pa.Table.from_arrays([*same, *[pa.array(x, t) for x, t in zip(made, schema.types[len(fields):])]], schema=schema)
 
     return run
 
@@ -88,16 +79,26 @@ def ratio_matches(
 
     cloudpickle.register_pickle_by_value(here)
     keys = by or []
-    packed = _blocks(descriptors, [*keys, "image_name"], block)
-    a = packed.select(*keys, F.col("image_name").alias("source"), F.col("items").alias("items_a"))
-    b = packed.select(*keys, F.col("image_name").alias("target"), F.col("items").alias("items_b"))
-    met = edges.select(*keys, "source", "target").distinct().join(a, [*keys, "source"]).join(b, [*keys, "target"])
+    blocked, counts = _blocks(descriptors, [*keys, "image_name"], block)
     names = [*keys, "source", "target"]
+
+    def side(df: DataFrame, image: str, tag: str) -> DataFrame:
+        return df.select(*keys, F.col("image_name").alias(image), *[F.col(x).alias(f"{x}{tag}" if x[0] == "_" else x) for x in df.columns if x not in (*keys, "image_name")])
+
+    met = edges.select(*names).distinct().join(side(counts, "source", "_a"), [*keys, "source"]).join(side(counts, "target", "_b"), [*keys, "target"])
+    # each descriptor goes to every block of the other image
+    others = {tag: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"_blocks{tag}").cast("bigint") - 1)).alias(f"_block{tag}") for tag in ("_a", "_b")}
+    a = met.select(*names, others["_b"]).join(side(blocked, "source", "_a"), [*keys, "source"])
+    b = met.select(*names, others["_a"]).join(side(blocked, "target", "_b"), [*keys, "target"])
     types = dict(met.dtypes)
     schema = _MATCH_SCHEMA.format(keys=", ".join(f"{k} {types[k]}" for k in names))
-    # spread the block pairs evenly: a pair of crowded images is many rows here
-    spread = met.repartition(*names, F.xxhash64(F.col("items_a")[0]["feature_id"], F.col("items_b")[0]["feature_id"]))
-    near = spread.mapInPandas(_two_nearest(hamming, names), schema)
+    pair = [*names, "_block_a", "_block_b"]
+
+    def grouped(df: DataFrame, tag: str) -> GroupedData:
+        # both sides come from the same tables, so their keys get names of their own
+        return df.select(*[F.col(k).alias(f"_{tag}{i}") for i, k in enumerate(pair)], "feature_id", "vec").groupBy(*[f"_{tag}{i}" for i in range(len(pair))])
+
+    near = grouped(a, "l").cogroup(grouped(b, "r")).applyInArrow(_two_nearest(hamming, names), schema)
     ranked = Window.partitionBy(*names, "query_idx").orderBy("distance", "train_idx")
     two = near.withColumn("_r", F.row_number().over(ranked)).filter(F.col("_r") <= 2)
     best = two.groupBy(*names, "query_idx").agg(
