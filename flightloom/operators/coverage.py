@@ -11,6 +11,7 @@ from flightloom.functions import geo
 from flightloom.functions.values import num
 from flightloom.operators.prepare import altitude_pos, image_rows, require_columns
 from flightloom.operators.timeline import FirstOf, scan
+from flightloom.session import cut_lineage
 
 
 def footprints(df: DataFrame) -> DataFrame:
@@ -70,9 +71,17 @@ def cell_runs(shapes: DataFrame, grid: float = P.COVERAGE_GRID_M, slice_s: float
     ).filter(c("last") >= c("first"))
 
 
-def covered_cells(shapes: DataFrame, grid: float = P.COVERAGE_GRID_M, slice_s: float = 3600.0) -> DataFrame:
-    """(mission, image, cell) for every grid cell whose centre lies inside a footprint."""
-    return cell_runs(shapes, grid, slice_s).select(
+def covered_cells(
+    shapes: DataFrame, grid: float = P.COVERAGE_GRID_M, slice_s: float = 3600.0, cells_a_task: int = 2_000_000
+) -> DataFrame:
+    """(mission, image, cell) for every grid cell whose centre lies inside a footprint.
+
+    Stretches are written and dealt by grid rows of a mission to as many tasks as their cells need, and listed there: what
+    is then grouped by cell has its rows together already, and a task's groups do not grow with the table.
+    """
+    runs = cut_lineage(cell_runs(shapes, grid, slice_s))
+    cells = runs.agg(F.sum(F.col("last") - F.col("first") + 1)).first()[0] or 0
+    return runs.repartition(max(1, -(-cells // cells_a_task)), "mission_id", "cy").select(
         "mission_id", "seq", "image_name", F.explode(F.sequence("first", "last")).alias("cx"), "cy"
     )
 
