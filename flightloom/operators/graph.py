@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +18,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Alternates two rewirings until nothing changes: every node links its larger neighbours to its
     smallest one, then every node links its smaller neighbours likewise. Both are one grouping of
     the edge list, a hub's neighbours included, with no list of neighbours held in memory, and the
-    number of rounds grows with the logarithm of the component size.
+    number of rounds grows with the logarithm of the component size. Nodes are numbered in their order
+    first, so the rounds move numbers and not names.
     """
 
     def rewired(pairs: DataFrame, larger: bool) -> DataFrame:
@@ -34,9 +36,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     edges = cut_lineage(edges.select("u", "v"))
     nodes = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    current = cut_lineage(
-        edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    )
+    ranged = nodes.repartitionByRange("node").sortWithinPartitions("node")
+    nodes = cut_lineage(ranged.withColumn("id", F.monotonically_increasing_id()))
+
+    def numbered(pairs: DataFrame, end: str) -> DataFrame:
+        return pairs.join(nodes.select(F.col("node").alias(end), F.col("id").alias(f"_{end}")), end).drop(end)
+
+    edges = numbered(numbered(edges.filter("u <> v"), "u"), "v").select(F.col("_u").alias("u"), F.col("_v").alias("v"))
+    current = cut_lineage(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = None
     while True:
         both = current.select(F.col("u").alias("n"), F.col("v").alias("m")).unionByName(
@@ -51,9 +58,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if state == seen:
             break
         seen = state
-    return nodes.join(current.select(F.col("u").alias("node"), "v"), "node", "left").select(
-        "node", F.coalesce("v", "node").alias("component")
-    )
+    linked = nodes.join(current.select(F.col("u").alias("id"), F.col("v").alias("_c")), "id", "left")
+    named = nodes.select(F.col("id").alias("_c"), F.col("node").alias("component"))
+    return linked.withColumn("_c", F.coalesce("_c", "id")).join(named, "_c").select("node", "component")
 
 
 def feature_tracks(matches: DataFrame, min_length: int = 2) -> tuple[DataFrame, DataFrame]:
@@ -96,12 +103,15 @@ def track_stats(tracks: DataFrame, by: list[str]) -> DataFrame:
     return counts.join(middle.drop("n"), by, "left").fillna(0.0, ["mean_length", "median_length"]).fillna(0, ["max_length"])
 
 
-def reach(edges: DataFrame, anchors: DataFrame, transforms: bool = False) -> DataFrame:
+def reach(edges: DataFrame, anchors: DataFrame, transforms: bool = False, edges_a_task: int = 200_000) -> DataFrame:
     """Images connected to their mission's anchor, with the fewest hops and the image reached from.
 
     Edges: mission_id, source, target (and h, nine values, when ``transforms``). Of several parents
     at the same distance the smallest name wins. One join per hop, over the frontier only; with
     ``transforms`` each image carries parent * inverse(h) back to the anchor.
+
+    Edges are dealt by (mission, source) once and kept so on the executors' disks; each hop moves the frontier to
+    them and sends nothing through the driver. When half of the missions are done, their edges are left out.
     """
     c = F.col
     there = [c("source"), c("target"), *([c("h")] if transforms else [])]
@@ -111,14 +121,20 @@ def reach(edges: DataFrame, anchors: DataFrame, transforms: bool = False) -> Dat
     both = cut_lineage(
         edges.select("mission_id", F.explode(F.array(F.struct(*there), F.struct(*back))).alias("_e")).select("mission_id", "_e.*")
     )
+
+    def dealt(some: DataFrame) -> DataFrame:
+        parts = some.count() // edges_a_task + 1
+        return some.repartition(parts, "mission_id", "source").persist(StorageLevel.DISK_ONLY)
+
     one = F.array(*[F.lit(float(v)) for v in (1, 0, 0, 0, 1, 0, 0, 0, 1)])
     found = anchors.select(
         "mission_id", "image_name", F.lit(0).cast("bigint").alias("hops"), F.lit(None).cast("string").alias("parent"),
         *([one.alias("transform")] if transforms else []),
     )
     frontier = found = cut_lineage(found)
+    before, kept, most = frontier.limit(0), dealt(both), None
     for hop in itertools.count(1):
-        step = frontier.withColumnRenamed("image_name", "source").join(both, ["mission_id", "source"])
+        step = frontier.withColumnRenamed("image_name", "source").hint("shuffle_hash").join(kept, ["mission_id", "source"])
         carried = [attitude.mat3_mul(F.col("transform"), attitude.mat3_inv(F.col("h"))).alias("transform")] if transforms else []
         reached = step.select(
             "mission_id", F.col("target").alias("image_name"), F.lit(hop).cast("bigint").alias("hops"),
@@ -126,10 +142,22 @@ def reach(edges: DataFrame, anchors: DataFrame, transforms: bool = False) -> Dat
         )
         best = F.min_by(F.struct(*reached.columns[2:]), "parent")
         fresh = reached.groupBy("mission_id", "image_name").agg(best.alias("_b")).select("mission_id", "image_name", "_b.*")
-        frontier = cut_lineage(fresh.join(found, ["mission_id", "image_name"], "left_anti"))
-        if frontier.isEmpty():
+        # edges lead both ways, so a neighbour of a frontier is new, of that frontier or of the one before
+        recent = frontier.unionByName(before).select("mission_id", "image_name")
+        before, frontier = frontier, cut_lineage(fresh.join(recent.hint("shuffle_hash"), ["mission_id", "image_name"], "left_anti"))
+        missions = frontier.select("mission_id").distinct()
+        active = missions.count()
+        if not active:
+            kept.unpersist()
             return found
-        found = cut_lineage(found.unionByName(frontier)) if hop % 10 == 0 else found.unionByName(frontier)
+        found = found.unionByName(frontier)
+        if hop % 50 == 0:
+            found = cut_lineage(found)
+        most = most or active
+        if 2 * active <= most:
+            kept.unpersist()
+            both = cut_lineage(both.join(missions, "mission_id", "left_semi"))
+            kept, most = dealt(both), active
 
 
 def reach_summary(reached: DataFrame, min_images: int = 3) -> DataFrame:

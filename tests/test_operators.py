@@ -222,3 +222,52 @@ def test_a_packet_is_parsed_once_for_all_its_fields(spark):
     assert seen == [(3, "a", None), (None, None, 1.5), None, None, None, None, None]
     plan = out.filter("packet is not null").select("packet.*")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("from_json(") == 1
+
+
+def test_hops_send_nothing_through_the_driver(spark, monkeypatch):
+    rows = [(m, f"n{i:03d}", f"n{i + 1:03d}") for m in range(6) for i in range(3 + 4 * m)]
+    edges = spark.createDataFrame(rows, "mission_id long, source string, target string")
+    anchor = spark.createDataFrame([(m, "n000") for m in range(6)], "mission_id long, image_name string")
+    plans, cut = [], graph.cut_lineage
+    monkeypatch.setattr(graph, "cut_lineage", lambda df: plans.append(df) or cut(df))
+    got = {(r.mission_id, r.image_name): (r.hops, r.parent) for r in graph.reach(edges, anchor).collect()}
+    assert got == {(m, f"n{i:03d}"): (i, f"n{i - 1:03d}" if i else None) for m in range(6) for i in range(4 + 4 * m)}
+    hops = [t for t in (df._jdf.queryExecution().executedPlan().toString() for df in plans) if "LeftAnti" in t]
+    assert hops and not any("Broadcast" in t for t in hops)
+
+
+def test_components_keep_names_and_null_parts(spark):
+    pairs = [((1, None), (1, "b")), ((1, "b"), (1, "c")), ((None, "x"), (None, "y")), ((2, "z"), (2, "z"))]
+    node = "struct<m: long, n: string>"
+    got = graph.connected_components(spark.createDataFrame(pairs, f"u {node}, v {node}")).collect()
+    assert {(tuple(r.node), tuple(r.component)) for r in got} == {
+        ((1, None), (1, None)), ((1, "b"), (1, None)), ((1, "c"), (1, None)), ((None, "x"), (None, "x")),
+        ((None, "y"), (None, "x")), ((2, "z"), (2, "z")),
+    } and len(got) == 6
+
+
+def test_rounds_of_components_move_numbers(spark, monkeypatch):
+    schemas, cut = [], graph.cut_lineage
+    monkeypatch.setattr(graph, "cut_lineage", lambda df: schemas.append(dict(df.dtypes)) or cut(df))
+    graph.connected_components(spark.createDataFrame([("a", "b"), ("b", "c")], "u string, v string")).collect()
+    assert all(s == {"u": "bigint", "v": "bigint"} for s in schemas[2:]) and len(schemas) > 3
+
+
+def test_cells_are_grouped_where_they_are_listed(spark):
+    df = spark.createDataFrame([capture_row(i, 18.52 + i / 5000, f"img_{i}.jpg") for i in range(40)], CAPTURE)
+    shapes = coverage.footprints(df)
+    cells = coverage.covered_cells(shapes, cells_a_task=500)
+    counted = cells.groupBy("mission_id", "cx", "cy").count()
+    # stretches are dealt to tasks, their cells are not
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and cells.rdd.getNumPartitions() > 5
+    assert sorted(map(tuple, cells.collect())) == sorted(map(tuple, coverage.covered_cells(shapes).collect()))
+
+
+def test_a_python_task_sees_single_descriptors(spark):
+    d = spark.createDataFrame([(n, i, [float(i * 7 % 11), float(i)]) for n in "ab" for i in range(9)], "image_name string, feature_id long, vec array<double>")
+    edges = spark.createDataFrame([("a", "b")], "source string, target string")
+    out = matching.ratio_matches(edges, d, 0.9, block=4)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "items_a" not in plan
+    assert sorted((r.query_idx, r.train_idx, r.distance) for r in out.collect()) == [(i, i, 0.0) for i in range(9)]
