@@ -31,21 +31,28 @@ def read_mission_log(spark: SparkSession, path: str, columns: list[str] | None =
     """(telemetry, rejects) of any number of log files.
 
     A row may be short (trailing columns are null); a row with too many tokens was shifted by a
-    comma in a text and goes to the rejects as a raw line.
+    comma in a text and goes to the rejects as a raw line. The mission is the first column of files
+    whose header begins with it, as write_mission_log makes them; otherwise the folder or file names it.
     """
     names = columns or list(LOG_COLUMNS)
+    lines = spark.read.text(path)
+    head = lines.filter(F.col("_metadata.file_block_start") == 0).first()
+    in_rows = head is not None and head.value.split(",")[0] == "mission_id"
+    held = ["mission_id", *names] if in_rows else names
     # one column more than the layout has, so that a row with too many tokens shows; empty texts stay texts
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "_extra"]])
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*held, "_extra"]])
     raw = (
         spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("nullValue", "\u0000")
         .csv(path)
     )
-    if "mission_id" not in raw.columns:  # otherwise the folder names it
+    if "mission_id" not in raw.columns:  # otherwise the row or the folder names it
         raw = raw.select("*", values.mission_id(F.col("_metadata.file_path")).alias("mission_id"))
     kept = raw.filter(F.col("_extra").isNull()).select("mission_id", *[_typed(n, LOG_COLUMNS[n]) for n in names])
     unquoted = F.regexp_replace("value", r'"[^"]*"', "")
-    long = spark.read.text(path).filter(F.size(F.split(unquoted, ",")) > len(names))
-    if "mission_id" not in long.columns:
+    long = lines.filter(F.size(F.split(unquoted, ",")) > len(held))
+    if in_rows:
+        long = long.select("value", F.from_csv("value", "mission_id string")["mission_id"].alias("mission_id"))
+    elif "mission_id" not in long.columns:
         long = long.select("value", values.mission_id(F.col("_metadata.file_path")).alias("mission_id"))
     return kept, long.select("mission_id", F.col("value").alias("line"))
 

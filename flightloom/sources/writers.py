@@ -34,10 +34,22 @@ def _by_mission(df: DataFrame, order: list[str]) -> DataFrame:
     return df.repartitionByRange("mission_id", *order).sortWithinPartitions("mission_id", *order)
 
 
-def write_mission_log(df: DataFrame, path: str, fmt: str = "csv", order: str = "timestamp") -> None:
+def write_mission_log(df: DataFrame, path: str, fmt: str = "csv", order: str = "timestamp", folders: bool = False) -> None:
+    """Log files in order of mission and time, their first column the mission: small missions share a file.
+
+    With ``folders``, and for parquet, every mission has a folder of its own and its files the log columns alone;
+    the number of files then grows with the missions.
+    """
     if fmt == "csv":
-        rows = df.select("mission_id", F.col(order).alias("_o"), *log_columns(df))
-        _by_mission(rows, ["_o"]).drop("_o").write.partitionBy("mission_id").option("header", True).csv(path)
+        logged = [n for n in LOG_COLUMNS if n in df.columns]
+        # values become text after the shuffle, which then moves no column that the log lacks
+        rows = _by_mission(df.select("mission_id", F.col(order).alias("_o"), *logged), ["_o"])
+        out = rows.select("mission_id", *log_columns(rows))
+        if folders:
+            out.write.partitionBy("mission_id").option("header", True).csv(path)
+        else:  # a mission's name keeps its blanks, as that of a folder does
+            named = out.withColumn("mission_id", F.col("mission_id").cast("string"))
+            named.write.options(header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     else:
         _by_mission(df, [order]).write.partitionBy("mission_id").parquet(path)
 

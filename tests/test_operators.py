@@ -152,6 +152,47 @@ def test_mission_log_short_long_and_broken_rows(spark, tmp_path):
     assert got[0].ahrs_valid is True and got[0].image_name == "img_1.jpg"
 
 
+def test_mission_logs_share_files_and_keep_their_missions(spark, tmp_path):
+    from flightloom.schemas import LOG_COLUMNS
+
+    names = [None, "", " a ", "b,c", 'd"e', "007", *[f"m{i}" for i in range(60)]]
+    rows = [(n, float(t), 18.5 + t, f"img,{t}.jpg", t % 2 == 0, "not in the log") for n in names for t in (2, 0, 1)]
+    df = spark.createDataFrame(rows, "mission_id string, timestamp double, latitude double, image_name string, ahrs_valid boolean, note string")
+    want = sorted((str(r[0]), *r[1:5]) for r in rows)
+
+    def read(path):
+        kept, rejects = readers.read_mission_log(spark, path)
+        assert kept.columns == ["mission_id", *LOG_COLUMNS] and rejects.count() == 0
+        return sorted(map(tuple, kept.select(F.col("mission_id").cast("string"), "timestamp", "latitude", "image_name", "ahrs_valid").collect()), key=str)
+
+    shared = tmp_path / "shared"
+    writers.write_mission_log(df, str(shared))
+    files = list(shared.rglob("*.csv"))
+    assert 0 < len(files) <= int(spark.conf.get("spark.sql.shuffle.partitions")) < len(names)
+    assert sorted((str(m), *rest) for m, *rest in read(str(shared))) == want
+    # rows stand in order of mission and time, also within a file
+    order = [[line.rsplit(",", 142)[0] for line in f.read_text().splitlines()[1:]] for f in sorted(files)]
+    assert all(runs == sorted(runs) for runs in ([n for n in part if n.startswith("m")] for part in order))
+    # a row that a comma shifted keeps its mission
+    broken = files[0].read_text().splitlines()
+    (shared / "part-broken.csv").write_text(f"{broken[0]}\nm5,{','.join(['1'] * 143)}\n")
+    _, rejects = readers.read_mission_log(spark, str(shared))
+    assert [(r.mission_id, r.line.count(",")) for r in rejects.collect()] == [("m5", 143)]
+    # a folder for each mission has the columns of the log alone
+    few, apart = df.filter("mission_id like 'm%'"), tmp_path / "apart"
+    writers.write_mission_log(few, str(apart), folders=True)
+    assert (next((apart / "mission_id=m7").glob("*.csv"))).read_text().splitlines()[0].split(",") == list(LOG_COLUMNS)
+    assert read(str(apart)) == sorted((r[:5] for r in rows if str(r[0]).startswith("m")), key=str)
+    # there, too, rows stand in order of time, whatever the type of the mission
+    writers.write_mission_log(spark.range(4000).selectExpr("id % 7 as mission_id", "cast(id * 2741 % 4001 as double) as timestamp"), str(tmp_path / "numbers"), folders=True)
+    for part in (tmp_path / "numbers").rglob("*.csv"):
+        at = [float(line.split(",")[0]) for line in part.read_text().splitlines()[1:]]
+        assert at == sorted(at)
+    # nothing flown, nothing read
+    writers.write_mission_log(df.filter("timestamp > 9"), str(tmp_path / "none"))
+    assert read(str(tmp_path / "none")) == []
+
+
 def test_dataset_log_has_every_column(spark, tmp_path):
     from flightloom.schemas import DATASET_COLUMNS, LOG_COLUMNS
 
