@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import sys
 import uuid
 from collections.abc import Iterator
@@ -22,6 +23,14 @@ from flightloom.session import cut_lineage, shared_folder
 from flightloom.sources.messages import parse_packets
 
 
+#: Keys of a stream are dealt by hash to this many shards. A shard has one state, so a state costs per shard, not per key.
+SHARDS = 2048
+
+
+def _shard(by: list[str], shards: int) -> Column:
+    return F.pmod(F.xxhash64(*by), F.lit(shards)).cast("int")
+
+
 class _InOrder(StatefulProcessor):
     """Rows of a key in the order of their event times, given to a step function one by one.
 
@@ -255,36 +264,52 @@ def rate_stream(samples: DataFrame, seconds: float, by: list[str], delay: str =
     )
 
 
-def stale_stream(samples: DataFrame, timeout_s: float = P.STALE_S, delay: str = "0 seconds") -> DataFrame:
-    """One row whenever a worker has been silent for ``timeout_s`` of event time ``ts``, and when it speaks again."""
+def stale_stream(samples: DataFrame, timeout_s: float = P.STALE_S, delay: str = "0 seconds", shards: int = SHARDS) -> DataFrame:
+    """One row whenever a worker has been silent for ``timeout_s`` of event time ``ts``, and when it speaks again.
+
+    The workers of a shard have one state: when each was last heard, and whether its silence has been told."""
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    names = ["mission_id", "worker", "status", "at_s"]
 
     def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        names = ["mission_id", "worker", "status", "at_s"]
-        if state.hasTimedOut:
-            last = state.get[0]
-            state.update((last, True))
-            yield pd.DataFrame([(key[0], key[1], "STALE", last / 1e6 + timeout_s)], columns=names)
-            return
-        times = sorted(int(v) for pdf in frames for v in pdf["us"])
-        last, silent = state.get if state.exists else (None, False)
-        rows = []
-        for us in times:
-            if last is not None and us - last > timeout_s * 1e6:
-                if not silent:
-                    rows.append((key[0], key[1], "STALE", last / 1e6 + timeout_s))
-                rows.append((key[0], key[1], "HEALTHY", us / 1e6))
-            last, silent = (us if last is None else max(last, us)), False
-        state.update((last, silent))
-        due = int(last / 1000 + timeout_s * 1000) + 1
-        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(rows, columns=names)
-
-    timed = samples.withWatermark("ts", delay).select("mission_id", "worker", "ts", F.unix_micros("ts").alias("us"))
-    return timed.groupBy("mission_id", "worker").applyInPandasWithState(
-        run, "mission_id bigint, worker string, status string, at_s double", "last bigint, silent boolean", "append",
-        GroupStateTimeout.EventTimeTimeout,
+        known = pickle.loads(state.get[0]) if state.exists else {}
+        heard, rows = {}, []
+        if not state.hasTimedOut:
+            for pdf in frames:
+                for mission, worker, us in zip(pdf["mission_id"], pdf["worker"], pdf["us"]):
+                    heard.setdefault((mission, worker), []).append(int(us))
+        for who, times in heard.items():
+            last, silent = known.get(who, (None, False))
+            for us in sorted(times):
+                if last is not None and us - last > timeout_s * 1e6:
+                    if not silent:
+                        rows.append((*who, "STALE", last / 1e6 + timeout_s))
+                    rows.append((*who, "HEALTHY", us / 1e6))
+                last, silent = (us if last is None else max(last, us)), False
+            known[who] = (last, silent)
+        watermark, soonest = state.getCurrentWatermarkMs(), None
+        for who, (last, silent) in known.items():
+            if silent:
+                continue
+            due = int(last / 1000 + timeout_s * 1000) + 1
+            if due < watermark and who not in heard:
+                rows.append((*who, "STALE", last / 1e6 + timeout_s))
+                known[who] = (last, True)
+            elif soonest is None or due < soonest:
+                soonest = due
+        state.update((pickle.dumps(known),))
+        if soonest is not None:
+            state.setTimeoutTimestamp(max(soonest, watermark + 1))
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
+
+    shard = _shard(["mission_id", "worker"], shards).alias("_shard")
+    # as text a mission without an id leaves the others as they are in a pandas column
+    timed = samples.withWatermark("ts", delay).select(shard, F.col("mission_id").cast("string"), "worker", "ts", F.unix_micros("ts").alias("us"))
+    told = timed.groupBy("_shard").applyInPandasWithState(
+        run, "mission_id string, worker string, status string, at_s double", "known binary", "append", GroupStateTimeout.EventTimeTimeout,
     )
+    return told.withColumn("mission_id", F.col("mission_id").cast("bigint"))
 
 
 # -- running a stream over what is there now --------------------------------

@@ -112,3 +112,25 @@ def test_a_cut_with_fewer_rows_than_files_is_filled_up(spark):
     df = spark.createDataFrame(rows, "id long, t double")
     out = streams.drain(streams.replay(df, "t", [50.0, 80.0], rows_a_file=2)).collect()
     assert sorted(tuple(r) for r in out) == rows
+
+
+def test_workers_of_a_shard_have_one_state(spark, tmp_path):
+    # ids that a float would run together, one missing; silences within a batch, across batches and at the end
+    missions, workers = [2**53, 2**53 + 1, None, *range(40)], ["gps", None, "imu"]
+    heard = {(m, w): [1.0 + i % 3, 2.5 + i % 3, *([9.0] if i % 2 else []), 12.0 + i % 5, *([26.0] if i % 7 else [])] for i, (m, w) in enumerate((m, w) for m in missions for w in workers)}
+    rows = [(*who, t) for who, times in heard.items() for t in times]
+    want = [(*who, "STALE", a + 3.0) for who, times in heard.items() for a, b in zip(times, [*times[1:], 26.0]) if b - a > 3.0]
+    want += [(*who, "HEALTHY", b) for who, times in heard.items() for a, b in zip(times, times[1:]) if b - a > 3.0]
+    schema = "mission_id long, worker string, t double"
+    for cut in ([r for r in rows if r[2] < 10.0], [r for r in rows if 10.0 <= r[2] < 20.0], [r for r in rows if r[2] >= 20.0]):
+        spark.createDataFrame(cut, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    stream = streams.stale_stream(source.withColumn("ts", F.timestamp_micros((F.col("t") * 1e6).cast("bigint"))), shards=8)
+    query = (
+        stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state"))
+        .outputMode("append").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    got = [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 8 < len(heard)
