@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import pickle
 import sys
 import uuid
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
+from decimal import Decimal
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -27,25 +30,34 @@ from flightloom.sources.messages import parse_packets
 SHARDS = 2048
 
 
-def _shard(by: list[str], shards: int) -> Column:
+def _shard(by: list[str | Column], shards: int) -> Column:
     return F.pmod(F.xxhash64(*by), F.lit(shards)).cast("int")
 
 
+def _pack(value) -> bytes:
+    return zlib.compress(pickle.dumps(value, 5), 1)
+
+
+def _unpack(value: bytes):
+    return pickle.loads(zlib.decompress(value))
+
+
 class _InOrder(StatefulProcessor):
-    """Rows of a key in the order of their event times, given to a step function one by one.
+    """Rows of the keys of a shard in the order of their event times, given to a step function one by one.
 
-    Rows wait in a list until the watermark has passed them; a timer is set for the first of them. Rows behind the
-    watermark are late and dropped by the engine. A key that is silent for ``silent_ms`` loses its state.
+    Rows wait until the watermark has passed them, those that come together as one packed entry of a list; a timer is set
+    for the first of them. Rows behind the watermark are late and dropped by the engine. A key that is silent for
+    ``silent_ms`` loses its state. ``order`` and ``inputs`` are places in the values of a row, ``readers`` makes them of JSON.
     """
 
-    def __init__(self, fold, buffer: str, columns: list[str], order: list[int], inputs: list[int], keep: list[int], names: list[str], silent_ms: int):
-        self.fold, self.buffer, self.columns, self.order, self.inputs, self.keep = fold, buffer, columns, order, inputs, keep
-        self.names, self.silent_ms = names, silent_ms
+    def __init__(self, fold, names: list[str], readers: list, order: list[int], inputs: list[int], outputs: list[str], silent_ms: int):
+        self.fold, self.names, self.readers, self.order, self.inputs = fold, names, readers, order, inputs
+        self.outputs, self.silent_ms = outputs, silent_ms
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.rows = handle.getListState("rows", self.buffer)
-        self.now = handle.getValueState("now", self.fold.state)
+        self.rows = handle.getListState("rows", "held binary")
+        self.now = handle.getValueState("now", "states binary")  # of each key: its state, and when it is forgotten
         self.due = handle.getValueState("due", "ms bigint")
 
     def _remind(self, ms: int) -> None:
@@ -57,35 +69,56 @@ class _InOrder(StatefulProcessor):
         self.handle.registerTimer(ms)
         self.due.update((ms,))
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        new = [tuple(r[n] for n in self.columns) for r in rows]
-        if new:
-            self.rows.appendList(new)
-            self._remind(min(r[0] for r in new))
+    def _values(self, texts: list[str]) -> list[tuple]:
+        found = json.loads(f"[{','.join(texts)}]")
+        columns = [[row.get(n) for row in found] for n in self.names]
+        columns = [values if read is None else [None if v is None else read(v) for v in values] for values, read in zip(columns, self.readers)]
+        return [*zip(*columns)]
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for pdf in rows:
+            times = [int(ms) for ms in pdf["ms"]]
+            self.rows.appendValue((_pack([*zip(times, pdf["key"], pdf["values_"], pdf["row"])]),))
+            first = min(times) if first is None else min(first, min(times))
+        if first is not None:
+            self._remind(first)
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.due.clear()
         watermark = timerValues.getCurrentWatermarkInMs()
-        held = [tuple(r) for r in self.rows.get()] if self.rows.exists() else []
-        if not held:  # nothing has come since the last row was let go
-            self.now.clear()
-            return
-        # missing values of the order come first
-        ready = sorted((r for r in held if r[0] <= watermark), key=lambda r: [(r[i] is not None, r[i]) for i in self.order])
+        held = [r for (packed,) in self.rows.get() for r in _unpack(packed)] if self.rows.exists() else []
+        states = _unpack(self.now.get()[0]) if self.now.exists() else {}
+        # nothing has come since the last row was let go
+        silent = {who for who, (_, until) in states.items() if until <= watermark}
+        for who in silent.difference(r[1] for r in held) if silent else ():
+            del states[who]
+        ready = [r for r in held if r[0] <= watermark]
         rest = [r for r in held if r[0] > watermark]
-        if ready:
-            state = list(self.now.get()) if self.now.exists() else self.fold.start()
-            for r in ready:
-                state, made = self.fold.step(state, tuple(r[i] for i in self.inputs))
-                yield Row(*self.names)(*[r[i] for i in self.keep], *made)
-            self.now.update(tuple(state))
-        if rest:
-            self.rows.put(rest)
-            self._remind(min(r[0] for r in rest))
-        else:
-            self.rows.clear()
-            self._remind(watermark + self.silent_ms)
+        del held
+        values = self._values([r[2] for r in ready])
+        # missing values of the order come first
+        places = sorted(range(len(ready)), key=lambda k: [(values[k][i] is not None, values[k][i]) for i in self.order])
+        out = []
+        for k in places:
+            _, who, _, row = ready[k]
+            state = states[who][0] if who in states else self.fold.start()
+            state, made = self.fold.step(state, tuple(values[k][i] for i in self.inputs))
+            states[who] = (state, watermark + self.silent_ms)
+            out.append((row, *(None if v is None else str(v) for v in made)))
+        if out:
+            yield pd.DataFrame(out, columns=["row", *self.outputs], dtype=object)
+            self.now.update((_pack(states),))
+            if rest:
+                self.rows.put([(_pack(rest),)])
+            else:
+                self.rows.clear()
+        elif silent:
+            self.now.update((_pack(states),))
+        dues = [*(r[0] for r in rest), *(until for _, until in states.values())]
+        if dues:
+            self._remind(min(dues))
 
     def close(self) -> None:
         pass
@@ -96,27 +129,63 @@ def _ordered_state(spark) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
+#: How rows are written to JSON and read again: nothing of a value is lost.
+_JSON = {
+    "timeZone": "UTC", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+    "maxStringLen": str(2**31 - 1),
+}
+
+
+def _exact(name: str, kind: T.DataType) -> tuple[Column, Callable | None]:
+    """A column as JSON has it in full, and what makes its value of that. Times are microseconds, dates are days."""
+    c = F.col(f"`{name}`")
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return c.cast("double"), float  # NaN and infinities are text in JSON
+    if isinstance(kind, T.DecimalType):
+        return c.cast("string"), Decimal
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(c), None
+    return (F.unix_date(c) if isinstance(kind, T.DateType) else c), None
+
+
 def in_order(
     df: DataFrame, by: list[str], event_time: Column, order: list[str], inputs: list[str], fold, keep: list[str], delay: str = "10 minutes",
-    silent_s: float = 86_400.0,
+    silent_s: float = 86_400.0, shards: int = SHARDS,
 ) -> DataFrame:
     """``keep`` columns and the outputs of a step function for every row of a stream, in order of event time, however the
     rows of a key arrive within ``delay``; rows of one millisecond follow by ``order``. Rows come out once the watermark
-    has passed them; later ones are dropped. After ``silent_s`` of event time without a row a key starts anew."""
+    has passed them; later ones are dropped. After ``silent_s`` of event time without a row a key starts anew.
+
+    The keys of a shard share a state. A row goes through it as one text, which only the engine writes and reads."""
     for module in (sys.modules[__name__], steps, ladder, est):
         cloudpickle.register_pickle_by_value(module)
     _ordered_state(df.sparkSession)
     timed = df.withColumn("_at", event_time).withWatermark("_at", delay).withColumn("_ms", F.unix_millis("_at"))
-    columns = ["_ms", *dict.fromkeys([*order, *inputs, *keep])]
     fields = {f.name: f for f in timed.schema}
-    buffer = ", ".join(f"`{n}` {fields[n].dataType.simpleString()}" for n in columns)
+    names = [*dict.fromkeys([*order, *inputs])]
+    columns, readers = zip(*[_exact(n, fields[n].dataType) for n in names])
+    # to a key 0.0 and -0.0 are one value
+    floats = [isinstance(fields[n].dataType, (T.FloatType, T.DoubleType)) for n in by]
+    keys = [_exact(n, fields[n].dataType)[0] + F.lit(0.0) if float_ else _exact(n, fields[n].dataType)[0] for n, float_ in zip(by, floats)]
+
+    def text(*parts: Column) -> Column:
+        return F.to_json(F.struct(*parts), _JSON)
+
     extra = T.StructType.fromDDL(fold.outputs)
-    schema = T.StructType([*[T.StructField(n, fields[n].dataType) for n in keep], *extra.fields])
-    at = columns.index
-    machine = _InOrder(fold, buffer, columns, [at(n) for n in order], [at(n) for n in inputs], [at(n) for n in keep], schema.names, int(silent_s * 1000))
-    keys = [F.col(n).alias(f"_key_{n}") for n in by]
-    keyed = timed.select(*keys, "_at", *columns)
-    return keyed.groupBy(*[f"_key_{n}" for n in by]).transformWithState(machine, schema, "Append", "EventTime")
+    made = [f"made{i}" for i in range(len(extra))]
+    machine = _InOrder(fold, names, [*readers], [names.index(n) for n in order], [names.index(n) for n in inputs], made, int(silent_s * 1000))
+    # frames are made of named tuples, whose names begin with a letter
+    sharded = timed.select(
+        _shard(keys, shards).alias("shard"), F.col("_at").alias("at"), F.col("_ms").alias("ms"),
+        text(*[c.alias(n) for c, n in zip(keys, by)]).alias("key"),
+        text(*[c.alias(n) for c, n in zip(columns, names)]).alias("values_"),
+        text(*[F.col(f"`{n}`") for n in keep]).alias("row"),
+    )
+    texts = T.StructType([T.StructField(n, T.StringType()) for n in ["row", *made]])
+    out = sharded.groupBy("shard").transformWithStateInPandas(machine, texts, "Append", "EventTime")
+    row = F.from_json("row", T.StructType([T.StructField(n, fields[n].dataType) for n in keep]), _JSON)
+    typed = [F.col(name).cast(f.dataType).alias(f.name) for name, f in zip(made, extra)]
+    return out.select(row.alias("_row"), *typed).select("_row.*", *extra.names)
 
 
 class _FirstOfEach(StatefulProcessor):

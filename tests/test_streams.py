@@ -1,6 +1,8 @@
 """Streams whose rows arrive out of order or late, and state that is forgotten."""
 
+import datetime
 import random
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -134,3 +136,36 @@ def test_workers_of_a_shard_have_one_state(spark, tmp_path):
     got = [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 8 < len(heard)
+
+
+def test_keys_of_a_shard_wait_together(spark, tmp_path):
+    schema = KEYS + ", x double, f float, at timestamp, day date, d decimal(30,10), b binary, a array<double>, s struct<u:string>, k double"
+    odd = [float("nan"), None, -0.0, 1e300, float("-inf")]
+    rows = []
+    for i in range(900):
+        key = (None if i % 13 == 0 else 2**53 + i % 50, ["gps", None, "g\"\n", ""][i % 4], "E", None if i % 3 else "m")
+        when = datetime.datetime(2024, 1, 1, 2, 3, 4, i) if i % 7 else None
+        rest = (odd[i % 5], 0.1, when, when and when.date(), Decimal("12345678901234567890.0000000001") if i % 2 else None, b"\x00\xff", [odd[(i + 1) % 5], None], (None,), [0.0, -0.0, float("nan"), None][i % 4])
+        rows.append((*key, i, 0.01 * i, *rest))
+    table = spark.createDataFrame(rows, schema)
+    by = ["mission_id", "source", "event_code", "message"]
+    parts = [r for i in range(3) for r in rows if (r[4] * 7919) % 3 == i]  # each micro-batch holds a third of every key
+    stream = in_parts(spark, parts, schema, str(tmp_path / "in"), "t")
+    ordered = streams.in_order(stream, by, streams._seconds("t"), ["t", "seq"], ["t"], streams.steps.Debounce(2.0), table.columns, shards=8)
+    query = (
+        ordered.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state"))
+        .outputMode("append").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    out = spark.read.schema(ordered.schema).parquet(str(tmp_path / "out")).cache()
+    got = {r.seq: r for r in out.collect()}
+    assert len(got) == out.count() == len(rows)
+    for r in table.collect():
+        assert repr(tuple(got[r.seq])[:-1]) == repr(tuple(r))
+    assert {s for s, r in got.items() if r.kept} == {r.seq for r in est.debounce(table.select(*by, "seq", "t")).collect()}
+    # rows held, due times and states of 8 shards, besides those of the last row
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 3 * 9
+    # numbers as keys: 0.0 and -0.0 are one, NaN is one, null is one
+    stream = in_parts(spark, parts, schema, str(tmp_path / "again"), "t")
+    first = streams.in_order(stream, ["k"], streams._seconds("t"), ["t", "seq"], ["t"], streams.steps.Debounce(1e5), ["seq"], shards=8)
+    assert sorted(r.seq for r in streams.drain(first).filter("kept").collect()) == [0, 2, 3]
